@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier.
 
 Voters are the words of a fixed lexicon, patterns (words and word beginnings) mined from labelled
-training rows, shape patterns, and the annotators' own labels. A latent-class model estimates by
+training rows, and shape patterns; an annotator's label is a row's prior. A latent-class model estimates by
 EM how often each voter fires in either class; voters that stay correlated within the classes
 are merged into one categorical voter, so agreeing copies do not count twice. A logistic
 classifier over words and word beginnings is trained on the posterior labels.
@@ -35,6 +35,11 @@ class ToxicityParams:
     max_mined: int = 48
     max_features: int = 3000
     min_support: int = 4
+    #: Standard errors that a mark's log-odds must exceed to be a feature, and to be a voter.
+    feature_z: float = 3.5
+    voter_z: float = 5.0
+    #: Share of a mark's documents that must be of class 1 for it to be a feature.
+    feature_share: float = 0.4
     seed: int = 7
 
 
@@ -58,27 +63,30 @@ def shapes(text: str | None) -> list[str]:
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
-    """EM over binary voters; (posterior of class 1, groups of merged voters, fire rates by class).
+    """EM over voters that fire or abstain; (posterior of class 1, groups of merged voters, fire rates by class).
 
-    ``votes`` is rows by voters (1: fires), ``start`` the first guess of the posterior.
+    ``votes`` is rows by voters (1: fires), ``start`` each row's prior, from its
+    annotator's label. That a voter
+    abstains says nothing of the class, as most voters know one language or one word only.
     """
 
     def em(cats: list[np.ndarray], q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         rates: list[np.ndarray] = []
         for _ in range(rounds):
-            log, rates = np.log([1 - q.mean() + 1e-6, q.mean() + 1e-6])[:, None] + np.zeros((2, len(q))), []
+            log, rates = prior.copy(), []
             for c in cats:
                 m = c.max() + 1 if len(c) else 1
                 p = np.stack([np.bincount(c, w, m) for w in (1 - q, q)]) + 0.5
                 p /= p.sum(1, keepdims=True)
                 rates.append(p)
-                log += np.log(p[:, c])
+                log += np.where(c > 0, np.log(p[:, c]), 0.0)
             new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
             done, q = np.abs(new - q).max(initial=0) < 1e-5, new
             if done:
                 break
         return q, rates
 
+    prior = np.log(np.stack([1 - start, start]))
     m = votes.shape[1]
     q, _ = em([votes[:, j] for j in range(m)], start)
     root = list(range(m))
@@ -116,8 +124,8 @@ def fit(rows: list[tuple[set[str], list[str], int]], params: ToxicityParams) ->
         lift = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n - n1 - b + 0.5))
         return lift / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-    strong = sorted((s for s, c in pos.items() if c >= params.min_support), key=lambda s: (-z(s), s))
-    feats = strong[: params.max_features]
+    scored = {s: z(s) for s, c in pos.items() if c >= params.min_support}
+    feats = sorted((s for s, v in scored.items() if v >= params.feature_z and pos[s] >= params.feature_share * all_[s]), key=lambda s: (-scored[s], s))[: params.max_features]
     col = {s: j for j, s in enumerate(feats)}
     has = [np.fromiter((col[s] for s in r[0] if s in col), int) for r in rows]
     covered, voters = np.zeros(n, bool), []
@@ -127,17 +135,17 @@ def fit(rows: list[tuple[set[str], list[str], int]], params: ToxicityParams) ->
             by_feat.setdefault(j, []).append(i)
     for j, s in enumerate(feats):
         own = np.array(by_feat.get(j, []), int)
-        if z(s) < 3 or pos[s] < 0.7 * all_[s] or not (y[own].astype(bool) & ~covered[own]).any():
+        if scored[s] < params.voter_z or pos[s] < 0.8 * all_[s] or not (y[own].astype(bool) & ~covered[own]).any():
             continue
         voters.append(j)
         covered[own] = True
         if len(voters) >= params.max_mined:
             break
     lexicon = [w for w in LEXICON if all_["=" + w]]
-    votes = np.zeros((n, len(lexicon) + len(voters) + 2 + 1), np.int8)
-    for i, (s, shape, t) in enumerate(rows):
+    votes = np.zeros((n, len(lexicon) + len(voters) + 2), np.int8)
+    for i, (s, shape, _) in enumerate(rows):
         votes[i, [k for k, w in enumerate(lexicon) if "=" + w in s]] = 1
-        votes[i, -3], votes[i, -2], votes[i, -1] = "!shout" in shape, "!bang" in shape, t
+        votes[i, -2:] = "!shout" in shape, "!bang" in shape
     for k, j in enumerate(voters):
         votes[by_feat.get(j, []), len(lexicon) + k] = 1
     q, _, _ = label_model(votes, np.where(y > 0, 0.95, 0.05))
@@ -204,7 +212,7 @@ def train(
             })
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "marks"])
+        pdf = pdf.sort_values(["id", "marks"]).drop_duplicates("marks")  # a copied text is evidence once
         rows = [({x for x in m.split("\n") if x}, s.split("\n"), int(t)) for m, s, t in zip(pdf["marks"], pdf["shapes"], pdf["y"])]
         w = fit(rows, params)
         return pd.DataFrame({"k": list(w), "v": list(w.values())})
