@@ -15,11 +15,11 @@ def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def tumbling(events: DataFrame, *, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by type and window; rows later than ``late`` are left to the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, *, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
 def maintain_index(docs: DataFrame, tokens: Column, path: str, checkpoint: str, *, id_col: str = "doc_id") -> StreamingQuery:
