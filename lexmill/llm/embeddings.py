@@ -289,8 +289,13 @@ def audit_recall(result: DataFrame, vectors: DataFrame, *, every: int = 100, id_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = [(i, l, u) for i, v, l in zip(pdf["id"], pdf["v"], pdf["label"]) if l is not None and (u := unit(v)) is not None]
-            x, ids, labels = np.array([g[2] for g in good]), np.array([g[0] for g in good]), np.array([g[1] for g in good])
-            n = [int(((x @ u >= threshold) & (labels == l) & (ids != i)).sum()) if len(good) else 0 for i, l, u in shared.value]
+            n = [0] * len(shared.value)
+            for dim in {len(g[2]) for g in good}:
+                part = [g for g in good if len(g[2]) == dim]
+                x, ids, labels = (np.array(c) for c in ([g[2] for g in part], [g[0] for g in part], [g[1] for g in part]))
+                for k, (i, l, u) in enumerate(shared.value):
+                    if len(u) == dim:
+                        n[k] = int(((x @ u >= threshold) & (labels == l) & (ids != i)).sum())
             yield pd.DataFrame({"id": [a[0] for a in shared.value], "n": n})
 
     if not asked:
