@@ -106,17 +106,23 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
     return q, groups, np.array([[p[0, 1:].sum(), p[1, 1:].sum()] for p in rates])
 
 
-def fit(rows: list[tuple[set[str], list[str], int]], params: ToxicityParams) -> dict[str, float]:
-    """Weights by mark; the bias under the empty string. Rows: marks, shape patterns, label."""
+def fit(texts: list[str], shape: list[str], labels: list[int], params: ToxicityParams) -> dict[str, float]:
+    """Weights by mark; the bias under the empty string. Each text is its marks, one a line.
+
+    Only marks of enough rows of class 1 are ever held, so memory follows those and not the vocabulary.
+    """
     base = {"": -4.0, **{"=" + w: 8.0 for w in LEXICON}}
-    y = np.array([r[2] for r in rows], float)
+    y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return base  # nothing to learn from: the lexicon alone
-    pos, all_ = Counter(), Counter()
-    for s, _, t in rows:
-        all_.update(s)
+    pos: Counter[str] = Counter()
+    for m, t in zip(texts, labels):
         if t:
-            pos.update(s)
+            pos.update(m.split("\n"))
+    pos = Counter({s: c for s, c in pos.items() if s and (c >= params.min_support or s[0] == "=" and s[1:] in LEXICON)})
+    wanted = {s: s for s in (*pos, *("=" + w for w in LEXICON))}
+    rows = [[wanted[s] for s in m.split("\n") if s in wanted] for m in texts]
+    all_ = Counter(s for r in rows for s in r)
     n, n1 = len(y), y.sum()
     # log-odds against the class balance, in standard errors
     def z(s: str) -> float:
@@ -127,7 +133,7 @@ def fit(rows: list[tuple[set[str], list[str], int]], params: ToxicityParams) ->
     scored = {s: z(s) for s, c in pos.items() if c >= params.min_support}
     feats = sorted((s for s, v in scored.items() if v >= params.feature_z and pos[s] >= params.feature_share * all_[s]), key=lambda s: (-scored[s], s))[: params.max_features]
     col = {s: j for j, s in enumerate(feats)}
-    has = [np.fromiter((col[s] for s in r[0] if s in col), int) for r in rows]
+    has = [np.fromiter((col[s] for s in r if s in col), int) for r in rows]
     covered, voters = np.zeros(n, bool), []
     by_feat: dict[int, list[int]] = {}
     for i, h in enumerate(has):
@@ -143,14 +149,15 @@ def fit(rows: list[tuple[set[str], list[str], int]], params: ToxicityParams) ->
             break
     lexicon = [w for w in LEXICON if all_["=" + w]]
     votes = np.zeros((n, len(lexicon) + len(voters) + 2), np.int8)
-    for i, (s, shape, _) in enumerate(rows):
-        votes[i, [k for k, w in enumerate(lexicon) if "=" + w in s]] = 1
-        votes[i, -2:] = "!shout" in shape, "!bang" in shape
+    for i, r in enumerate(rows):
+        votes[i, [k for k, w in enumerate(lexicon) if "=" + w in r]] = 1
+        votes[i, -2:] = "!shout" in shape[i], "!bang" in shape[i]
     for k, j in enumerate(voters):
         votes[by_feat.get(j, []), len(lexicon) + k] = 1
     q, _, _ = label_model(votes, np.where(y > 0, 0.95, 0.05))
     # logistic regression on posterior labels; the lexicon as one more feature
-    flag = np.array([any("=" + w in r[0] for w in LEXICON) for r in rows])
+    known = {"=" + w for w in LEXICON}
+    flag = np.array([not known.isdisjoint(r) for r in rows])
     m = len(feats) + 1
     h = [np.append(x, len(feats)) if f else x for x, f in zip(has, flag)]
     ptr, idx = np.repeat(np.arange(n), [len(x) for x in h]), np.concatenate(h).astype(int) if n else np.empty(0, int)
@@ -213,14 +220,13 @@ def train(
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "marks"]).drop_duplicates("marks")  # a copied text is evidence once
-        rows = [({x for x in m.split("\n") if x}, s.split("\n"), int(t)) for m, s, t in zip(pdf["marks"], pdf["shapes"], pdf["y"])]
-        w = fit(rows, params)
+        w = fit(pdf["marks"].tolist(), pdf["shapes"].tolist(), pdf["y"].tolist(), params)
         return pd.DataFrame({"k": list(w), "v": list(w.values())})
 
     # the sample's ids are at most max_fit_rows pairs of numbers: small enough to broadcast
     sample = texts.join(F.broadcast(picked), "id").mapInPandas(extract, "id long, y int, marks string, shapes string")
     got = sample.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: learn(pdf), "k string, v double").collect()
-    return {r.k: r.v for r in got} or fit([], params)
+    return {r.k: r.v for r in got} or fit([], [], [], params)
 
 
 def toxicity_scores(docs: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
