@@ -88,3 +88,33 @@ def overlay(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Whether two tables hold the same rows with the same repeats: what a saved table is checked by."""
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def filled_counts(rows: DataFrame, columns: list[str], *, total: str = "rows") -> DataFrame:
+    """One row: how many rows there are, how many have each column non-blank, and how many have none of them.
+
+    Null and blank values are not filled; an empty table gives zeros.
+    """
+    filled = {c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)) for c in columns}
+    none = ~F.greatest(F.lit(False), F.lit(False), *filled.values())
+    return rows.agg(F.count("*").alias(total), *[F.count_if(v).alias(f"with_{c}") for c, v in filled.items()], F.count_if(none).alias("with_none"))
+
+
+def differing_inputs(rows: DataFrame, *, key: str, variant: str, value: str) -> DataFrame:
+    """Keys that two variants gave different inputs, or that a variant lacks or repeats: ``key, inputs, variants, n``.
+
+    Inputs are compared by digest, null being an input of its own; the number of variants is that of all
+    rows. Rows with a null key or variant are no one's input and are left out. One aggregation by key.
+    """
+    own = rows.where(F.col(key).isNotNull() & F.col(variant).isNotNull())
+    digest = F.coalesce(F.sha2(F.col(value).cast("string"), 256), F.lit(""))
+    per = own.groupBy(key).agg(
+        F.count_distinct(digest).alias("inputs"), F.count_distinct(variant).alias("variants"), F.count("*").alias("n"))
+    every = own.agg(F.count_distinct(variant)).scalar()
+    return per.where((F.col("inputs") > 1) | (F.col("variants") < every) | (F.col("n") > F.col("variants")))
+
+
+def within_length(rows: DataFrame, length: Column, most: int, key: str) -> DataFrame:
+    """The same rows; one whose length is over ``most`` is an error raised inside the plan, never cut. Null lengths pass."""
+    over = F.raise_error(F.concat(F.lit(f"over {most}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[key].dataType)
+    return rows.withColumn(key, F.when(length > most, over).otherwise(F.col(key)))

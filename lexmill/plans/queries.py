@@ -202,6 +202,20 @@ def corpus_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.text_audit(table(spark, d, "documents"), id_col="doc_id", text_col="text")
 
 
+@query("""SELECT count(*) AS contexts, count_if(coalesce(trim(lang) <> '', false))::BIGINT AS with_lang, count_if(coalesce(trim(source) <> '', false))::BIGINT AS with_source,
+  count_if(NOT coalesce(trim(lang) <> '', false) AND NOT coalesce(trim(source) <> '', false))::BIGINT AS with_none FROM documents""")
+def metadata_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return audit.filled_counts(table(spark, d, "documents"), ["lang", "source"], total="contexts")
+
+
+@query("""WITH p AS (SELECT conv_id, turn // 2 AS pair, role, text FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT pair, count(DISTINCT coalesce(sha256(text), '')) AS inputs, count(DISTINCT role) AS variants, count(*) AS n FROM p GROUP BY pair
+HAVING count(DISTINCT coalesce(sha256(text), '')) > 1 OR count(DISTINCT role) < (SELECT count(DISTINCT role) FROM p) OR count(*) > count(DISTINCT role)""")
+def differing_inputs(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant")).withColumn("pair", F.expr("turn div 2"))
+    return audit.differing_inputs(own, key="pair", variant="role", value="text")
+
+
 @query("""WITH l AS (SELECT length(text) AS n FROM documents ORDER BY 1), s AS (SELECT list(n ORDER BY n) AS a FROM l)
 SELECT a[1] AS least, a[1 + round_even((len(a) - 1) * 0.5, 0)::INT] AS median, a[1 + round_even((len(a) - 1) * 0.95, 0)::INT] AS p95,
   a[1 + round_even((len(a) - 1) * 0.99, 0)::INT] AS p99, a[len(a)] AS most FROM s""")

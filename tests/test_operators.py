@@ -234,3 +234,18 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from windows").first()[0] == e.count()
+
+
+def test_coverage_identity_and_length_guard(spark):
+    rows = spark.createDataFrame([("a", " "), (None, "t"), ("", None)], "number string, title string")
+    assert tuple(audit.filled_counts(rows, ["number", "title"]).first()) == (3, 1, 1, 1)
+    assert tuple(audit.filled_counts(rows.limit(0), ["title"]).first()) == (0, 0, 0)
+    runs = spark.createDataFrame(
+        [(1, "x", "p"), (1, "y", "p"), (2, "x", "p"), (2, "y", "q"), (3, "x", "p"), (4, "x", None), (4, "y", None), (5, "x", "p"), (5, "y", "p"), (5, "y", "p"), (6, "x", None), (6, "y", ""), (None, "x", "p")],
+        "id int, variant string, prompt string")
+    got = audit.differing_inputs(runs, key="id", variant="variant", value="prompt").collect()
+    assert sorted(r.id for r in got) == [2, 3, 5, 6]
+    texts = spark.createDataFrame([(1, "abc"), (None, None)], "id int, text string")
+    assert audit.within_length(texts, F.length("text"), 3, "id").count() == 2
+    with pytest.raises(Exception, match="over 2: 1"):
+        audit.within_length(texts, F.length("text"), 2, "id").collect()
