@@ -109,8 +109,10 @@ def content_tokens(c: Column, stopwords: list[str], least: int = 1) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(stopwords))
 
 
-def trigram_terms(tokens: Column, min_chars: int, max_terms: int) -> Column:
-    """The longest terms (ties: the earlier), at most ``max_terms``, in source order."""
+def trigram_terms(tokens: Column, min_chars: int, max_terms: int | None = None) -> Column:
+    """The terms of ``min_chars`` on in source order; the longest ``max_terms`` (ties: the earlier), if that is given."""
+    if max_terms is None:
+        return F.filter(tokens, lambda t: F.length(t) >= min_chars)
     numbered = F.transform(tokens, lambda t, i: F.struct((-F.length(t)).alias("l"), i.alias("i"), t.alias("t")))
     longest = F.slice(F.array_sort(F.filter(numbered, lambda x: x["l"] <= -min_chars)), 1, max_terms)
     return F.transform(F.array_sort(F.transform(longest, lambda x: F.struct(x["i"], x["t"]))), lambda x: x["t"])

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
+
 K1, B = 1.2, 0.75
 
 
@@ -61,26 +63,34 @@ def bm25(
     return top_k(hits.select("query_id", "id", F.round("s", 10).alias("score")), k).select("query_id", "id", "rank", "score")
 
 
-def trigram_tokens(c: Column, max_chars: int) -> Column:
-    """All three-character windows of the first ``max_chars`` characters (that cut is the branch's cost bound)."""
-    one = F.split(F.substring(c, 1, max_chars), "")
+def trigram_tokens(c: Column) -> Column:
+    """All three-character windows."""
+    one = F.split(c, "")
     n = F.greatest(F.size(one) - 2, F.lit(0))
     pairs = F.zip_with(F.slice(one, F.lit(1), n), F.slice(one, F.lit(2), n), lambda x, y: F.concat(x, y))
     return F.zip_with(pairs, F.slice(one, F.lit(3), n), lambda x, y: F.concat(x, y))
 
 
-def substring_bm25(docs: DataFrame, queries: DataFrame, *, text: Column, terms: Column, k: int, max_chars: int, id_col: str = "doc_id", query_col: str = "item_id") -> DataFrame:
+def substring_bm25(
+    docs: DataFrame, queries: DataFrame, *, text: Column, terms: Column, k: int, max_chars: int | None = None, shortest: int = 3, id_col: str = "doc_id", query_col: str = "item_id"
+) -> DataFrame:
     """The trigram branch: a term is any substring, dl the number of trigrams, two terms must match.
 
-    A document meets only the terms whose first trigram it has, by an equi-join on that trigram.
+    Terms are letters and digits only, ``shortest`` characters at least, so each of their occurrences
+    lies within one word: terms are sought in the distinct words, by an equi-join on the term's first
+    trigram, and documents meet them by their words. ``max_chars`` cuts the texts, if it is given.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.substring(text, 1, max_chars).alias("x")).withColumn("dl", F.greatest(F.length("x") - 2, F.lit(0)))
+    x = text if max_chars is None else F.substring(text, 1, max_chars)
+    d = docs.select(F.col(id_col).alias("id"), x.alias("x")).withColumn("dl", F.greatest(F.length("x") - 2, F.lit(0)))
     q = queries.select(F.col(query_col).alias("query_id"), terms.alias("t"))
     asked = q.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
     vocab = asked.select("term", F.substring("term", 1, 3).alias("g")).distinct()
-    grams = d.select("id", "x", "dl", F.explode(F.array_distinct(trigram_tokens(F.col("x"), max_chars))).alias("g"))
-    p = grams.join(vocab, "g").where(F.col("x").contains(F.col("term"))).select(
-        "id", "dl", "term", ((F.length("x") - F.length(F.replace("x", F.col("term"), F.lit("")))) / F.length("term")).alias("tf"))
+    long_ = F.filter(F.regexp_extract_all("x", F.lit(T.WORDS), F.lit(0)), lambda w: F.length(w) >= shortest)
+    words = d.select("id", "dl", F.explode(long_).alias("w"))
+    grams = words.select("w").distinct().select("w", F.explode(F.array_distinct(trigram_tokens(F.col("w")))).alias("g"))
+    times = (F.length("w") - F.length(F.replace("w", F.col("term"), F.lit("")))) / F.length("term")
+    within = grams.join(vocab, "g").where(F.col("w").contains(F.col("term"))).select("w", "term", times.alias("times"))
+    p = words.join(within, "w").groupBy("id", "dl", "term").agg(F.sum("times").alias("tf"))
     stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select(
         "term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))

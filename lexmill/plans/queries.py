@@ -97,7 +97,15 @@ QUALIFY rank <= 10"""
 def trigram_min2_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.substring_bm25(
         table(spark, d, "documents"), table(spark, d, "benchmark"), text=F.lower("text"),
-        terms=T.trigram_terms(T.query_tokens(F.col("text")), 8, 4), k=10, max_chars=2000)
+        terms=T.trigram_terms(T.query_tokens(F.col("text")), 8, 4), k=10, max_chars=2000, shortest=8)
+
+
+@query()
+def trigram_min2_topk_full(spark: SparkSession, d: str) -> DataFrame:
+    """The trigram branch over whole texts and all terms of eight characters on."""
+    return retrieval.substring_bm25(
+        table(spark, d, "documents"), table(spark, d, "benchmark"), text=F.lower("text"),
+        terms=T.trigram_terms(T.query_tokens(F.col("text")), 8), k=10, shortest=8)
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Hand-written rows for what the synthetic tables do not hold."""
 
 import io
+import math
 import sqlite3
 import zipfile
 
@@ -51,6 +52,32 @@ def test_bm25_matches_sqlite(spark):
     assert [r.score for r in got] == pytest.approx([s for _, s in want], abs=1e-9)
 
 
+def test_substring_bm25_reads_whole_texts(spark):
+    asked = {1: "abcdefgh abcdefghij ijklmnop qrstuvwx yzabcdef klmnopqr", 2: "yzabcdef", 3: "short words"}
+    docs = {
+        1: "x " * 1500 + "ABCDEFGH ijklmnop", 2: "abcdefgh", 3: "zzqrstuvwxqrstuvwx, yzabcdef. " + "y " * 2000 + "klmnopqr", 4: "yzabcdefyzabcdef yzabcdefu",
+        5: "none", 6: "abcdefghij ijklmnop abcde fghij"} | {i: f"filler {i}" for i in range(7, 20)}
+    terms = {q: [w for w in t.split() if len(w) >= 8] for q, t in asked.items()}
+    low = {i: t.lower() for i, t in docs.items()}
+    mean = sum(len(t) - 2 for t in low.values()) / len(low)
+    df = {w: sum(w in t for t in low.values()) for ws in terms.values() for w in ws}
+    idf = {w: max(math.log((len(low) - n + 0.5) / (n + 0.5)), 1e-6) for w, n in df.items()}
+    want = []
+    for q, ws in terms.items():
+        scored = []
+        for i, t in low.items():
+            hits = [w for w in ws if w in t]
+            s = sum(idf[w] * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * (len(t) - 2) / mean)) for w in hits)
+            if len(hits) >= min(2, len(ws)) and hits:
+                scored.append((-round(s if len(ws) == 1 else s * (len(hits) - 1), 10), i))
+        want += [(q, i, n + 1, -s) for n, (s, i) in enumerate(sorted(scored)[:10])]
+    got = retrieval.substring_bm25(
+        spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(asked.items()), "item_id long, text string"),
+        text=F.lower("text"), terms=T.trigram_terms(T.query_tokens(F.col("text")), 8), k=10).collect()
+    assert sorted((r.query_id, r.id, r.rank) for r in got) == sorted(x[:3] for x in want) and {1, 3} <= {x[1] for x in want}
+    assert [r.score for r in sorted(got)] == pytest.approx([x[3] for x in sorted(want)], abs=1e-9)
+
+
 def test_fusion_checks(spark):
     r = spark.createDataFrame([(1, "a", 5, 1), (1, "b", 6, 1), (1, "a", 6, 2), (1, "b", 5, 2)], "query_id int, branch string, id int, rank int")
     out = fusion.weighted_rrf(r, {"a": 0.5, "b": 0.5}).orderBy("rank").collect()
