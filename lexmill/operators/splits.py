@@ -43,13 +43,13 @@ def numeric_first(id_: Column) -> list[Column]:
     return [number.asc_nulls_last(), id_.asc()]
 
 
-def leakage_safe_splits(train: DataFrame, warmup: DataFrame, public: DataFrame, *, seed: str, buckets: int = 100, dev: int = 10, holdout: int = 10) -> DataFrame:
+def leakage_safe_splits(train: DataFrame, warmup: DataFrame, public: DataFrame, *, seed: str, buckets: int = 100, dev: int = 10, holdout: int = 10, mark_conflicts: bool = False) -> DataFrame:
     """``question_id, question, answer, source, normalized_question_sha256, status, split``.
 
     Rows whose normalised question is public are ``quarantine``; warm-up rows whose question is a
-    training one are ``alias`` if the answer agrees with one of its, and an error if not; the rest are
-    ``kept`` and get a split by their normalised question, so equal questions share one. An id kept
-    twice is an error. All joins are on a question's hash.
+    training one are ``alias`` if the answer agrees with one of its, and an error if not (with
+    ``mark_conflicts``, ``conflict`` and without a split); the rest are ``kept`` and get a split by
+    their normalised question, so equal questions share one. An id kept twice is an error. All joins are on a question's hash.
     """
     cols = ["question_id", "question", "answer"]
     rows = train.select(*cols, F.lit("train").alias("source")).unionByName(warmup.select(*cols, F.lit("warmup").alias("source")))
@@ -57,10 +57,11 @@ def leakage_safe_splits(train: DataFrame, warmup: DataFrame, public: DataFrame,
     open_ = public.select(F.sha2(T.normalize_question(F.col("question")), 256).alias("normalized_question_sha256"), F.lit(True).alias("is_public")).distinct()
     known = rows.where("source = 'train'").groupBy("normalized_question_sha256").agg(F.collect_set(T.normalize_question(F.col("answer"))).alias("answers"))
     j = rows.join(open_, "normalized_question_sha256", "left").join(known, "normalized_question_sha256", "left")
+    conflict = F.lit("conflict") if mark_conflicts else F.raise_error(F.lit("a warm-up answer conflicts with training")).cast("string")
     agrees = F.array_contains("answers", T.normalize_question(F.col("answer")))
     status = (
         F.when(F.col("is_public"), "quarantine")
-        .when((F.col("source") == "warmup") & F.col("answers").isNotNull(), F.when(agrees, "alias").otherwise(F.raise_error(F.lit("a warm-up answer conflicts with training")).cast("string")))
+        .when((F.col("source") == "warmup") & F.col("answers").isNotNull(), F.when(agrees, "alias").otherwise(conflict))
         .otherwise("kept")
     )
     out = j.withColumn("status", status).withColumn("split", F.when(F.col("status") == "kept", assign(F.col("q"), seed, buckets, dev, holdout)))

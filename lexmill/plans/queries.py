@@ -321,8 +321,10 @@ SELECT question_id, sha256(n) AS normalized_question_sha256, 'kept' AS status,
   CASE WHEN b < 10 THEN 'dev' WHEN b < 20 THEN 'holdout' ELSE 'train' END AS split
 FROM (SELECT *, ('0x' || substr(sha256('v1' || chr(0) || n), 1, 16))::UBIGINT % 100 AS b FROM q)""")
 def leakage_safe_splits(spark: SparkSession, d: str) -> DataFrame:
-    own = _question_answer(spark, d).select("question_id", "question", "answer")
-    out = splits.leakage_safe_splits(own, own.limit(0), own.limit(0), seed="v1")
+    """Every tenth conversation is the warm-up table, the others are the training one; benchmark passages are public."""
+    own, warm = _question_answer(spark, d), F.col("conv_id") % 10 == 0
+    public = table(spark, d, "benchmark").select(F.col("text").alias("question"))
+    out = splits.leakage_safe_splits(own.where(~warm), own.where(warm), public, seed="v1", mark_conflicts=True)
     return out.select("question_id", "normalized_question_sha256", "status", "split")
 
 

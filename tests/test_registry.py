@@ -47,6 +47,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_splits_see_public_and_warmup(spark, tmp_path):
+    kind = "conv_id long, turn long, role string, text string"
+    talks = {1: ("Open", "a"), 2: ("A  Public one", "b"), 11: ("Twice", "c"), 20: ("twice", "C"), 30: ("new", "d"), 40: ("a public ONE", "e"), 50: ("open", "other")}
+    turns = [(i, n, r, t) for i, texts in talks.items() for n, (r, t) in enumerate(zip(("user", "assistant"), texts))]
+    spark.createDataFrame(turns, kind).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "a public one"), (2, "other")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.question_id: (r.status, r.split is not None) for r in QUERIES["leakage_safe_splits"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "1-0": ("kept", True), "2-0": ("quarantine", False), "11-0": ("kept", True), "20-0": ("alias", False), "30-0": ("kept", True), "40-0": ("quarantine", False),
+        "50-0": ("conflict", False)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
