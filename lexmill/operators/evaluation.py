@@ -113,6 +113,24 @@ def bootstrap_ci(values: DataFrame, *, column: str, order: str, seed: str, itera
     return values.select(order, column).groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: run(pdf), "low double, high double")
 
 
+def bootstrap_all(values: DataFrame, *, column: str, seed: str, iterations: int = 10_000) -> DataFrame:
+    """``low, high`` as in ``bootstrap_ci``, over all rows: what meets in one task is the count of each distinct value.
+
+    A resample of n rows is a multinomial draw of those counts. The generator is NumPy's PCG64, seeded
+    by the SHA-256 of the seed. Meant for metrics of few distinct values; nulls are left out.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(column)
+        v, c = pdf[column].to_numpy(float), pdf["count"].to_numpy("int64")
+        rng, n = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256(seed.encode()).digest()))), int(c.sum())
+        means = np.sort([rng.multinomial(n, c / n) @ v / n for _ in range(iterations)])
+        return pd.DataFrame({"low": [means[int(0.025 * (iterations - 1))]], "high": [means[int(0.975 * (iterations - 1))]]})
+
+    counts = values.where(F.col(column).isNotNull()).groupBy(column).count()
+    return counts.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: run(pdf), "low double, high double")
+
+
 def leader(metrics: DataFrame, *, variant: str, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """The variant with the greatest keys, in that order (ties: the last name)."""
     return metrics.groupBy(*(by or [])).agg(F.max(F.struct(*keys, variant)).alias("m")).select(*(by or []), F.col(f"m.{variant}").alias(variant), *[F.col(f"m.{k}").alias(k) for k in keys])

@@ -436,8 +436,9 @@ def answer_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("quality").cast("double")
     own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n")), "doc_id")
-    one = own.select("doc_id", "lang", F.lit("control").alias("variant"), m.alias("metric"), F.col("n").alias("length"))
-    return one.unionByName(own.select("doc_id", "lang", F.lit("candidate").alias("variant"), (1 - F.col("toxic")).cast("double").alias("metric"), F.col("n").alias("length")))
+    # not a union: Spark 4.1.2 takes one of two joins by doc_id as dealt by it (spark.sql.unionOutputPartitioning), and on large tables pairs part
+    sides = [("control", m), ("candidate", (1 - F.col("toxic")).cast("double"))]
+    return own.select("doc_id", "lang", F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), x.alias("metric"), F.col("n").alias("length")) for v, x in sides])))
 
 
 @query("""SELECT lang, avg(1 - toxic - quality) AS mean_delta, count_if(1 - toxic > quality)::BIGINT AS improved, count_if(1 - toxic < quality)::BIGINT AS worsened, count_if(1 - toxic = quality)::BIGINT AS tied
@@ -466,9 +467,8 @@ def leader(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
     deltas = evaluation.paired(_scores(spark, d), variant="variant", id_col="doc_id", metric="metric", control="control", candidate="candidate")
-    sample = splits.hash_sample(deltas, id_col="doc_id", seed="dev-v1", size=200)
-    ci = evaluation.bootstrap_ci(sample, column="delta", order="position", seed="boot-v1", iterations=2000)
-    return evaluation.promotion(evaluation.paired_summary(sample).crossJoin(F.broadcast(ci)))
+    ci = evaluation.bootstrap_all(deltas, column="delta", seed="boot-v1")
+    return evaluation.promotion(evaluation.paired_summary(deltas).crossJoin(F.broadcast(ci)))
 
 
 @query("""SELECT doc_id, quality, length(text) AS characters FROM labels JOIN documents USING (doc_id) ORDER BY quality, 3, doc_id LIMIT 40""")

@@ -59,6 +59,18 @@ def test_splits_see_public_and_warmup(spark, tmp_path):
         "50-0": ("conflict", False)}
 
 
+def test_bootstrap_takes_all_deltas(spark, tmp_path):
+    labels = [(i, int(i % 4 > 0), int(i % 3 == 0)) for i in range(900)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, "x", "en") for i in range(900)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = pd.Series([1 - t - q for _, q, t in labels], dtype=float)
+    r = QUERIES["bootstrap_delta"](spark, str(tmp_path)).collect()
+    assert len(r) == 1 and (r[0].improved, r[0].worsened, r[0].tied) == ((d > 0).sum(), (d < 0).sum(), (d == 0).sum())
+    wide = 1.96 * d.std() / len(d) ** 0.5
+    assert r[0].mean_delta == pytest.approx(d.mean()) and not r[0].promoted
+    assert (r[0].low, r[0].high) == pytest.approx((d.mean() - wide, d.mean() + wide), abs=0.1 * wide)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
