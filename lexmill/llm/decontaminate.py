@@ -72,38 +72,41 @@ def tile(doc: np.ndarray, item: np.ndarray, starts: np.ndarray, seeds: np.ndarra
 
 
 class Index:
-    """Seeds of a block of benchmark items, by fingerprint."""
+    """Seeds of a block of benchmark items, by fingerprint; an item of fewer than n words is one seed, whole."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.n, self.vocab, self.items = n, {}, []
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (item, text) in enumerate(items):
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(text)], np.uint64)
             self.items.append((item, ids))
-            for p, h in enumerate(fingerprints(ids, n).tolist()):
-                seeds[h].append((k, p))
-        self.keys = np.array(sorted(seeds), np.uint64)
-        self.places = [seeds[int(h)] for h in self.keys]
+            if size := min(n, len(ids)):
+                for p, h in enumerate(fingerprints(ids, size).tolist()):
+                    seeds[size][h].append((k, p))
+        #: Sorted fingerprints and their places, by the seeds' number of words.
+        self.seeds = {size: (np.array(sorted(own), np.uint64), [own[h] for h in sorted(own)]) for size, own in sorted(seeds.items())}
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
         """``(item, words under tiles, words of the item, tiles)`` for each item that shares a seed."""
         get = self.vocab.get
         w = tokens(text)
         doc = np.fromiter((get(x, 0) for x in w), np.uint64, len(w))
-        if np.count_nonzero(doc) < self.n or not len(self.keys):
-            return
-        h = fingerprints(doc, self.n)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        shared: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-        for i in np.nonzero(self.keys[at] == h)[0].tolist():
-            for k, p in self.places[at[i]]:
-                if np.array_equal(doc[i : i + self.n], self.items[k][1][p : p + self.n]):
-                    shared[k][0].append(i)
-                    shared[k][1].append(p)
-        for k, (i, p) in shared.items():
-            item, ids = self.items[k]
-            tiles = tile(doc, ids, np.array(i), np.array(p), self.n)
-            yield item, sum(t[2] for t in tiles), len(ids), tiles
+        known = np.count_nonzero(doc)
+        for size, (keys, places) in self.seeds.items():
+            if known < size:
+                continue
+            h = fingerprints(doc, size)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            shared: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+            for i in np.nonzero(keys[at] == h)[0].tolist():
+                for k, p in places[at[i]]:
+                    if np.array_equal(doc[i : i + size], self.items[k][1][p : p + size]):
+                        shared[k][0].append(i)
+                        shared[k][1].append(p)
+            for k, (i, p) in shared.items():
+                item, ids = self.items[k]
+                tiles = tile(doc, ids, np.array(i), np.array(p), size)
+                yield item, sum(t[2] for t in tiles), len(ids), tiles
 
 
 def contamination(
@@ -115,7 +118,7 @@ def contamination(
     An item is held if tiles of at least ``min_match`` words cover ``coverage`` of its words, in any
     order, so passages whose parts were moved are caught. Items are compared in blocks of bounded size,
     each one map-only pass over whole documents: all items against all rows. Items shorter than
-    a tile, null or blank texts and null ids match nothing; documents that repeat are each judged, and
+    a tile are held where all their words follow each other. Null or blank texts and null ids match nothing; documents that repeat are each judged, and
     rows that share an id give the greatest coverage once. Other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")

@@ -209,6 +209,16 @@ def test_packing(spark, docs):
     assert packing.pack(docs(texts).limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark, docs):
+    items = ["Paris", "forty two", "who is it?", "a b c d", "one two three four five", " ", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["paris", "In PARIS: forty, two.", "forty or two", "who is it", "who it is", "x a b c d y a b c d", "a b c", "one two three four five", "one two three four"]
+    got = {(r.doc_id, r.item_id, r.matched, r.item_words, r.coverage) for r in decontaminate.contamination(docs(texts), bench).collect()}
+    ids = {r.text: r.doc_id for r in docs(texts).collect()}
+    want = [(0, 0, 1), (1, 0, 1), (1, 1, 2), (3, 2, 3), (5, 3, 4), (7, 4, 5)]
+    assert got == {(ids[texts[t]], i, n, n, 1.0) for t, i, n in want}
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(11)
     items = [text(rng, 30) + f" tail{i}" for i in range(6)] + ["one two", "", None]
