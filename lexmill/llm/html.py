@@ -36,16 +36,18 @@ _CONTENT = frozenset("article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "skip", "chars", "links", "tags", "link_tags", "density", "total", "keeps")
+    __slots__ = ("tag", "kids", "up", "skip", "chars", "links", "tags", "link_tags", "density", "total", "keeps", "inside")
 
     def __init__(self, tag: str, up: Node | None, skip: bool = False) -> None:
         self.tag, self.up, self.skip, self.kids = tag, up, skip, []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
         self.keeps = tag in _CONTENT
+        self.inside = self.keeps or up is not None and up.inside
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+    """By tag, role, visibility or a word of its names; inside an article only whole names count, not their parts."""
     if tag in _BOILER:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
@@ -56,7 +58,7 @@ def _boilerplate(tag: str, attrs: str) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and any(_NAMES.intersection(_SPLIT.split(part) if part.islower() else _SPLIT.split(part.lower())) for part in value.split()):
+        if name in ("class", "id") and any(_NAMES.intersection([part.lower()] if inside else _SPLIT.split(part.lower())) for part in value.split()):
             return True
     return False
 
@@ -103,7 +105,7 @@ def parse(text: str) -> Node:
                 x = x.up
             if x is not None and x.tag in ends:
                 close(x)
-        child = Node(tag, node, tag in _RAW or _boilerplate(tag, m["attrs"] or ""))
+        child = Node(tag, node, tag in _RAW or _boilerplate(tag, m["attrs"] or "", node.inside))
         node.kids.append(child)
         if tag in _OPAQUE:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, at)
@@ -200,8 +202,8 @@ def render(node: Node) -> str:
             if x.tag in _BLOCK:
                 flush()
                 stack.append((x, True))
-            if x.tag in ("ul", "ol") and x.link_tags >= 3 and x.links >= 0.8 * x.chars and x is not node:
-                continue  # a menu inside the article
+            if x.tag in ("ul", "ol") and x.link_tags >= 3 and x.links >= 0.8 * x.chars and x is not node and not x.inside:
+                continue  # a menu, where no article or main says what is text
             stack += [(k, False) for k in reversed(x.kids)]
     flush()
     return "\n".join(blocks)

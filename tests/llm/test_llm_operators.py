@@ -150,6 +150,13 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a hre
 <div class="comments"><p>Great article, thanks for sharing it with all of us here!</p></div><aside>Side</aside><form>Name <input></form><script>var a="</p>";</script><footer>&copy; me</footer>"""
 
 
+def test_html_keeps_what_the_article_holds():
+    links = "".join(f"<li><a href=x>Source {i}</a></li>" for i in range(4))
+    page = f"""<body><div class="site-side">Out</div><article><h1>A</h1><div id="related-work"><p>Earlier work.</p></div><div class="side-by-side">Both</div>
+<ul>{links}</ul><div class="share">Share</div><nav>Next</nav><div role=navigation>Up</div><ul class="menu">{links}</ul></article><ul>{links}</ul></body>"""
+    assert html.main_text(page) == "A\nEarlier work.\nBoth\n" + "\n".join(f"Source {i}" for i in range(4))
+
+
 def test_html(spark):
     assert html.main_text(PAGE) == "Head & line\nFirst paragraph of the article with a link and more text.\nSecond one goes on for quite a while, <so> it is long."
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
