@@ -1,4 +1,11 @@
-"""HTML main text by composite text density."""
+"""HTML main text by composite text density.
+
+Every node gets its characters per tag, adjusted by how much of it is links (the composite text
+density); a node's density sum is that of its child nodes' densities. The node of the greatest sum is
+the main text. The least density on its path to the page's root is the threshold from which parts beside
+it belong to the text too. Names, roles and landmark tags are tie-breaks: what they mark as boilerplate
+counts in all measures but is neither chosen nor rendered; with ``marks`` off, density decides alone.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +26,13 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 # Elements by their role in the HTML standard, and names that mark boilerplate.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video head".split())
+_RAW = frozenset("script style noscript template iframe object svg textarea title select button canvas audio video head".split())
 _OPAQUE = frozenset("script style textarea title iframe noscript template".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split())
 _CELL = frozenset("td th".split())
-_BOILER = frozenset("nav header footer aside form menu dialog button fieldset search".split())
+_BOILER = frozenset("nav header footer aside form menu dialog fieldset search".split())
 _ENDS_P = _BLOCK - frozenset("html body option optgroup tr tbody thead tfoot caption li dd dt summary legend figcaption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _NAMES = frozenset(
@@ -33,34 +40,42 @@ _NAMES = frozenset(
     "header masthead footer sidebar side aside widget widgets comment comments respond disqus reply replies notice notices cookie cookies consent "
     "gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar skip".split())
 _CONTENT = frozenset("article main".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+_LEAF = _TEXT - {"blockquote"} | frozenset("li tr dt dd hr".split())
+_STATES = frozenset("has with no without".split())
 
 
 class Node:
-    __slots__ = ("tag", "kids", "up", "skip", "chars", "links", "tags", "link_tags", "density", "total", "keeps", "inside")
+    __slots__ = ("tag", "kids", "up", "inside", "silent", "marked", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, skip: bool = False) -> None:
-        self.tag, self.up, self.skip, self.kids = tag, up, skip, []
+    def __init__(self, tag: str, up: Node | None, attrs: str = "") -> None:
+        self.tag, self.up, self.kids = tag, up, []
+        self.inside = tag in _CONTENT or up is not None and up.inside
+        hidden, marked = _judge(tag, attrs, up is not None and up.inside)
+        self.silent, self.marked = tag in _RAW or hidden, marked
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.keeps = tag in _CONTENT
-        self.inside = self.keeps or up is not None and up.inside
-
-
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    """By tag, role, visibility or a word of its names; inside an article only whole names count, not their parts."""
-    if tag in _BOILER:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and any(_NAMES.intersection([part.lower()] if inside else _SPLIT.split(part.lower())) for part in value.split()):
-            return True
-    return False
+
+
+def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is not shown, and whether its tag, role or names mark it as boilerplate.
+
+    Within an article or main only whole names count, not their parts; ``has-sidebar`` and the like say
+    what a page has and mark nothing.
+    """
+    hidden, marked = False, tag in _BOILER
+    if attrs and tag not in ("html", "body", "article", "main"):
+        for name, value in _ATTR.findall(attrs):
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                hidden = True
+            elif name == "role":
+                marked |= value.lower() in _ROLES
+            elif name in ("class", "id"):
+                for part in value.split():
+                    words = [part.lower()] if inside else [w.lower() for w in _SPLIT.split(part)]
+                    marked |= words[0] not in _STATES and not _NAMES.isdisjoint(words)
+    return hidden, marked
 
 
 def parse(text: str) -> Node:
@@ -105,7 +120,7 @@ def parse(text: str) -> Node:
                 x = x.up
             if x is not None and x.tag in ends:
                 close(x)
-        child = Node(tag, node, tag in _RAW or _boilerplate(tag, m["attrs"] or "", node.inside))
+        child = Node(tag, node, m["attrs"] or "")
         node.kids.append(child)
         if tag in _OPAQUE:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, at)
@@ -125,24 +140,22 @@ def _post_order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> None:
-    """Characters, tags and links of every node, its link-adjusted density, and the sum over its children.
+    """Characters, tags and links of every node, its composite density, and the sum over its child nodes.
 
-    What is marked as boilerplate counts for nothing, unless the main article lies within it.
+    The density of a node of C characters (LC of them in links, the rest outside) and T tags (LT of them
+    links) is ``C/T * log(C/LC * T/LT)`` to the base ``ln(C/(C - LC) * LC + LCb/Cb * C + e)``, with the body's
+    LCb and Cb and any zero divisor taken as one. On a page without links no adjustment is defined and the
+    density is C/T. Marked nodes count in all of this, but give nothing to their parent's sum.
     """
     order = _post_order(root)
     for x in order:
-        if not x.keeps:
-            x.keeps = any(isinstance(k, Node) and k.keeps for k in x.kids)
-        if x.keeps and x.tag not in _RAW:
-            x.skip = False
-    for x in order:
-        if x.skip:
-            continue
         own = 0
+        if x.silent:
+            continue
         for k in x.kids:
             if isinstance(k, str):
                 own += sum(map(len, entities.unescape(k).split()))
-            elif not k.skip:
+            elif not k.silent:
                 x.chars += k.chars
                 x.links += k.links
                 x.tags += k.tags + 1
@@ -150,38 +163,74 @@ def measure(root: Node) -> None:
         x.chars += own
         if x.tag == "a":
             x.links = x.chars
-    c, l = max(1, root.chars), root.links
+    share = root.links / max(1, root.chars)
     for x in order:
-        if x.skip or not x.chars:
+        if x.silent or not x.chars:
             continue
-        base = math.log(x.chars / max(1, x.chars - x.links) * x.links + l / c * x.chars + math.e)
-        ratio = (x.chars / max(1, x.links)) * (max(1, x.tags) / max(1, x.link_tags))
-        x.density = max(0.0, x.chars / max(1, x.tags) * math.log(max(ratio, 1e-9)) / max(base, 1e-9))
-        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.skip)
+        x.density = x.chars / max(1, x.tags)
+        if root.links:
+            ratio = x.chars / max(1, x.links) * max(1, x.tags) / max(1, x.link_tags)
+            base = math.log(x.chars / max(1, x.chars - x.links) * x.links + share * x.chars + math.e)
+            x.density *= max(0.0, math.log(ratio)) / math.log(base)
+        x.total = sum(k.density for k in x.kids if isinstance(k, Node) and not k.marked)
+
+
+def unmark(root: Node) -> None:
+    """An article or main is no boilerplate for what is around it, nor is an article's header with its heading."""
+    content, headed = set(), set()
+    for x in _post_order(root):
+        kids = [k for k in x.kids if isinstance(k, Node) and not k.silent]
+        if any(k.tag in _CONTENT or id(k) in content for k in kids):
+            content.add(id(x))
+        if any(k.tag == "h1" or id(k) in headed for k in kids):
+            headed.add(id(x))
+        if not x.inside and id(x) in content or x.inside and x.tag == "header" and id(x) in headed:
+            x.marked = False
 
 
-def select(root: Node) -> Node:
-    """The node of the greatest density sum; wider while what lies beside it is as dense as its path."""
-    boxes = [x for x in _post_order(root)[::-1] if not x.skip and (x is root or x.tag in _BLOCK and not re.fullmatch(r"p|h[1-6]|li|tr|dt|dd|pre|hr", x.tag))]
-    best = max(boxes, key=lambda x: x.total)
+def select(root: Node) -> list[Node]:
+    """The node of the greatest density sum, and the parts beside its path that are as dense as that path.
+
+    A node within an article or main stands for all of that. A part beside is one of block level that is a paragraph or heading itself or has a density sum, so that
+    a lone line of text is none; of it the node of the greatest sum is taken. In page order.
+    """
+    boxes, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if not x.silent and not x.marked:
+            boxes.append(x)
+            stack += [k for k in reversed(x.kids) if isinstance(k, Node)]
+    best = _densest(root)
     if not best.total:
-        return root
-    path, x = [], best
-    while x is not None:
-        path.append(x)
-        x = x.up
-    floor = min(p.density for p in path)
-    while best.up is not None and best.tag not in _CONTENT:
-        beside = [k for k in best.up.kids if k is not best and (isinstance(k, str) and k.strip() or isinstance(k, Node) and not k.skip and k.chars)]
-        if any(isinstance(k, Node) and k.tag in _BLOCK and k.density >= floor for k in beside) or best.up.chars == best.chars:
-            best = best.up
-        else:
-            break
+        return [root]
+    while best.inside and best.tag not in _CONTENT:
+        best = best.up
+    path = [best]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
+    threshold, on_path = min(x.density for x in path), set(map(id, path))
+    chosen = {id(best)}
+    for x in path[1:]:
+        for k in x.kids:
+            if isinstance(k, Node) and id(k) not in on_path and not k.silent and not k.marked and k.tag in _BLOCK and k.density >= threshold and (k.total or k.tag in _TEXT):
+                chosen.add(id(_densest(k)))
+    return [x for x in boxes if id(x) in chosen]
+
+
+def _densest(top: Node) -> Node:
+    """Of a node and the blocks within that can hold paragraphs, the one of the greatest density sum."""
+    best, stack = top, [top]
+    while stack:
+        x = stack.pop()
+        if not x.silent and not x.marked:
+            if x.total > best.total and x.tag in _BLOCK and x.tag not in _LEAF:
+                best = x
+            stack += [k for k in x.kids if isinstance(k, Node)]
     return best
 
 
-def render(node: Node) -> str:
-    """Blocks in page order, joined by newlines; white space in a block is one space."""
+def render(nodes: list[Node]) -> str:
+    """Blocks in page order, joined by newlines; white space in a block is one space. Nothing marked or silent."""
     blocks, buf = [], []
 
     def flush() -> None:
@@ -189,29 +238,33 @@ def render(node: Node) -> str:
             blocks.append(text)
         buf.clear()
 
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    tops = set(map(id, nodes))
+    stack: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(nodes)]
     while stack:
         x, ended = stack.pop()
         if isinstance(x, str):
             buf.append(entities.unescape(x))
-        elif x.tag in _BLOCK and ended:
+        elif ended:
             flush()
-        elif not x.skip or x is node:
+        elif not x.silent and not x.marked:
             if x.tag == "br" or x.tag in _CELL:
                 buf.append(" ")
-            if x.tag in _BLOCK:
+            if x.tag in _BLOCK or id(x) in tops:
                 flush()
                 stack.append((x, True))
-            if x.tag in ("ul", "ol") and x.link_tags >= 3 and x.links >= 0.8 * x.chars and x is not node and not x.inside:
-                continue  # a menu, where no article or main says what is text
             stack += [(k, False) for k in reversed(x.kids)]
     flush()
     return "\n".join(blocks)
 
 
-def main_text(page: str | None) -> str:
-    """Main text of one page; empty for null, blank or pages without text."""
+def main_text(page: str | None, *, marks: bool = True) -> str:
+    """Main text of one page; empty for null, blank or pages without text. ``marks`` off: by density alone."""
     root = parse((page or "").replace("\r\n", "\n").replace("\x00", ""))
+    if marks:
+        unmark(root)
+    else:
+        for x in _post_order(root):
+            x.marked = x.inside = False
     measure(root)
     return render(select(root))
 

@@ -1,7 +1,9 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -157,6 +159,68 @@ def test_html_keeps_what_the_article_holds():
     assert html.main_text(page) == "A\nEarlier work.\nBoth\n" + "\n".join(f"Source {i}" for i in range(4))
 
 
+def brute_density(x, body):
+    """Composite density of one node from its own subtree alone."""
+    def all_nodes(n):
+        return [m for k in n.kids if isinstance(k, html.Node) and not k.silent for m in [k, *all_nodes(k)]]
+
+    def chars(n):
+        return sum(len("".join(k.replace("&amp;", "&").split())) if isinstance(k, str) else 0 if k.silent else chars(k) for k in n.kids)
+
+    def linked(n):
+        return chars(n) if n.tag == "a" else sum(linked(k) for k in n.kids if isinstance(k, html.Node) and not k.silent)
+
+    c, lc, t, lt = chars(x), linked(x), len(all_nodes(x)), sum(m.tag == "a" for m in all_nodes(x))
+    if not c:
+        return 0.0
+    if not linked(body):
+        return c / (t or 1)
+    base = math.log(c / ((c - lc) or 1) * lc + linked(body) / chars(body) * c + math.e)
+    return c / (t or 1) * max(0.0, math.log(c / (lc or 1) * (t or 1) / (lt or 1), base))
+
+
+def test_composite_density_of_every_node():
+    rng = random.Random(17)
+
+    def make(depth):
+        kids = "".join(rng.choice(["some words &amp; more ", "<a href=x>a link</a>", "<b>bold</b>", "<script>no</script>"] + ([make(depth - 1)] * 3 if depth else [])) for _ in range(rng.randrange(5)))
+        tag = rng.choice(["div", "section", "span", "a", "div"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for k in range(60):
+        root = html.parse("".join(make(4) for _ in range(3)) + ("" if k % 5 else "<div>no link here</div>"))
+        html.measure(root)
+        nodes = [n for n in html._post_order(root) if not n.silent]
+        for n in nodes:
+            assert n.density == pytest.approx(brute_density(n, root))
+            assert n.total == pytest.approx(sum(brute_density(m, root) for m in n.kids if isinstance(m, html.Node) and not m.silent))
+
+
+def test_density_alone_finds_the_article():
+    """Without landmarks, names and marks the density picks the article's own text on most pages."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    same = 0
+    for page in pages:
+        article = re.search("<article>(.*?)</article>", page, re.S)[1]
+        bare = re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page).replace(' class="ad"', "")
+        want = html.render([html.parse(article)])
+        assert html.main_text(page) == want
+        same += html.main_text(bare) == want == html.main_text(page, marks=False)
+    assert same >= 0.9 * len(pages)
+
+
+def test_html_parts_beside_and_article_header():
+    lines = "".join(f"<p>Some longer words of text that go on, part {i}.</p>" for i in range(6))
+    links = "".join(f"<li><a href=x>Elsewhere {i}</a></li>" for i in range(8))
+    got = html.main_text(f"<ul>{links}</ul><h1>Headline of the page</h1><div class='post has-sidebar'><div>{lines}</div><div>{lines}</div></div><div class=sidebar>{lines}</div>")
+    body = "\n".join(f"Some longer words of text that go on, part {i}." for i in range(6))
+    assert got == f"Headline of the page\n{body}\n{body}"
+    assert html.main_text(f"<header>Site</header><article><header><h1>Own</h1></header><p>x <math><mi>a</mi><mo>=</mo></math></p></article>") == "Own\nx a="
+    assert html.main_text("<div>" * 20_000 + "deep") == "deep"
+
+
 def test_html(spark):
     assert html.main_text(PAGE) == "Head & line\nFirst paragraph of the article with a link and more text.\nSecond one goes on for quite a while, <so> it is long."
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
