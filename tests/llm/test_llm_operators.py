@@ -341,6 +341,8 @@ def test_classifiers_edges(spark, docs):
     w = toxicity.train(df, labels)
     got = {r.doc_id: r for r in toxicity.toxicity_scores(df, w).collect()}
     assert len(got) == len(texts) and all(got[i].predicted == (60 <= i < 90) for i in range(92))
+    again = toxicity.train(df.unionByName(df).unionByName(docs(["x " * 9000] * 500, ids=[5] * 500)), labels)
+    assert again and toxicity.score_text(texts[70], again) > 0.5
     assert toxicity.train(df, labels.limit(0))[""] < 0 and toxicity.toxicity_scores(df.limit(0), w).count() == 0
     m = quality.train(df, labels)
     q = quality.quality_scores(df, m).collect()
@@ -348,14 +350,29 @@ def test_classifiers_edges(spark, docs):
     assert quality.quality_scores(df, quality.train(df, labels.limit(0))).count() == len(texts)
 
 
-def test_label_model_merges_copies():
+def test_label_model_weighs_voters_by_accuracy_and_correlation():
+    """Copies of one noisy voter outvote good ones by number, and a model of independent voters, but not this one."""
     rng = np.random.default_rng(4)
-    y = rng.random(2000) < 0.3
-    v = lambda hit, false: np.where(y, rng.random(2000) < hit, rng.random(2000) < false)
-    noisy = v(0.5, 0.2)
-    votes = np.stack([v(0.8, 0.02), noisy, noisy, noisy, v(0.6, 0.05)], 1).astype(np.int8)
-    q, groups, rates = toxicity.label_model(votes, np.full(2000, 0.3))
-    assert [1, 2, 3] in groups and ((q > 0.5) == y).mean() > 0.85 and rates.shape == (3, 2)
+    n, y = 4000, rng.random(4000) < 0.3
+    v = lambda hit, false: np.where(y, rng.random(n) < hit, rng.random(n) < false)
+    noisy = v(0.5, 0.15)
+    votes = np.stack([v(0.7, 0.02), noisy, noisy, noisy, v(0.6, 0.05), v(0.5, 0.02), v(0.6, 0.03)], 1)
+    row, voter = np.nonzero(votes)
+    q, rates, corr = toxicity.label_model(row, voter, n, 7, 0.3)
+    assert corr[1, 2] > 0.9 and corr[2, 3] > 0.9 and corr[0, 4] < 0.5
+    assert np.abs(rates - [[0.02, 0.15, 0.15, 0.15, 0.05, 0.02, 0.03], [0.7, 0.5, 0.5, 0.5, 0.6, 0.5, 0.6]]).max() < 0.12
+    right = lambda p: (p == y).mean()
+    independent, _, _ = toxicity.label_model(row, voter, n, 7, 0.3, 2.0)
+    assert right(q > 0.5) > 0.92 and right(q > 0.5) > right(votes.sum(1) >= 2) + 0.03 and right(q > 0.5) > right(independent > 0.5) + 0.03
+
+
+def test_toxicity_ignores_the_label_of_a_row_that_all_voters_contradict():
+    own = lambda i: chr(97 + i // 10 % 26) * 3 + chr(97 + i % 10) * 3
+    texts = [f"fine words number {own(i)} here" for i in range(300)] + [f"you idiot moron and loser {own(i)}" for i in range(60)]
+    labels = [0] * 300 + [1] * 60
+    labels[300:303] = [0, 0, 0]  # mislabelled
+    w = toxicity.fit(["\n".join(sorted(toxicity.marks(t))) for t in texts], [""] * 360, labels, toxicity.ToxicityParams())
+    assert all(toxicity.score_text(t, w) > 0.5 for t in texts[300:]) and all(toxicity.score_text(t, w) < 0.5 for t in texts[:300])
 
 
 def test_class_prior():
