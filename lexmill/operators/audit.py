@@ -118,3 +118,20 @@ def within_length(rows: DataFrame, length: Column, most: int, key: str) -> DataF
     """The same rows; one whose length is over ``most`` is an error raised inside the plan, never cut. Null lengths pass."""
     over = F.raise_error(F.concat(F.lit(f"over {most}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[key].dataType)
     return rows.withColumn(key, F.when(length > most, over).otherwise(F.col(key)))
+
+
+def token_length_audit(rows: DataFrame, tokens: Column, *, target: int, shared: int, most: int) -> DataFrame:
+    """One row: how many lengths are over each of three limits, their order statistics, and whether none is over ``most``.
+
+    Null lengths are not counted; an empty table gives zeros and null statistics.
+    """
+    own = rows.select(tokens.cast("long").alias("n")).where("n is not null")
+    counts = own.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("n") > target).alias("over_target"), F.count_if(F.col("n") > shared).alias("over_shared"), F.count_if(F.col("n") > most).alias("over_most"))
+    ranks = nearest_ranks(own, "n", {"least": 0.0, "median": 0.5, "p95": 0.95, "p99": 0.99, "longest": 1.0})
+    return counts.crossJoin(ranks).withColumn("passed", F.col("over_most") == 0)  # one row each
+
+
+def canonical_digest(*columns: str) -> Column:
+    """Digest of a row's canonical JSON: keys in order, no spaces, null fields kept."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -116,8 +117,8 @@ class Chunker:
 
     def header(self, text: str) -> str:
         m = self.article.search(text)
-        lines = [x.strip() for x in text[: m.start() if m else self.p.header_chars].split("\n")]
-        return " ".join(x for x in lines if x)[: self.p.header_chars]
+        lines = [x.strip() for x in text[: m.start() if m else self.p.header_chars].splitlines()]
+        return "\n".join(x for x in lines if x)[: self.p.header_chars].rstrip()
 
     def rows(self, document_id: str, title: str | None, text: str) -> list[tuple]:
         header, out = self.header(text), []
@@ -146,44 +147,95 @@ def chunk_documents(docs: DataFrame, params: ChunkParams = ChunkParams(), *, id_
     return own.mapInPandas(run, SCHEMA)
 
 
+#: What opens a procedure's heading, and an item number that ends it.
+PROCEDURE = re.compile(r"^(?:PHẪU THUẬT|KỸ THUẬT|QUY TRÌNH|ĐIỀU TRỊ)\b", re.I)
+ITEM_NUMBER = re.compile(r"^(?:[IVX]+|\d+)\s*[.)-]\s+", re.I)
+_BREAKS = (". ", "; ", ": ", " ")
+
+
+def _tight(text: str, a: int, b: int) -> tuple[int, int]:
+    part = text[a:b]
+    return a + len(part) - len(part.lstrip()), a + len(part.rstrip()) if part.strip() else a + len(part) - len(part.lstrip())
+
+
 def split_exact(text: str, least: int, most: int) -> list[tuple[int, int]]:
-    """Spans of lines cut to at most ``most`` characters at the last good break of a window's second half.
+    """Trimmed spans of lines, cut to at most ``most`` characters at the last break of a window's second half.
 
-    Breaks are tried as ``. ``, ``; ``, ``: `` and space; short spans join the one before them; what is still
-    shorter than ``least`` is dropped.
+    A break is the end of a sentence or clause, or a space; without one the cut is at ``most``. A span shorter than
+    ``least`` joins the one before it if both fit, as a short first one does the second; what stays short is dropped.
     """
     spans: list[tuple[int, int]] = []
     for m in re.finditer(r"[^\n]+", text):
-        a, b = m.span()
+        a, b = _tight(text, *m.span())
         while b - a > most:
-            half = a + most // 2
-            cut = next((p + len(k) for k in (". ", "; ", ": ", " ") if (p := text.rfind(k, half, a + most)) >= 0), a + most)
-            spans.append((a, cut))
-            a = cut
-        spans.append((a, b))
+            cut = max(text.rfind(k, a + most // 2, a + most + 1) for k in _BREAKS)
+            if cut < 0:
+                cut = a + most
+            elif text[cut] != " ":
+                cut += 1
+            x, y = _tight(text, a, cut)
+            if y > x:
+                spans.append((x, y))
+            a, b = _tight(text, cut, b)
+        if b > a:
+            spans.append((a, b))
     out: list[tuple[int, int]] = []
     for a, b in spans:
-        if out and b - a < least and b - out[-1][0] <= most:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return [(a, b) for a, b in out if len(text[a:b].strip()) >= least]
-
-
-def sections(text: str, params: ChunkParams = ChunkParams(), most_lines: int = 4, most_chars: int = 220) -> list[tuple[int, int, str]]:
-    """Sections under upper-case headings (of up to four lines) and articles: ``start, end, heading``."""
-    lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
-    upper = lambda s: sum(map(str.isalpha, s)) >= 12 and sum(map(str.isupper, s)) >= 0.9 * sum(map(str.isalpha, s))
-    heads: list[tuple[int, str]] = [(m.start(), m[0].strip()) for m in re.finditer(params.article, text)]
-    i = 0
-    while i < len(lines):
-        a, b = lines[i]
-        if upper(text[a:b]):
-            j = i
-            while j + 1 < len(lines) and j + 1 - i < most_lines and upper(text[slice(*lines[j + 1])]) and lines[j + 1][1] - a <= most_chars:
-                j += 1
-            heads.append((a, " ".join(text[a : lines[j][1]].split())))
-            i = j
-        i += 1
-    heads.sort()
-    return [(a, b, h) for (a, h), b in zip(heads, [*(x for x, _ in heads[1:]), len(text)])]
+        joins = out and b - a < least and b - out[-1][0] <= most
+        out[-1:] = [(out[-1][0], b)] if joins else [*out[-1:], (a, b)]
+    if len(out) > 1 and out[0][1] - out[0][0] < least and out[1][1] - out[0][0] <= most:
+        out[:2] = [(out[0][0], out[1][1])]
+    return [(a, b) for a, b in out if b - a >= least]
+
+
+def _upper(s: str) -> bool:
+    letters = [c for c in s if c.isalpha()]
+    return len(letters) >= 12 and sum(map(str.isupper, letters)) >= 0.9 * len(letters)
+
+
+def procedure_headings(text: str, most_lines: int = 4, most_chars: int = 220) -> list[tuple[int, str]]:
+    """``start, title`` of upper-case headings that name a procedure, with up to three upper-case lines that go on."""
+    rows = [(m.start(), m[0].strip()) for m in re.finditer(r"(?m)^[^\n]+", text)]
+    out = []
+    for i, (start, head) in enumerate(rows):
+        if PROCEDURE.match(head) and _upper(head):
+            more = itertools.takewhile(lambda x: x and _upper(x) and not ITEM_NUMBER.match(x) and not PROCEDURE.match(x), (x for _, x in rows[i + 1 : i + most_lines]))
+            title = " ".join([head, *more])
+            if len(title) <= most_chars:
+                out.append((start, title))
+    return out
+
+
+def sections(text: str, params: ChunkParams = ChunkParams()) -> list[dict]:
+    """Articles, then procedures: ``kind, start, end, heading, article_number``. A procedure ends at the next, or with its article."""
+    heads = list(re.finditer(params.article, text))
+    ends = [*(m.start() for m in heads[1:]), len(text)]
+    out = [{"kind": "article", "start": m.start(), "end": e, "heading": m[0].strip(), "article_number": m["number"]} for m, e in zip(heads, ends)]
+    found = procedure_headings(text)
+    for (a, title), b in zip(found, [*(x for x, _ in found[1:]), len(text)]):
+        around = next((s["end"] for s in out if s["kind"] == "article" and s["start"] <= a < s["end"]), len(text))
+        out.append({"kind": "procedure", "start": a, "end": min(b, around), "heading": title, "article_number": None})
+    return [s for s in out if s["end"] > s["start"]]
+
+
+def document_sections(docs: DataFrame, *, id_col: str = "document_id", text_col: str = "cleaned_text") -> DataFrame:
+    """``document_id, position, kind, start, end, heading, article_number``; null and blank texts have none. Map-only."""
+    names = ["document_id", "position", "kind", "start", "end", "heading", "article_number"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([{"document_id": i, "position": k, **s} for i, t in zip(pdf["id"], pdf["text"]) if t for k, s in enumerate(sections(t))], columns=names)
+
+    own = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return own.mapInPandas(run, "document_id string, position int, kind string, start int, end int, heading string, article_number string")
+
+
+def exact_segments(docs: DataFrame, *, id_col: str = "document_id", text_col: str = "cleaned_text", least: int = 200, most: int = 1200) -> DataFrame:
+    """``document_id, position, start, end`` of ``split_exact``; null and blank texts have none. Map-only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(i, k, a, b) for i, t in zip(pdf["id"], pdf["text"]) if t for k, (a, b) in enumerate(split_exact(t, least, most))], columns=["document_id", "position", "start", "end"])
+
+    own = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return own.mapInPandas(run, "document_id string, position int, start int, end int")

@@ -21,10 +21,10 @@ NOTICE = (
     r"liên\s+quan\s+đến\s+nội\s+dung\s+TCVN\.\s*Mọi\s+chi\s+tiết\s+xin\s+liên\s+hệ:\s*ĐT:\s*\(028\)\s*3930\s*3279\s*DĐ:\s*0906\s*22\s*99\s*66")
 ZERO_WIDTH = "\ufeff\u200b\u200c\u200d\u2060"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-SCRIPT = r"(?is)<\s*script\b[^>]*>.*?<\s*/\s*script\s*>"
-STYLE = r"(?is)<\s*style\b[^>]*>.*?<\s*/\s*style\s*>"
-ALTS = (r"(?i)<\s*img\b[^>]*\balt\s*=\s*\"([^\"]*)\"[^>]*>", r"(?i)<\s*img\b[^>]*\balt\s*=\s*'([^']*)'[^>]*>", r"(?i)<\s*img\b[^>]*\balt\s*=\s*([^\s>\"']+)[^>]*>")
-IMG = r"(?i)<\s*img\b[^>]*>"
+SCRIPT_STYLE = r"(?is)<\s*(script|style)\b[^>]*>.*?<\s*/\s*\1\s*>"
+#: An image with the first of its alt texts, quoted or bare, as group 1, 2 or 3.
+IMG = r"(?i)<\s*img\b(?:[^>]*?\balt\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s>]+)))?[^>]*>"
+_EDGES = r"(?md)^[\p{IsWhite_Space}&&[^\n]]+|[\p{IsWhite_Space}&&[^\n]]+$"
 
 
 @pandas_udf(StringType())
@@ -45,17 +45,14 @@ def prepare(raw: Column) -> Column:
 
 def tags_to_text(c: Column) -> Column:
     """Scripts and styles go, images give their alt text, block tags a line end, inline tags nothing."""
-    x = F.regexp_replace(F.regexp_replace(c, SCRIPT, ""), STYLE, "")
-    for alt in ALTS:
-        x = F.regexp_replace(x, alt, "$1")
-    x = F.regexp_replace(x, IMG, "")
+    x = F.regexp_replace(F.regexp_replace(c, SCRIPT_STYLE, ""), IMG, "$1$2$3")
     return F.regexp_replace(F.regexp_replace(x, BLOCK_TAG, "\n"), INLINE_TAG, "")
 
 
 def squeeze_lines(c: Column) -> Column:
-    """Spaces within lines as one, lines trimmed, at most one blank line in a row, ends trimmed."""
-    x = F.regexp_replace(F.regexp_replace(c, r"[ \t\x0B\f]+", " "), r"(?m)^ +| +$", "")
-    return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """Spaces within lines as one, lines trimmed of all white space, at most one blank line in a row, ends trimmed."""
+    x = F.regexp_replace(F.regexp_replace(c, r"[ \t\x0B\f]+", " "), _EDGES, "")
+    return F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+\z", "")
 
 
 def clean_native(raw: Column) -> Column:
@@ -69,10 +66,16 @@ def clean(raw: Column) -> Column:
     return _unescape(clean_native(_compose(raw)))
 
 
-def counters(raw: Column) -> list[Column]:
-    """How often rules fire: HTML rules, notices; and whether the text has CR line ends."""
-    c = prepare(raw)
+def counters(raw: Column, *, compose: bool = True) -> list[Column]:
+    """How often rules fire on the composed text, each on what the ones before left: HTML rules, notices; and
+    whether the text was not composed or has CR line ends."""
+    whole = _compose(raw) if compose else raw
+    c = prepare(whole)
     n = lambda x, p: F.regexp_count(x, F.lit(p))
-    bare = F.regexp_replace(F.regexp_replace(c, SCRIPT, ""), STYLE, "")
-    fired = n(c, SCRIPT) + n(F.regexp_replace(c, SCRIPT, ""), STYLE) + n(bare, IMG) + n(bare, BLOCK_TAG) + n(bare, INLINE_TAG)
-    return [F.when(c.rlike(TAG_HINT), fired).otherwise(0).alias("html_count"), n(c, NOTICE).alias("notice_count"), raw.contains("\r").alias("crlf_input")]
+    bare = F.regexp_replace(c, SCRIPT_STYLE, "")
+    shown = F.regexp_replace(bare, IMG, "$1$2$3")
+    fired = n(c, SCRIPT_STYLE) + n(bare, IMG) + n(shown, BLOCK_TAG) + n(F.regexp_replace(shown, BLOCK_TAG, "\n"), INLINE_TAG)
+    left = F.when(c.rlike(TAG_HINT), tags_to_text(c)).otherwise(c)
+    return [
+        F.when(c.rlike(TAG_HINT), fired).otherwise(0).alias("html_count"), n(left, NOTICE).alias("notice_count"),
+        (whole != raw).alias("non_nfc_input"), raw.contains("\r").alias("crlf_input")]

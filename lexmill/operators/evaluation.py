@@ -139,3 +139,35 @@ def leader(metrics: DataFrame, *, variant: str, keys: list[str], by: list[str] |
 def promotion(summary: DataFrame) -> DataFrame:
     """``promoted``: the mean delta and the lower bound are above zero."""
     return summary.withColumn("promoted", (F.col("mean_delta") > 0) & (F.col("low") > 0))
+
+
+# References to articles and to numbered documents in an answer.
+ANSWER_ARTICLE = r"(?iU)\bĐiều\s+([0-9]+(?:[a-zđ])?)"
+ANSWER_DOCUMENT = r"(?U)\b[0-9]{1,4}/[0-9]{4}/[A-ZĐ]+(?:-[A-ZĐ0-9]+)+\b"
+
+
+def answer_derived(answer: Column, contexts: Column) -> list[Column]:
+    """How much of an answer its contexts (an array of ``text, article_number``) hold: words, and the references it makes.
+
+    An article is held if a context is of it or names it, a document if a context names its number.
+    """
+    whole = F.array_join(F.transform(contexts, lambda c: F.coalesce(c["text"], F.lit(""))), "\n")
+    words, held = F.array_distinct(T.folded_tokens(answer)), T.folded_tokens(whole)
+    folded = F.transform(contexts, lambda c: T.fold_accents(F.coalesce(c["text"], F.lit(""))))
+    articles = F.array_distinct(F.regexp_extract_all(F.lower(answer), F.lit(ANSWER_ARTICLE), F.lit(1)))
+    documents = F.array_distinct(F.regexp_extract_all(F.upper(answer), F.lit(ANSWER_DOCUMENT), F.lit(0)))
+    of = F.transform(contexts, lambda c: F.lower(F.coalesce(c["article_number"], F.lit(""))))
+    article_hits = F.size(F.filter(articles, lambda a: F.array_contains(of, a) | F.exists(folded, lambda t: t.contains(F.concat(F.lit("dieu "), T.fold_accents(a))))))
+    document_hits = F.size(F.filter(documents, lambda n: T.fold_accents(whole).contains(T.fold_accents(n))))
+    made, hits = F.size(articles) + F.size(documents), article_hits + document_hits
+    return [
+        F.size(words).alias("answer_words"), F.when(F.size(words) > 0, F.size(F.array_intersect(words, held)) / F.size(words)).otherwise(0.0).alias("coverage"),
+        made.alias("references"), hits.alias("reference_hits"), (hits > 0).alias("any_hit"), ((made > 0) & (hits == made)).alias("all_hit"), F.length(whole).alias("context_characters")]
+
+
+def changed_effect(deltas: DataFrame, changed: Column) -> DataFrame:
+    """``paired_summary`` over all rows and over the changed ones only: ``scope, questions, mean_delta, improved, worsened, tied``."""
+    d = deltas.withColumn("scope", F.explode(F.when(changed, F.array(F.lit("all"), F.lit("changed"))).otherwise(F.array(F.lit("all")))))
+    return d.groupBy("scope").agg(
+        F.count("*").alias("questions"), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("improved"),
+        F.count_if(F.col("delta") < 0).alias("worsened"), F.count_if(F.col("delta") == 0).alias("tied"))

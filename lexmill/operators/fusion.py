@@ -47,7 +47,7 @@ def rerank(ranked: DataFrame, score: str, top_k: int) -> DataFrame:
 
 
 def article_rrf(rankings: DataFrame, block: str, weights: dict[str, float], *, k: int = 60, per_branch: int = 3, top_k: int = 10) -> DataFrame:
-    """Blocks by the sum of their best ``per_branch`` ranks of each branch, with their best item.
+    """Blocks by the sum of their best ``per_branch`` ranks of each branch, with their best item (ties: its best rank, id).
 
     ``query_id, block, score, representative, representative_score, rank``.
     """
@@ -55,8 +55,8 @@ def article_rrf(rankings: DataFrame, block: str, weights: dict[str, float], *, k
     scored = rankings.withColumn("part", F.element_at(w, F.col("branch")) / (k + F.col("rank")))
     best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", block, "branch").orderBy("rank", "id"))).where(F.col("nth") <= per_branch)
     blocks = best.groupBy("query_id", F.col(block).alias("block")).agg(F.round(F.sum("part"), 12).alias("score"))
-    items = scored.groupBy("query_id", F.col(block).alias("block"), "id").agg(F.round(F.sum("part"), 12).alias("s"))
-    top = items.groupBy("query_id", "block").agg(F.min(F.struct((-F.col("s")).alias("s"), "id")).alias("r"))
+    items = scored.groupBy("query_id", F.col(block).alias("block"), "id").agg(F.round(F.sum("part"), 12).alias("s"), F.min("rank").alias("b"))
+    top = items.groupBy("query_id", "block").agg(F.min(F.struct((-F.col("s")).alias("s"), "b", "id")).alias("r"))
     out = blocks.join(top, ["query_id", "block"]).select("query_id", "block", "score", F.col("r.id").alias("representative"), (-F.col("r.s")).alias("representative_score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("representative_score"), "block")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

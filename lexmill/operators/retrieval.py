@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.session import durable
 
 K1, B = 1.2, 0.75
 
@@ -29,38 +31,177 @@ def corpus_stats(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "id", score: str = "score") -> DataFrame:
-    """Best k rows of each query by (score desc, item); Spark cuts each partition to k before the shuffle."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), item)
+def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "id", score: str = "score", within: tuple[str, ...] = ()) -> DataFrame:
+    """Best k rows of each query (and ``within`` columns) by (score desc, item); Spark cuts each partition to k before the shuffle."""
+    w = Window.partitionBy(*within, query).orderBy(F.desc(score), item)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(
+#: Queries of one block; each is scored in one pass over the documents' own counts of its terms.
+QUERY_BLOCK = 2048
+
+#: ``(terms of the block) -> (document's column value) -> ({term number: frequency}, length)``
+Counter_ = Callable[[dict[str, int]], Callable[[object], tuple[dict[int, int], int]]]
+
+
+def _count_tokens(vocabulary: dict[str, int]):
+    def count(tokens) -> tuple[dict[int, int], int]:
+        tf: dict[int, int] = {}
+        for t in tokens:
+            if (j := vocabulary.get(t)) is not None:
+                tf[j] = tf.get(j, 0) + 1
+        return tf, len(tokens)
+
+    return count
+
+
+def _count_substrings(shortest: int):
+    """Terms as substrings of a text's words; what a word holds is found once and remembered in a bounded table."""
+    word = regex.compile(T.WORDS)
+
+    def over(vocabulary: dict[str, int]):
+        lengths = sorted({len(t) for t in vocabulary})
+        known: dict[str, tuple[tuple[int, int], ...]] = {}
+
+        def look(w: str) -> tuple[tuple[int, int], ...]:
+            if len(known) > 400_000:
+                known.clear()
+            found = {w[i : i + n] for n in lengths for i in range(len(w) - n + 1)} & vocabulary.keys()
+            out = known[w] = tuple((vocabulary[t], w.count(t)) for t in sorted(found))
+            return out
+
+        def count(text: str) -> tuple[dict[int, int], int]:
+            tf: dict[int, int] = {}
+            for w in word.findall(text):
+                if len(w) >= shortest:
+                    for j, n in known.get(w) or look(w):
+                        tf[j] = tf.get(j, 0) + n
+            return tf, max(len(text) - 2, 0)
+
+        return count
+
+    return over
+
+
+def _best_by_query(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (score, id, query number) the best k of each query, by falling score and then id."""
+    order = np.lexsort((ids, -scores, queries))
+    q = queries[order]
+    first = np.searchsorted(q, q)  # place where each row's query begins
+    keep = order[np.arange(len(q)) - first < k]
+    return scores[keep], ids[keep], queries[keep]
+
+
+def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter: Counter_, k: int, pairs: bool, query_type: str) -> DataFrame:
+    """``query_id, id, score`` of one block of queries: the best k of each partition of ``docs`` (``id, x``)."""
+    spark, id_type = docs.sparkSession, docs.schema["id"].dataType.simpleString()
+    vocabulary: dict[str, int] = {}
+    asked = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in terms], int) for _, terms in block]
+    shared = spark.sparkContext.broadcast(vocabulary)  # the terms of at most QUERY_BLOCK queries
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = counter(shared.value)
+        for pdf in batches:
+            got = [(None, None) if x is None else of(x) for x in pdf["x"]]
+            yield pd.DataFrame({
+                "id": pdf["id"], "dl": pd.array([n for _, n in got], "Int64"),
+                "terms": [np.fromiter(tf, np.int32, len(tf)) if tf else None for tf, _ in got], "tf": [np.fromiter(tf.values(), np.int32, len(tf)) if tf else None for tf, _ in got]})
+
+    # the only pass over texts: from here on a document is its length and the counts of terms that someone asks for
+    counted = durable(docs.mapInPandas(count, f"id {id_type}, dl long, terms array<int>, tf array<int>"))
+    n, mean = counted.agg(F.count("*"), F.avg("dl")).first()
+    df = np.zeros(len(vocabulary))
+    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # one number a term of the block
+        df[r.t] = r.df
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+    # for each term the numbers of the queries that ask for it, end to end
+    owner = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+    term = np.concatenate(asked) if len(owner) else np.empty(0, int)
+    order = np.argsort(term, kind="stable")
+    table = spark.sparkContext.broadcast((owner[order], np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), idf, [len(a) for a in asked], [q for q, _ in block]))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_term, start, idf, n_terms, names = table.value
+        n_terms, width = np.array(n_terms), len(n_terms)
+        best = None
+        for pdf in batches:
+            pdf = pdf[pdf["terms"].notna()]
+            for lo in range(0, len(pdf), 500):
+                part = pdf.iloc[lo : lo + 500]
+                m = np.array([len(t) for t in part["terms"]])
+                doc, t, tf = np.repeat(np.arange(len(part)), m), np.concatenate(part["terms"].to_numpy()), np.concatenate(part["tf"].to_numpy()).astype(float)
+                dl = part["dl"].to_numpy(float)[doc]
+                gain = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                many = start[t + 1] - start[t]
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[t], many)
+                cell = np.repeat(doc * width, many) + by_term[at]
+                s = np.bincount(cell, np.repeat(gain, many), len(part) * width)
+                hits = np.bincount(cell, minlength=len(part) * width)
+                found = np.flatnonzero(hits)
+                q, own = found % width, s[found]
+                if pairs:
+                    one = n_terms[q] == 1
+                    own = np.where(one, own, own * (hits[found] - 1))
+                    keep = one | (hits[found] >= 2)
+                    found, q, own = found[keep], q[keep], own[keep]
+                rows = (np.round(own, 10), part["id"].to_numpy()[found // width], q)
+                best = _best_by_query(*(rows if best is None else [np.concatenate(x) for x in zip(best, rows)]), k)
+        if best is not None and len(best[0]):
+            yield pd.DataFrame({"query_id": [names[i] for i in best[2]], "id": best[1], "score": best[0]})
+
+    return counted.mapInPandas(score, f"query_id {query_type}, id {id_type}, score double")
+
+
+def _candidates(docs: DataFrame, queries: DataFrame, counter: Counter_, k: int, pairs: bool) -> DataFrame:
+    """BM25 of ``docs`` (``id, x``) for ``queries`` (``query_id, t``), in blocks of queries of a fixed size; unranked."""
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    found, block = None, []
+
+    def add() -> DataFrame:
+        got = _rank_block(docs, block, counter, k, pairs, query_type)
+        return got if found is None else found.unionByName(got)
+
+    for r in queries.where(F.size("t") > 0).toLocalIterator():
+        block.append((r.query_id, list(r.t)))
+        if len(block) == QUERY_BLOCK:
+            found, block = add(), []
+    if block or found is None:
+        found = add()
+    return found
+
+
+def ranked_branches(branches: dict[str, DataFrame], k: int) -> DataFrame:
+    """``query_id, branch, id, rank, score`` of several branches' candidates, each branch ranked on its own.
+
+    Branches are joined to one table before they are ranked: Spark 4.1 takes a union of tables dealt by one key as
+    dealt by it, which does not hold once each side's partitions are coalesced on their own.
+    """
+    every = None
+    for name, found in branches.items():
+        part = found.select("query_id", F.lit(name).alias("branch"), "id", "score")
+        every = part if every is None else every.unionByName(part)
+    return top_k(every, k, within=("branch",)).select("query_id", "branch", "id", "rank", "score")
+
+
+def bm25_candidates(
     docs: DataFrame, queries: DataFrame, *, doc_tokens: Column, query_tokens: Column, k: int, id_col: str = "doc_id", query_col: str = "item_id", pairs: bool = False
 ) -> DataFrame:
+    """What ``bm25`` ranks: ``query_id, id, score`` with the best k of each query and partition, in no order."""
+    d = docs.select(F.col(id_col).alias("id"), doc_tokens.alias("x"))
+    return _candidates(d, queries.select(F.col(query_col).alias("query_id"), query_tokens.alias("t")), _count_tokens, k, pairs)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, *, k: int, **how) -> DataFrame:
     """``query_id, id, rank, score``: BM25 with k1 1.2, b 0.75, and idf not under 1e-6.
 
-    Query terms form the build side; postings are filtered to them by a semi-join before the
-    aggregate, so only terms that someone asks for are shuffled. Scores are rounded to ten decimals
-    so that ties break alike however sums are ordered. With ``pairs`` at least two of a query's terms
-    must match (one, if it has one) and a term counts once for each pair it forms with others matched.
-    Queries without tokens give no rows.
+    Queries are taken in blocks of a fixed size, whose terms are broadcast. Documents are tokenised once a block:
+    what stays of each is its length and its counts of the block's terms. Scores are summed within a document,
+    and each partition keeps the best k of a query, so what is shuffled is k rows a query and partition, whatever
+    a term's frequency. Scores are rounded to ten decimals so that ties break alike however sums are ordered.
+    With ``pairs`` at least two of a query's terms must match (one, if it has one) and a term counts once for
+    each pair it forms with others matched. Queries without tokens give no rows; null texts count as documents only.
     """
-    q = queries.select(F.col(query_col).alias("query_id"), query_tokens.alias("t"))
-    terms = q.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    # tokenised once: one term list per document and its length; both statistics come from it
-    p = postings(docs, doc_tokens, id_col)
-    wanted = p.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, doc_tokens)
-    idf = df.crossJoin(F.broadcast(stats)).select(  # one row of two numbers
-        "term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = terms.join(idf, "term").join(wanted, "term").groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("s"), F.count("*").alias("m"))
-    if pairs:
-        hits = hits.where((F.col("n_terms") == 1) | (F.col("m") >= 2)).withColumn("s", F.when(F.col("n_terms") == 1, F.col("s")).otherwise(F.col("s") * (F.col("m") - 1)))
-    return top_k(hits.select("query_id", "id", F.round("s", 10).alias("score")), k).select("query_id", "id", "rank", "score")
+    return top_k(bm25_candidates(docs, queries, k=k, **how), k).select("query_id", "id", "rank", "score")
 
 
 def trigram_tokens(c: Column) -> Column:
@@ -71,34 +212,22 @@ def trigram_tokens(c: Column) -> Column:
     return F.zip_with(pairs, F.slice(one, F.lit(3), n), lambda x, y: F.concat(x, y))
 
 
-def substring_bm25(
+def substring_candidates(
     docs: DataFrame, queries: DataFrame, *, text: Column, terms: Column, k: int, max_chars: int | None = None, shortest: int = 3, id_col: str = "doc_id", query_col: str = "item_id"
 ) -> DataFrame:
+    """What ``substring_bm25`` ranks, in no order."""
+    x = text if max_chars is None else F.substring(text, 1, max_chars)
+    d = docs.select(F.col(id_col).alias("id"), x.alias("x"))
+    return _candidates(d, queries.select(F.col(query_col).alias("query_id"), terms.alias("t")), _count_substrings(shortest), k, True)
+
+
+def substring_bm25(docs: DataFrame, queries: DataFrame, *, k: int, **how) -> DataFrame:
     """The trigram branch: a term is any substring, dl the number of trigrams, two terms must match.
 
     Terms are letters and digits only, ``shortest`` characters at least, so each of their occurrences
-    lies within one word: terms are sought in the distinct words, by an equi-join on the term's first
-    trigram, and documents meet them by their words. ``max_chars`` cuts the texts, if it is given.
+    lies within one word: terms are sought in the words of each document. ``max_chars`` cuts the texts, if given.
     """
-    x = text if max_chars is None else F.substring(text, 1, max_chars)
-    d = docs.select(F.col(id_col).alias("id"), x.alias("x")).withColumn("dl", F.greatest(F.length("x") - 2, F.lit(0)))
-    q = queries.select(F.col(query_col).alias("query_id"), terms.alias("t"))
-    asked = q.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    vocab = asked.select("term", F.substring("term", 1, 3).alias("g")).distinct()
-    long_ = F.filter(F.regexp_extract_all("x", F.lit(T.WORDS), F.lit(0)), lambda w: F.length(w) >= shortest)
-    words = d.select("id", "dl", F.explode(long_).alias("w"))
-    grams = words.select("w").distinct().select("w", F.explode(F.array_distinct(trigram_tokens(F.col("w")))).alias("g"))
-    times = (F.length("w") - F.length(F.replace("w", F.col("term"), F.lit("")))) / F.length("term")
-    within = grams.join(vocab, "g").where(F.col("w").contains(F.col("term"))).select("w", "term", times.alias("times"))
-    p = words.join(within, "w").groupBy("id", "dl", "term").agg(F.sum("times").alias("tf"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select(
-        "term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = asked.join(idf, "term").join(p, "term").groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("s"), F.count("*").alias("m"))
-    hits = hits.where((F.col("n_terms") == 1) | (F.col("m") >= 2))
-    score = F.when(F.col("n_terms") == 1, F.col("s")).otherwise(F.col("s") * (F.col("m") - 1))
-    return top_k(hits.select("query_id", "id", F.round(score, 10).alias("score")), k).select("query_id", "id", "rank", "score")
+    return top_k(substring_candidates(docs, queries, k=k, **how), k).select("query_id", "id", "rank", "score")
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 512) -> DataFrame:

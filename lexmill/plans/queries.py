@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import assembly, audit, chunking, cleaning, cleanup, evaluation, fusion, retrieval, selection, spans, splits
+from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, retrieval, selection, spans, splits, stages
 from lexmill.session import table
 
 QUERIES: dict = {}
@@ -46,24 +46,33 @@ def _bm25_sql(d: str, doc: str, asked: str) -> str:
         queries=f"SELECT item_id AS query_id, list_distinct({_WORDS.format(x=asked)}) AS t FROM benchmark")
 
 
-def _word_branch(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieval.bm25(
-        table(spark, d, "documents"), table(spark, d, "benchmark"), doc_tokens=T.word_list(F.col("text")), query_tokens=T.query_tokens(F.col("text")), k=k)
+def _word_branch(spark: SparkSession, d: str, k: int, **how) -> DataFrame:
+    return retrieval.bm25_candidates(
+        table(spark, d, "documents"), table(spark, d, "benchmark"), doc_tokens=T.word_list(F.col("text")), query_tokens=T.query_tokens(F.col("text")), k=k, **how)
 
 
 def _folded_branch(spark: SparkSession, d: str, k: int) -> DataFrame:
     words = F.regexp_extract_all(T.fold_accents(F.col("text")), F.lit(T.WORDS), F.lit(0))
-    return retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_tokens=words, query_tokens=T.folded_tokens(F.col("text")), k=k)
+    return retrieval.bm25_candidates(table(spark, d, "documents"), table(spark, d, "benchmark"), doc_tokens=words, query_tokens=T.folded_tokens(F.col("text")), k=k)
+
+
+def _trigram_branch(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return retrieval.substring_candidates(
+        table(spark, d, "documents"), table(spark, d, "benchmark"), text=F.lower("text"), terms=T.trigram_terms(T.query_tokens(F.col("text")), 8), k=k, shortest=8)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return retrieval.top_k(found, k).select("query_id", "id", "rank", "score")
 
 
 @query(f"WITH {_bm25_sql('d', _LOWER, _ASKED)} SELECT query_id, id, rank::INT AS rank, score FROM dr WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _word_branch(spark, d, 10)
+    return _ranked(_word_branch(spark, d, 10), 10)
 
 
 @query(f"WITH {_bm25_sql('d', _FOLDED, _FOLDED)} SELECT query_id, id, rank::INT AS rank, score FROM dr WHERE rank <= 10")
 def accent_fold_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return _folded_branch(spark, d, 10)
+    return _ranked(_folded_branch(spark, d, 10), 10)
 
 
 _PAIRS = _bm25_sql("d", _LOWER, _ASKED).replace("AS score\n", "AS s0, count(*) AS m\n").replace(
@@ -73,15 +82,14 @@ _PAIRS = _bm25_sql("d", _LOWER, _ASKED).replace("AS score\n", "AS s0, count(*) A
 
 @query(f"WITH {_PAIRS} SELECT query_id, id, rank::INT AS rank, score FROM dr WHERE rank <= 10")
 def bm25_two_terms(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(
-        table(spark, d, "documents"), table(spark, d, "benchmark"), doc_tokens=T.word_list(F.col("text")), query_tokens=T.query_tokens(F.col("text")), k=10, pairs=True)
+    return _ranked(_word_branch(spark, d, 10, pairs=True), 10)
 
 
 _TRIGRAM = """
-WITH d AS (SELECT doc_id AS id, substr(lower(text), 1, 2000) AS x FROM documents),
+WITH d AS (SELECT doc_id AS id, lower(text) AS x FROM documents),
 q AS (SELECT item_id AS query_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS t FROM benchmark),
 u AS (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM q) GROUP BY ALL),
-c AS (SELECT query_id, term FROM u WHERE length(term) >= 8 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, i) <= 4),
+c AS (SELECT query_id, term FROM u WHERE length(term) >= 8),
 k AS (SELECT query_id, count(*) AS n_terms FROM c GROUP BY 1),
 p AS (SELECT d.id, greatest(length(x) - 2, 0) AS dl, v.term, (length(x) - length(replace(x, v.term, ''))) / length(v.term) AS tf FROM d JOIN (SELECT DISTINCT term FROM c) v ON contains(x, v.term)),
 st AS (SELECT count(*) AS n, avg(greatest(length(x) - 2, 0)) AS avgdl FROM d),
@@ -95,17 +103,8 @@ QUALIFY rank <= 10"""
 
 @query(_TRIGRAM)
 def trigram_min2_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.substring_bm25(
-        table(spark, d, "documents"), table(spark, d, "benchmark"), text=F.lower("text"),
-        terms=T.trigram_terms(T.query_tokens(F.col("text")), 8, 4), k=10, max_chars=2000, shortest=8)
-
-
-@query()
-def trigram_min2_topk_full(spark: SparkSession, d: str) -> DataFrame:
     """The trigram branch over whole texts and all terms of eight characters on."""
-    return retrieval.substring_bm25(
-        table(spark, d, "documents"), table(spark, d, "benchmark"), text=F.lower("text"),
-        terms=T.trigram_terms(T.query_tokens(F.col("text")), 8), k=10, shortest=8)
+    return _ranked(_trigram_branch(spark, d, 10), 10)
 
 
 @query("""
@@ -122,8 +121,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _branches(spark: SparkSession, d: str, k: int = 40) -> DataFrame:
-    word, folded = _word_branch(spark, d, k), _folded_branch(spark, d, k)
-    return word.select("query_id", F.lit("word").alias("branch"), "id", "rank").unionByName(folded.select("query_id", F.lit("folded").alias("branch"), "id", "rank"))
+    return retrieval.ranked_branches({"word": _word_branch(spark, d, k), "folded": _folded_branch(spark, d, k)}, k).drop("score")
 
 
 _TWO = f"""WITH {_bm25_sql('d', _LOWER, _ASKED)},{_bm25_sql('f', _FOLDED, _FOLDED)},
@@ -147,6 +145,23 @@ def rrf_fusion_best_rank(spark: SparkSession, d: str) -> DataFrame:
     return fusion.weighted_rrf(_branches(spark, d), {"word": 0.5, "folded": 0.5}, top_k=20, best_rank_ties=True).select("query_id", "id", "rank", "fused_score", "best_rank")
 
 
+_THREE = _TWO.replace("b AS (", _TRIGRAM.strip().removeprefix("WITH ").split("SELECT query_id, id, row_number()")[0].strip().rstrip(",")
+    .replace("d AS (", "xd AS (").replace("FROM d JOIN", "FROM xd AS d JOIN").replace("FROM d)", "FROM xd)").replace("q AS (", "xq AS (").replace("FROM q)", "FROM xq)")
+    + ",\nzr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z),\nb AS (") .replace(
+    "FROM fr WHERE rank <= 40)", "FROM fr WHERE rank <= 40 UNION ALL SELECT query_id, 'trigram', id, rank FROM zr WHERE rank <= 40)")
+
+
+@query(_THREE + """,
+v(branch, weight) AS (VALUES ('word', 0.5::DOUBLE), ('folded', 0.3), ('trigram', 0.2)),
+g AS (SELECT query_id, id, round(sum(weight / (60 + rank)), 12) AS fused_score, min(rank)::INT AS best_rank, count(*) AS branches FROM b JOIN v USING (branch) GROUP BY ALL)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, id)::INT AS rank, fused_score, best_rank, branches::INT AS branches FROM g QUALIFY rank <= 20""")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Words, folded words and trigrams, each on its own index, fused by weighted reciprocal ranks."""
+    found = {"word": _word_branch(spark, d, 40), "folded": _folded_branch(spark, d, 40), "trigram": _trigram_branch(spark, d, 40)}
+    out = fusion.weighted_rrf(retrieval.ranked_branches(found, 40), {"word": 0.5, "folded": 0.3, "trigram": 0.2}, top_k=20)
+    return out.select("query_id", "id", "rank", "fused_score", "best_rank", F.size("branch_ranks").alias("branches"))
+
+
 @query(_TWO + """,
 v(variant, branch, weight) AS (VALUES ('even', 'word', 0.5::DOUBLE), ('even', 'folded', 0.5), ('word', 'word', 0.7), ('word', 'folded', 0.3)),
 g AS (SELECT variant, query_id, id, round(sum(weight / (60 + rank)), 12) AS fused_score FROM b JOIN v USING (branch) GROUP BY ALL)
@@ -167,8 +182,8 @@ def diverse_topk(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT b.*, source, 0.5 / (60 + rank) AS part FROM b JOIN documents ON doc_id = id),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, branch ORDER BY rank, id) AS nth FROM p),
 k AS (SELECT query_id, source AS block, round(sum(part), 12) AS score FROM t WHERE nth <= 3 GROUP BY ALL),
-i AS (SELECT query_id, source AS block, id, round(sum(part), 12) AS s FROM p GROUP BY ALL),
-r AS (SELECT query_id, block, id AS representative, s AS representative_score FROM i QUALIFY row_number() OVER (PARTITION BY query_id, block ORDER BY s DESC, id) = 1)
+i AS (SELECT query_id, source AS block, id, round(sum(part), 12) AS s, min(rank) AS b FROM p GROUP BY ALL),
+r AS (SELECT query_id, block, id AS representative, s AS representative_score FROM i QUALIFY row_number() OVER (PARTITION BY query_id, block ORDER BY s DESC, b, id) = 1)
 SELECT query_id, block, score, representative, representative_score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, representative_score DESC, block)::INT AS rank FROM k JOIN r USING (query_id, block) QUALIFY rank <= 10""")
 def article_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +196,7 @@ a AS (SELECT query_id, list(id) AS x FROM b WHERE branch = 'word' AND rank <= 10
 c AS (SELECT query_id, list(id) AS y FROM b WHERE branch = 'folded' AND rank <= 10 GROUP BY 1)
 SELECT query_id, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS jaccard FROM a JOIN c USING (query_id)""")
 def jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.top_k_jaccard(_word_branch(spark, d, 10), _folded_branch(spark, d, 10))
+    return fusion.top_k_jaccard(_ranked(_word_branch(spark, d, 10), 10), _ranked(_folded_branch(spark, d, 10), 10))
 
 
 @query(_FUSED + """ SELECT query_id, id, rank, length(text) % 97 AS given,
@@ -272,7 +287,8 @@ def clean_pages_full(spark: SparkSession, d: str) -> DataFrame:
   + len(regexp_extract_all(regexp_replace(html, '(?is)<\s*script\b[^>]*>.*?<\s*/\s*script\s*>', '', 'g'), '(?is)<\s*style\b[^>]*>.*?<\s*/\s*style\s*>'))
   + len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<\s*script\b[^>]*>.*?<\s*/\s*script\s*>', '', 'g'), '(?is)<\s*style\b[^>]*>.*?<\s*/\s*style\s*>', '', 'g'),
       '(?i)<\s*img\b[^>]*>|<\s*/?\s*(?:br|p|div|li|table|thead|tbody|tr|h[1-6])\b[^>]*>|<\s*/?\s*(?:span|td|th|strong|em|b|i|u|font|a)\b[^>]*>')) AS html_count,
-  0 AS notice_count, contains(html, chr(13)) AS crlf_input FROM pages""")
+  len(regexp_extract_all(html, '(?i)Bạn\s+phải\s+đăng\s+nhập\s+hoặc\s+đăng\s+ký\s+Thành\s+Viên\s+TVPL\s+Pro')) AS notice_count,
+  nfc_normalize(html) <> html AS non_nfc_input, contains(html, chr(13)) AS crlf_input FROM pages""")
 def clean_audit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", *cleaning.counters(F.col("html")))
 
@@ -315,15 +331,22 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(public, "q", "left").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("hit").alias("quarantined"))
 
 
-@query("""WITH q AS (SELECT question_id, question, answer, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS n FROM (
-  SELECT conv_id::VARCHAR || '-' || turn AS question_id, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant')
-SELECT question_id, sha256(n) AS normalized_question_sha256, 'kept' AS status,
-  CASE WHEN b < 10 THEN 'dev' WHEN b < 20 THEN 'holdout' ELSE 'train' END AS split
-FROM (SELECT *, ('0x' || substr(sha256('v1' || chr(0) || n), 1, 16))::UBIGINT % 100 AS b FROM q)""")
+@query(r"""
+WITH q AS (SELECT question_id, conv_id % 10 = 0 AS warm, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS n, trim(regexp_replace(lower(answer), '\s+', ' ', 'g')) AS a FROM (
+  SELECT conv_id, conv_id::VARCHAR || '-' || turn AS question_id, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant'),
+p AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS n FROM benchmark UNION SELECT n FROM q WHERE ends_with(question_id, '7-0')),
+s AS (SELECT *, CASE WHEN n IN (SELECT n FROM p) THEN 'quarantine' WHEN warm AND EXISTS (SELECT 1 FROM q t WHERE NOT t.warm AND t.n = q.n) THEN
+  CASE WHEN EXISTS (SELECT 1 FROM q t WHERE NOT t.warm AND t.n = q.n AND t.a = q.a) THEN 'alias' ELSE 'conflict' END ELSE 'kept' END AS status,
+  ('0x' || substr(sha256('v1' || chr(0) || n), 1, 16))::UBIGINT % 100 AS b FROM q)
+SELECT question_id, sha256(n) AS normalized_question_sha256, status, CASE WHEN status = 'kept' THEN CASE WHEN b < 10 THEN 'dev' WHEN b < 20 THEN 'holdout' ELSE 'train' END END AS split FROM s""")
 def leakage_safe_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth conversation is the warm-up table, the others are the training one; benchmark passages are public."""
+    """Every tenth conversation is the warm-up table, the others are the training one.
+
+    Public are the benchmark passages and, so that some questions are, the first ones of conversations ending in 7.
+    """
     own, warm = _question_answer(spark, d), F.col("conv_id") % 10 == 0
-    public = table(spark, d, "benchmark").select(F.col("text").alias("question"))
+    first = own.where(F.col("question_id").endswith("7-0")).select("question")
+    public = table(spark, d, "benchmark").select(F.col("text").alias("question")).unionByName(first)
     out = splits.leakage_safe_splits(own.where(~warm), own.where(warm), public, seed="v1", mark_conflicts=True)
     return out.select("question_id", "normalized_question_sha256", "status", "split")
 
@@ -570,3 +593,127 @@ def unified_clean(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     out = table(spark, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
+
+
+# ---- preparation of evidence, model stages and their checks ---------------------------------------------------
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    """Per query the first four fused documents as units: seed the middle third, expansions the whole and either side."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    own = _fused(spark, d, 4).join(docs, "id").withColumn("n", F.length("text")).where("n >= 30").withColumn("a", (F.col("n") / 3).cast("int")).withColumn("b", (F.col("n") * 2 / 3).cast("int"))
+    part = lambda x, y: [x.cast("int").alias("start"), y.cast("int").alias("end"), F.substr("text", (x + 1).cast("int"), (y - x).cast("int")).alias("text"), F.array(F.col("id").cast("string")).alias("chunk_ids")]
+    zero, a, b, n = F.lit(0), F.col("a"), F.col("b"), F.col("n")
+    more = F.array(*[F.struct(F.lit(k).alias("kind"), *part(x, y)) for k, x, y in (("whole_article", zero, n), ("previous_neighbor", zero, b), ("next_neighbor", a, n))])
+    unit = F.struct(
+        F.col("rank"), F.col("id").cast("string").alias("document_id"), F.lit("0").alias("block_id"), F.col("lang").alias("article_number"), F.col("source").alias("article_title"),
+        F.lit(None).cast("string").alias("source_title"), F.lit(None).cast("string").alias("document_number"), F.struct(*part(a, b)).alias("seed"), more.alias("expansions"))
+    return own.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), unit.alias("u")))).alias("x")).select("query_id", F.transform("x", lambda x: x["u"]).alias("units"))
+
+
+def _words(text: str) -> int:
+    return len(text.split())
+
+
+@query()
+def parent_pack(spark: SparkSession, d: str) -> DataFrame:
+    out = assembly.pack_evidence(_units(spark, d), key="query_id", count=_words, budget=3000, most_expansion=1200, fallback=True)
+    return out.select("query_id", "mode", F.size("spans").alias("spans"), F.size("expansions").alias("expansions"), F.sha2("text", 256).alias("digest"))
+
+
+@query()
+def parent_pack_unmerged(spark: SparkSession, d: str) -> DataFrame:
+    out = assembly.pack_evidence(_units(spark, d), key="query_id", count=_words, budget=3000, most_expansion=1200, merged=False, fallback=True)
+    return out.select("query_id", "mode", F.size("spans").alias("spans"), F.size("expansions").alias("expansions"), F.sha2("text", 256).alias("digest"))
+
+
+@query()
+def selective_segments(spark: SparkSession, d: str) -> DataFrame:
+    return assembly.segment_candidates(_units(spark, d), key="query_id").select("query_id", "position", "document_id", "start", "end", "segment_id")
+
+
+@query()
+def add_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Packed parents' seeds with up to three segments, those of most characters first."""
+    units = _units(spark, d)
+    span = F.struct(*[F.col(c) for c in assembly.SPAN_KEYS])
+    found = assembly.segment_candidates(units, key="query_id").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("n"), "position", span.alias("s")))).alias("x")).select("query_id", F.transform("x", lambda x: x["s"]).alias("candidates"))
+    seeds = assembly.pack_evidence(units.select("query_id", F.transform("units", lambda u: u.withField("expansions", F.filter(u["expansions"], lambda e: F.lit(False)))).alias("units")), key="query_id", count=_words, fallback=True)
+    out = assembly.add_evidence(seeds.select("query_id", "spans").join(found, "query_id", "left"), key="query_id", count=_words, most=3, budget=3000)
+    return out.select("query_id", F.size("spans").alias("spans"), "added", F.sha2("text", 256).alias("digest"))
+
+
+@query()
+def exact_segments(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.exact_segments(table(spark, d, "documents"), id_col="doc_id", text_col="text")
+
+
+@query(r"""WITH s AS (SELECT conv_id, turn, role, (sum(length(text)) OVER w - length(text))::BIGINT AS a, (sum(length(text)) OVER w)::BIGINT AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT t.conv_id AS query_id, t.conv_id AS document_id, t.a + 1 AS start, t.b AS "end" FROM s t WHERE t.role = 'assistant' AND t.a + 1 < t.b
+AND EXISTS (SELECT 1 FROM s WHERE s.conv_id = t.conv_id AND s.turn % 2 = 1 AND s.a <= t.a + 1 AND t.b <= s.b)""")
+def span_containment(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = F.length("text").cast("long")
+    own = table(spark, d, "conversations").select("turn", "role", F.col("conv_id").alias("query_id"), F.col("conv_id").alias("document_id"), (F.sum(n).over(w) - n).alias("start"), F.sum(n).over(w).alias("end"))
+    triggers = own.where("role = 'assistant'").select("query_id", "document_id", (F.col("start") + 1).alias("start"), "end")
+    return selection.within_spans(triggers, own.where("turn % 2 = 1").drop("turn", "role"))
+
+
+@query(r"""WITH n AS (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents), s AS (SELECT list(n ORDER BY n) AS a FROM n)
+SELECT (SELECT count(*) FROM n) AS rows, (SELECT count_if(n > 100) FROM n)::BIGINT AS over_target, (SELECT count_if(n > 400) FROM n)::BIGINT AS over_shared, (SELECT count_if(n > 20000) FROM n)::BIGINT AS over_most,
+  a[1] AS least, a[1 + round_even((len(a) - 1) * 0.5, 0)::INT] AS median, a[1 + round_even((len(a) - 1) * 0.95, 0)::INT] AS p95, a[1 + round_even((len(a) - 1) * 0.99, 0)::INT] AS p99, a[len(a)] AS longest,
+  a[len(a)] <= 20000 AS passed FROM s""")
+def token_length_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.token_length_audit(table(spark, d, "documents"), F.regexp_count("text", F.lit(r"\S+")), target=100, shared=400, most=20_000)
+
+
+@query("""WITH r AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN 'long' ELSE 'short' END AS route FROM documents)
+SELECT doc_id, route, ((row_number() OVER (PARTITION BY route ORDER BY doc_id) - 1) % 3)::INT AS worker FROM r""")
+def work_partitions(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    return stages.work_partitions(own, order="doc_id", workers=3, length="n", most_short=2000).select("doc_id", "route", "worker")
+
+
+@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def lockstep_rows(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels")
+    own = table(spark, d, "documents").join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("doc_id").alias("position"), "lang")
+    return checks.lockstep(own, labels.withColumn("position", F.col("doc_id")), key="doc_id", order="position", same=[]).select("doc_id", "lang", "quality", "toxic")
+
+
+@query("""WITH x AS (SELECT doc_id, 1 - toxic - quality AS delta, length(text) > 2000 AS changed FROM labels JOIN documents USING (doc_id)),
+s AS (SELECT 'all' AS scope, delta FROM x UNION ALL SELECT 'changed', delta FROM x WHERE changed)
+SELECT scope, count(*) AS questions, avg(delta) AS mean_delta, count_if(delta > 0)::BIGINT AS improved, count_if(delta < 0)::BIGINT AS worsened, count_if(delta = 0)::BIGINT AS tied FROM s GROUP BY 1""")
+def changed_effect(spark: SparkSession, d: str) -> DataFrame:
+    own = _scores(spark, d)
+    deltas = evaluation.paired(own, variant="variant", id_col="doc_id", metric="metric", control="control", candidate="candidate")
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    return evaluation.changed_effect(deltas.join(sizes, "doc_id"), F.col("n") > 2000)
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations)
+SELECT conv_id, turn, position::INT AS position, length(text)::INT AS n FROM c WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system')""")
+def chunks_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    out = checks.chunks_of_documents(c, c.where("role = 'system'"), key="conv_id", order="turn")
+    return out.select("conv_id", "turn", "position", F.length("text").alias("n"))
+
+
+def _stub_embedding():
+    """Hashed letter pairs: a model of a fixed table, to exercise the stage without one."""
+    import numpy as np
+
+    def model(texts: list[str]):
+        out = np.zeros((len(texts), 32))
+        for i, t in enumerate(texts):
+            codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+            np.add.at(out[i], (codes[:-1] * 31 + codes[1:]) % 32, 1)
+        return out + 1e-3
+
+    return model
+
+
+@query()
+def embedding_stage(spark: SparkSession, d: str) -> DataFrame:
+    return stages.embed(table(spark, d, "benchmark"), _stub_embedding, id_col="item_id", text_col="text", dimension=32, prefix="query: ")

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import audit, retrieval
 
 
 def write_index(docs: DataFrame, tokens: Column, path: str, *, id_col: str = "doc_id") -> None:
-    """Postings (clustered by term), term statistics and corpus statistics as Parquet under ``path``."""
+    """Postings (clustered by term), term statistics and corpus statistics as Parquet under ``path``.
+
+    Folded tokens or ``retrieval.trigram_tokens`` give the secondary tables.
+    """
     p = retrieval.postings(docs, tokens, id_col)
     p.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     saved = docs.sparkSession.read.parquet(f"{path}/postings")
@@ -22,7 +27,64 @@ def write_index(docs: DataFrame, tokens: Column, path: str, *, id_col: str = "do
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("split").parquet(path)
+    """Rows by split under ``path/rows``, and ``path/manifest``: rows and a digest of the ids of each split and status."""
+    rows.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
+    saved = rows.sparkSession.read.parquet(f"{path}/rows")
+    # a sum of id digests depends on no order, so no split's ids meet in one task
+    part = F.conv(F.substring(F.sha2(F.col("question_id").cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    saved.groupBy("split", "status").agg(F.count("*").alias("rows"), F.sum(part).cast("string").alias("ids_digest")).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def write_vectors(vectors: DataFrame, path: str, *, id_col: str, vector_col: str, dimension: int) -> None:
+    """Vectors as Parquet in id order with a manifest; a wrong dimension, a null or a number that is not finite is an error."""
+    v = F.col(vector_col)
+    ok = (F.size(v) == dimension) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    checked = F.when(F.coalesce(ok, F.lit(False)), v).otherwise(F.raise_error(F.concat(F.lit("bad vector of "), F.col(id_col).cast("string"))).cast(kind))
+    vectors.select(id_col, checked.alias(vector_col)).repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors.sparkSession.read.parquet(f"{path}/vectors").agg(F.count("*").alias("rows"), F.lit(dimension).alias("dimension")).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def publish(spark: SparkSession, build: Callable[[str], None], path: str, *, force: bool = False) -> None:
+    """Build under a temporary name beside ``path`` and rename it there, in whatever store holds it.
+
+    What was there goes only once the new is in place, and comes back if that fails. Without ``force`` an
+    existing path is an error, and so is a backup left by a run that died.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = lambda kind: jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{kind}")
+    new, old = beside(f"building-{uuid.uuid4().hex}"), beside("previous")
+    if fs.exists(at) and not force or fs.exists(old):
+        raise FileExistsError(path)
+    try:
+        build(new.toString())
+        if fs.exists(at) and not fs.rename(at, old):
+            raise OSError(f"cannot set {path} aside")
+        if not fs.rename(new, at):
+            raise OSError(f"cannot put {path} in place")
+        fs.delete(old, True)
+    except Exception:
+        fs.delete(new, True)
+        if fs.exists(old) and not fs.exists(at):
+            fs.rename(old, at)
+        raise
+
+
+def read_index_topk(spark: SparkSession, path: str, queries: DataFrame, query_tokens: Column, *, k: int, query_col: str = "item_id") -> DataFrame:
+    """BM25 from a saved index: ``query_id, id, rank, score``, as ``retrieval.bm25`` has it.
+
+    Only postings of terms that are asked for are read by the join; each query and document meet once.
+    """
+    terms = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(query_tokens)).alias("term"))
+    stats = spark.read.parquet(f"{path}/corpus_stats")
+    idf = spark.read.parquet(f"{path}/term_stats").join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(stats)).select(  # one row of two numbers
+        "term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
+    tf = F.col("tf").cast("double")
+    part = F.col("idf") * tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / F.col("avgdl")))
+    hits = terms.join(idf, "term").join(spark.read.parquet(f"{path}/postings"), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 10).alias("score"))
+    return retrieval.top_k(hits, k).select("query_id", "id", "rank", "score")
 
 
 def save_once(df: DataFrame, path: str) -> None:

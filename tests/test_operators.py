@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import assembly, audit, chunking, cleaning, cleanup, evaluation, fusion, retrieval, selection, spans, splits
+from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, retrieval, selection, spans, splits, stages
 from lexmill.sources import contexts, sinks
 
 
@@ -114,8 +114,24 @@ def test_chunker_covers_all(spark):
     assert all(i in held for i, ch in enumerate(LAW) if not ch.isspace())
     docs = spark.createDataFrame([("d", "T", LAW), ("n", None, None), ("b", None, " ")], "document_id string, source_title string, cleaned_text string")
     assert chunking.chunk_documents(docs, p).count() == len(rows)
-    assert [s[2] for s in chunking.sections(LAW)][-1].startswith("Điều 12a")
-    assert chunking.split_exact("aaaa. bbbb cccc dddd", 3, 10)[0] == (0, 6)
+    assert rows[-1][13].split("\n")[:4] == ["T", "QUỐC HỘI", "Số: 1/2020/QH", "Điều 12a"]  # header lines stay lines
+    assert [(x["kind"], x["article_number"]) for x in chunking.sections(LAW)] == [("article", "1"), ("article", "12a")]
+
+
+PROCEDURES = "Điều 1. Danh mục\nPHẪU THUẬT NỘI SOI Ổ BỤNG\nVÀ CÁC KỸ THUẬT LIÊN QUAN\nI. ĐẠI CƯƠNG CHUNG CỦA PHẪU THUẬT\nthân\nQUY TRÌNH KHÁM CHỮA BỆNH\nthân hai\nĐiều 2. Khác\nthân ba"
+
+
+def test_sections_and_segments(spark):
+    got = [(x["kind"], PROCEDURES[x["start"] : x["end"]].split("\n")[0], x["heading"]) for x in chunking.sections(PROCEDURES)]
+    assert got[2:] == [("procedure", "PHẪU THUẬT NỘI SOI Ổ BỤNG", "PHẪU THUẬT NỘI SOI Ổ BỤNG VÀ CÁC KỸ THUẬT LIÊN QUAN"), ("procedure", "QUY TRÌNH KHÁM CHỮA BỆNH", "QUY TRÌNH KHÁM CHỮA BỆNH")]
+    last = chunking.sections(PROCEDURES)[-1]
+    assert PROCEDURES[last["start"] : last["end"]] == "QUY TRÌNH KHÁM CHỮA BỆNH\nthân hai\n"  # ends with its article
+    cut = lambda t, a, b: [t[x:y] for x, y in chunking.split_exact(t, a, b)]
+    assert cut("aaaa. bbbb cccc dddd", 3, 10) == ["aaaa. bbbb", "cccc dddd"]  # the last break of the second half, whatever its kind
+    assert cut("aaaa bbb. cccc", 1, 11) == ["aaaa bbb.", "cccc"]
+    assert cut("ab\n\n  cdefgh  \nij", 4, 20) == ["ab\n\n  cdefgh  \nij"] and cut("x" * 25, 3, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    df = spark.createDataFrame([("d", PROCEDURES), ("n", None), ("b", " ")], "document_id string, cleaned_text string")
+    assert chunking.document_sections(df).count() == 4 and chunking.exact_segments(df, least=5, most=40).count() > 3
 
 
 def _pool(n=20):
@@ -124,21 +140,73 @@ def _pool(n=20):
 
 def test_selector(spark):
     pool = [dict(x, document_id=f"{x['document_id']}-{x['id'] % 3}") for x in _pool()]
-    got = selection.choose(pool)
+    got = selection.choose(pool).rows
     assert len(got) == 12 and len({x["id"] for x, _, _ in got}) == 12
-    assert [x["id"] for x, p, _ in got if p == "rrf-anchor"][:2] == [1, 2] and 3 not in [x["id"] for x, p, _ in got if p == "rrf-anchor"]
+    assert [(x["id"], t) for x, p, t in got if p == "locked-rrf"][:2] == [(1, None), (2, None)] and 3 not in [x["id"] for x, p, _ in got if p == "locked-rrf"]
     df = spark.createDataFrame(pool, "query_id int, id int, rank int, document_id string, article_number string, body string, start int, end int, tier int")
     assert [r.id for r in selection.select_top(df).orderBy("selected_rank").collect()] == [x["id"] for x, _, _ in got]
 
 
+def test_selector_passes(spark):
+    row = lambda i, **k: dict(dict(query_id=1, id=i, rank=i, document_id=f"d{i}", article_number="1", body=f"b{i}", start=0, end=100, tier=5), **k)
+    pool = [row(i) for i in range(1, 21)]
+    pool[2].update(document_id="d1", start=20, end=120)  # 80 of 100 characters shared with the first
+    pool[3].update(document_id="d1", start=21, end=121)  # 79: no repeat
+    pool[10].update(tier=0)
+    for i in (12, 13, 14, 15):
+        pool[i].update(document_id="x", tier=1, start=i * 1000, end=i * 1000 + 10)
+    got = selection.choose(pool)
+    assert [x["id"] for x, _, _ in got.rows] == [1, 2, 4, 5, 6, 7, 11, 13, 14, 15, 8, 9] and got.rejected == 2  # the third is refused as an anchor and again by tier
+    assert [p for _, p, _ in got.rows] == ["locked-rrf"] * 6 + ["legal-priority"] * 6
+    thin = [row(i, body=f"b{i % 11}") for i in range(1, 21)]
+    df = spark.createDataFrame(thin, "query_id int, id int, rank int, document_id string, article_number string, body string, start int, end int, tier int")
+    with pytest.raises(Exception, match="only 11 distinct rows"):
+        selection.select_top(df).collect()
+    out = selection.select_top(df, relax=True)
+    assert out.count() == 12 and out.where("phase = 'content-relaxed-fill'").select("id").collect()[0].id == 12
+    d = selection.selector_diagnostics(out.join(df.select("id", "rank"), "id")).first()
+    assert (d.changed_from_ranks, d.unchanged, d.queries_relaxed) == (0, 1, 0)
+    crowd = [row(i, document_id="d", start=i * 1000, end=i * 1000 + 10) for i in range(1, 21)]
+    assert [p for _, p, _ in selection.choose(crowd).rows] == ["locked-rrf"] * 6 + ["diversity-relaxed-fill"] * 6
+
+
 def test_tiers_and_references(spark):
     q = "Theo Nghị định 15/2020/NĐ-CP, khoản 2 Điều 5 quy định gì?"
     df = spark.createDataFrame([(q, "khoản 2 nói", "15/2020/NĐ-CP", None, "5"), (q, "x", None, None, None)], "q string, b string, n string, t string, a string")
     assert [r[0] for r in df.select(selection.tier(*map(F.col, "qbnta"))).collect()] == [0, 5]
     r = selection.references(q, "question")
     assert (r[0]["article_number"], r[0]["clause_number"], r[0]["resolution"]) == ("5", "2", "exact_document_number")
-    assert selection.references("theo Điều 5 luật này", "evidence")[0]["resolution"] == "same_document"
-    assert selection.references("theo Điều 5 Luật Đất đai", "evidence")[0]["resolution"] == "unresolved_external_document"
+    how = lambda t, o, d=None: selection.references(t, o, d)[0]["resolution"]
+    assert how("theo Điều 5 luật này", "selected_evidence", "d") == "same_document" and how("theo Điều 5 luật này", "selected_evidence") == "question_without_exact_document_number"
+    assert how("theo Điều 5 Luật Đất đai", "selected_evidence", "d") == how("theo Điều 5 Luật Đất đai", "question") == "unresolved_external_document"
+    assert how("Điều 5 nói gì", "question") == "question_without_exact_document_number"
+    assert how("15/2020/NĐ-CP và 16/2020/NĐ-CP: Điều 5", "question") == "ambiguous_document_numbers"
+    assert selection.references("điều 5Đ", "question")[0]["article_number"] == "5d"
+
+
+def test_cross_references(spark):
+    found = spark.createDataFrame(
+        [(1, 1, "5", "2", "n1", "exact_document_number", None, 0, 5), (1, 2, "5", None, "n1", "exact_document_number", None, 9, 12), (1, 3, "7", None, None, "same_document", "b", 3, 4),
+         (1, 4, "9", None, "twice", "exact_document_number", None, 1, 2), (1, 5, "8", None, None, "same_document", "b", 3, 4), (1, 6, "1", None, None, "unresolved_external_document", "b", 3, 4), (2, 1, "7", None, None, "same_document", "b", 0, 1)],
+        "query_id int, order int, article_number string, clause_number string, document_number string, resolution string, source_document_id string, start int, end int")
+    docs = spark.createDataFrame([("a", "n1"), ("b", None), ("c", "twice"), ("d", "twice")], "document_id string, document_number string")
+    blocks = spark.createDataFrame(
+        [("a", "a0", "5", [(1, "a1", ["1"]), (0, "a0", None), (2, "a2", ["2"])]), ("b", "b0", "7", [(0, "b0", [])]), ("b", "b5", "8", [(5, "b5", [])]), ("b", "b6", "8", [(6, "b6", [])]), ("c", "c0", "9", [(0, "c0", [])])],
+        "document_id string, block_id string, article_number string, chunks array<struct<chunk_index: int, chunk_id: string, clause_numbers: array<string>>>")
+    held = spark.createDataFrame([(2, "b", "b0")], "query_id int, document_id string, block_id string")
+    got = selection.resolve_references(found, docs, blocks, held).orderBy("candidate").collect()
+    assert [(r.query_id, r.candidate, r.document_id, r.seed_chunk_id, len(r.triggers)) for r in got] == [(1, 1, "a", "a2", 2), (1, 2, "b", "b0", 1)]
+    assert selection.resolve_references(found, docs, blocks, held, most=1).count() == 1
+    spans = spark.createDataFrame([(1, "b", 0, 5), (1, "b", 2, 9)], "query_id int, document_id string, start int, end int")
+    asked = spark.createDataFrame([(1, "b", 3, 4), (1, "b", 4, 10), (2, "b", 3, 4), (1, "b", 3, 3)], "query_id int, document_id string, start int, end int")
+    assert [tuple(r) for r in selection.within_spans(asked, spans).collect()] == [(1, "b", 3, 4)]
+    have = spark.createDataFrame([(1, "b", 4, "x", 0, 5, "text", ["k2"], "n"), (1, "b", 2, "y", 5, 9, "more", ["k1"], "m"), (1, "c", 1, "z", 0, 1, "t", ["k3"], None), (2, "b", 1, "x", 0, 5, "text", ["k"], None)],
+        "query_id int, document_id string, rank int, block_id string, start int, end int, text string, chunk_ids array<string>, document_number string")
+    chosen = spark.createDataFrame([(1, "b", 0, 9, "whole")], "query_id int, document_id string, start int, end int, text string")
+    got = sorted((r.query_id, r.rank, r.document_id, r.text, r.chunk_ids, r.document_number) for r in selection.replace_with_section(have, chosen).collect())
+    assert got == [(1, -1, "b", "whole", ["k1", "k2"], "m"), (1, 1, "c", "t", ["k3"], None), (2, 1, "b", "text", ["k"], None)]
+    with pytest.raises(Exception, match="not retrieved"):
+        selection.replace_with_section(have, spark.createDataFrame([(2, "q", 0, 9, "w")], chosen.schema)).collect()
 
 
 def test_promotion(spark):
@@ -158,10 +226,173 @@ def test_packing():
     assert assembly.pack_contexts(["a b c", "d e f g", "h"], " ".join, n, 4) == [0, 2]
     assert assembly.prompt_contexts(["a b c d"], " ".join, n, 2)[1] == "truncated_first"
     text = "x" * 10 + " " + "y" * 10 + " " + "z" * 10
-    u = dict(rank=1, document_id="d", block_id="b", seed=dict(start=0, end=10, text=text[:10], chunk_ids=["1"]), expansions=[dict(kind="whole", start=0, end=32, text=text, chunk_ids=["1", "2"])])
-    assert assembly.pack_parents([u], n, budget=10)[0]["end"] == 32 and assembly.pack_parents([u], n, budget=2)[0]["end"] == 10
-    with pytest.raises(ValueError):
+    u = dict(rank=1, document_id="d", block_id="b", article_number="5", article_title=None, source_title="S", document_number=None,
+             seed=dict(start=0, end=10, text=text[:10], chunk_ids=["1"]), expansions=[dict(kind="whole", start=0, end=32, text=text, chunk_ids=["1", "2"])])
+    spans, made = assembly.pack_parents([u], n, budget=20)
+    assert spans[0]["end"] == 32 and made == [{"rank": 1, "kind": "whole"}]
+    assert assembly.render_spans(spans) == f"Tên nguồn: S\nĐiều 5\nNội dung:\n{text}"
+    assert assembly.render_spans([spans[0] | {"article_number": None, "article_title": "T", "source_title": None, "document_number": "9"}]) == f"Số văn bản: 9\nTrích đoạn: T\nNội dung:\n{text}"
+    assert assembly.unit_contexts([spans[0] | {"article_title": "T"}]) == [f"Tên nguồn: S\nTiêu đề Điều: T\nNội dung:\n{text}"]
+    small = n(assembly.render_spans([spans[0] | {"text": "x"}]))
+    assert assembly.pack_parents([u], n, budget=small)[0][0]["end"] == 10
+    with pytest.raises(assembly.SeedsDoNotFit):
         assembly.pack_parents([u], n, budget=0)
+    other = u["seed"] | {k: u[k] for k in ("rank", "document_id", "block_id")}
+    merged = assembly.merge([other, other | {"start": 10, "end": 13, "text": "abc", "rank": 0, "chunk_ids": ["0"]}, other | {"start": 14, "end": 15, "text": "q"}])
+    assert [(s["start"], s["end"], s["rank"], s["chunk_ids"]) for s in merged] == [(0, 13, 0, ["0", "1"]), (14, 15, 1, ["1"])]
+    with pytest.raises(ValueError, match="disagree"):
+        assembly.merge([other, other | {"start": 5, "end": 8, "text": "abc"}])
+    held, added = assembly.pack_more([other], [other | {"end": 3, "text": "xxx"}, other | {"start": 20, "end": 23, "text": "new"}, other | {"start": 40, "end": 43, "text": "one"}], n, most=1)
+    assert added == [1] and len(held) == 2
+    pieces = assembly.selective_segments([u, dict(u, rank=2)], least=4, most=12)
+    assert [(p["start"], p["end"], p["source_seed_ranks"]) for p in pieces] == [(11, 21, [1, 2]), (22, 32, [1, 2])]
+
+
+def test_packing_operators(spark):
+    schema = "q int, units array<struct<rank: int, document_id: string, block_id: string, article_number: string, article_title: string, source_title: string, document_number: string, seed: struct<start: int, end: int, text: string, chunk_ids: array<string>>, expansions: array<struct<kind: string, start: int, end: int, text: string, chunk_ids: array<string>>>>>"
+    seed = lambda a, t: (a, a + len(t), t, ["c"])
+    unit = (1, "d", "b", None, None, None, None, seed(2, "cc dd"), [("whole", 0, 9, "a cc dd e", ["c", "f"])])
+    df = spark.createDataFrame([(1, [unit]), (2, None), (3, [])], schema)
+    n = lambda s: len(s.split())
+    got = {r.q: r for r in assembly.pack_evidence(df, key="q", count=n, budget=9).collect()}
+    assert got[1].text == "Trích đoạn\nNội dung:\na cc dd e" and got[1].spans[0].chunk_ids == ["c", "f"] and got[2].mode == got[3].mode == "empty"
+    with pytest.raises(Exception, match="do not fit"):
+        assembly.pack_evidence(df, key="q", count=n, budget=1).collect()
+    low = {r.q: r for r in assembly.pack_evidence(df, key="q", count=n, budget=1, fallback=True).collect()}
+    assert low[1].mode == "seed-budget-fallback" and low[1].text.strip() == "cc" and low[1].expansions == []
+    rows = spark.createDataFrame([(1, "q w", "x y", ["a b", "c d e f g h", "i"]), (2, "q", None, None)], "q int, question string, answer string, contexts array<string>")
+    enc = lambda s: [len(w) for w in s.split()]
+    got = {r.q: r for r in assembly.supervised_rows(rows, key="q", encode=enc, end_id=99, maximum=9, render=lambda q, c: " ".join([*c, q])).collect()}
+    assert got[1].contexts_kept == 2 and got[1].input_ids == [1, 1, 1, 1, 1, 1, 1, 99] and got[1].labels == [-100] * 5 + [1, 1, 99] and got[2].input_ids == [1, 99]
+    with pytest.raises(Exception, match="does not fit"):
+        assembly.supervised_rows(rows, key="q", encode=enc, end_id=99, maximum=3, render=lambda q, c: q).collect()
+    m = spark.createDataFrame([("s", " q ", [(" t ", "5"), ("u", None)], "do")], "s string, q string, c array<struct<text: string, article_number: string>>, i string").select(assembly.messages(*map(F.col, "sqci")).alias("m")).first().m
+    assert m[1].content == "Câu hỏi:\nq\n\nTài liệu:\n[Tài liệu 1, điều 5]\nt\n\n[Tài liệu 2]\nu\n\nYêu cầu:\ndo"
+
+
+def test_model_stages(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(i, f"text {i}", f"c{i % 3}") for i in range(50)] + [(99, None, None)], "id int, t string, c string").repartition(3)
+    v = stages.embed(rows, lambda: lambda ts: np.ones((len(ts), 4)), id_col="id", text_col="t", dimension=4).collect()
+    assert len(v) == 51 and all(r.embedding == pytest.approx([0.5] * 4) for r in v)
+    for bad in (lambda ts: np.ones((len(ts), 3)), lambda ts: np.full((len(ts), 4), np.nan)):
+        with pytest.raises(Exception, match="embeddings of shape"):
+            stages.embed(rows, lambda bad=bad: bad, id_col="id", text_col="t", dimension=4).collect()
+    s = stages.score_pairs(rows, lambda: lambda q, c: [len(a) + len(b) for a, b in zip(q, c)], keep=["id"], question="t", context="c").collect()
+    assert {r.id: r.score for r in s}[0] == 8.0 and len(s) == 51
+    grid = stages.decoding_grid(rows.where("id < 5"), {"a": {"k": 1}, "b": {"k": 2}})
+    g = stages.generate(grid, lambda: lambda ps, how: [p + "!" * how["k"] for p in ps], keep=["id", "variant"], prompt="t", variants={"a": {"k": 1}, "b": {"k": 2}}, variant="variant").collect()
+    assert len(g) == 10 and {(r.id, r.variant): r.answer for r in g}[(3, "b")] == "text 3!!"
+    with pytest.raises(Exception, match="a blank answer"):
+        stages.generate(rows, lambda: lambda ps, how: [" " for _ in ps], keep=["id"], prompt="t").collect()
+    ids = spark.createDataFrame([(i, list(range(i)), [-100] * i) for i in range(1, 8)], "k int, input_ids array<int>, labels array<int>")
+    b = stages.collate(ids, key="k", batch=3, pad_id=0).collect()
+    assert sorted(int(i) for r in b for i in r.ids) == list(range(1, 8)) and all(len({len(x) for x in r.input_ids + r.labels + r.attention_mask}) == 1 for r in b)
+    w = stages.work_partitions(spark.range(0, 1000).repartition(7).selectExpr("id", "id % 10 AS n"), order="id", workers=3, length="n", most_short=7).collect()
+    for route, own in (("short", [i for i in range(1000) if i % 10 <= 7]), ("long", [i for i in range(1000) if i % 10 > 7])):
+        assert {r.id: r.worker for r in w if r.route == route} == {i: k % 3 for k, i in enumerate(own)}
+
+
+def test_row_checks(spark):
+    kind = "question_id int, target string, answer_included boolean, contexts array<struct<chunk_id: string, text: string>>, fused array<struct<chunk_id: string>>"
+    good = (1, "dev", False, [("a", "x"), ("b", "y")], [("a",), ("b",), ("c",)])
+    check = lambda *rows: checks.validate_context_rows(spark.createDataFrame(list(rows), kind), target="dev", selected=2, fused=3).collect()
+    assert len(check(good)) == 1
+    for bad in ((2, "train", *good[2:]), (2, "dev", True, *good[3:]), (2, "dev", False, [("a", " "), ("b", "y")], good[4]), (2, "dev", False, [("b", "x"), ("a", "y")], good[4]), (2, "dev", None, *good[3:]), good):
+        with pytest.raises(Exception, match="invalid context row"):
+            check(good, bad)
+    a = spark.createDataFrame([(1, 0, "x"), (2, 1, "y")], "k int, o int, v string")
+    assert [tuple(r) for r in checks.lockstep(a, a.withColumn("w", F.lit(7)), key="k", order="o", same=["v"]).orderBy("k").collect()] == [(1, 0, "x", 7), (2, 1, "y", 7)]
+    for b in (a.where("k = 1"), a.unionByName(a), a.withColumn("o", F.col("o") + 1), a.withColumn("v", F.lit("z"))):
+        with pytest.raises(Exception, match="tables differ"):
+            checks.lockstep(a, b, key="k", order="o", same=["v"]).collect()
+    assert checks.counted(a, 2).count() == 2
+    with pytest.raises(Exception, match="rows: 2"):
+        checks.counted(a, 3).collect()
+    with pytest.raises(Exception, match="no chunks of"):
+        checks.chunks_of_documents(a.withColumnRenamed("k", "document_id"), spark.createDataFrame([(5,)], "document_id int"), order="o").collect()
+    e = spark.createDataFrame([("Theo Điều 5 và 15/2020/NĐ-CP", [("nói điều 5", None), ("x", "7")]), ("", [])], "a string, c array<struct<text: string, article_number: string>>")
+    got = e.select(*evaluation.answer_derived(F.col("a"), F.col("c"))).collect()
+    assert (got[0].references, got[0].reference_hits, got[0].any_hit, got[0].all_hit) == (2, 1, True, False) and (got[1].coverage, got[1].all_hit) == (0.0, False)
+
+
+def test_publish(spark, tmp_path):
+    from lexmill.sources import sinks
+
+    at = str(tmp_path / "out")
+    sinks.publish(spark, lambda p: spark.range(3).write.parquet(p), at)
+    with pytest.raises(FileExistsError):
+        sinks.publish(spark, lambda p: spark.range(4).write.parquet(p), at)
+    with pytest.raises(ZeroDivisionError):
+        sinks.publish(spark, lambda p: 1 / 0, at, force=True)
+    assert spark.read.parquet(at).count() == 3
+    sinks.publish(spark, lambda p: spark.range(4).write.parquet(p), at, force=True)
+    assert spark.read.parquet(at).count() == 4 and [p.name for p in tmp_path.iterdir() if not p.name.startswith("..")] == ["out"]
+    vec = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "id int, v array<float>")
+    sinks.write_vectors(vec, str(tmp_path / "vec"), id_col="id", vector_col="v", dimension=2)
+    assert spark.read.json(str(tmp_path / "vec/manifest")).first().rows == 2
+    with pytest.raises(Exception, match="bad vector of 1"):
+        sinks.write_vectors(spark.createDataFrame([(1, [float("nan"), 2.0])], vec.schema), str(tmp_path / "bad"), id_col="id", vector_col="v", dimension=2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "b c", "c", "a a a d", ""])], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b"), (2, "c zz"), (3, "")], "item_id long, text string")
+    sinks.write_index(docs, T.word_list(F.col("text")), str(tmp_path / "index"))
+    saved = sinks.read_index_topk(spark, str(tmp_path / "index"), asked, T.query_tokens(F.col("text")), k=3).collect()
+    direct = retrieval.bm25(docs, asked, doc_tokens=T.word_list(F.col("text")), query_tokens=T.query_tokens(F.col("text")), k=3).collect()
+    assert sorted(map(tuple, saved)) == sorted(map(tuple, direct)) and len(direct) == 5
+
+
+def test_substrings_of_words(spark):
+    docs = spark.createDataFrame([(1, "abcabc xabcx"), (2, "zabcz abd"), (3, None), (4, "abd abdabd")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, ["abc"]), (2, ["abc", "abd"]), (3, [])], "item_id long, t array<string>")
+    got = retrieval.substring_bm25(docs, asked, text=F.col("text"), terms=F.col("t"), k=5).collect()
+    assert {(r.query_id, r.id) for r in got} == {(1, 1), (1, 2), (2, 2)}
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("Mở.\n" + "một hai ba bốn năm sáu bảy tám chín.\n" * 2 + "một hai ba bốn năm sáu bảy tá", "Mở.\nmột hai ba bốn năm sáu bảy tám chín."),  # cut in mid-word
+    ("- nộp hồ sơ tại cơ quan.\n" * 2 + "- nộp h", "- nộp hồ sơ tại cơ quan."),
+    ("- nộp hồ sơ chưa xong\n- khác.\n- nộp hồ sơ chưa xong\n- nộp h", "- nộp hồ sơ chưa xong\n- khác.\n- nộp hồ sơ chưa xong"),  # items need not be finished
+    ("a b\nc\na\nb c", "a b\nc"),  # blocks are equal as wholes
+    ("x " * 31 + "y " + "x " * 31 + "y", ("x " * 31 + "y").strip()),
+])
+def test_cleanup_as_text(raw, want):
+    assert cleanup.unified(raw.rstrip()) == want
+
+
+def test_cut_interior():
+    line = "câu này khá dài để được xem là một khối có ý nghĩa trong văn bản pháp luật hiện hành của nước ta và còn dài thêm nữa để đủ chữ.\n"
+    rest = "phần còn lại của câu trả lời vẫn đủ dài để được giữ nguyên ở cuối."
+    assert cleanup.cut_interior("Mở.\n" + line + line + rest) == "Mở.\n" + line.strip() + " " + rest
+    apart = line + "khác hẳn.\n" + line + rest
+    assert cleanup.cut_interior(apart) == apart and cleanup.cut_interior(line + line + "ngắn") == line + line + "ngắn"
+    assert cleanup.cut_interior(line + line + line + rest).count("câu này") == 2  # one cut only
+
+
+def test_token_periods_like_brute_force():
+    import random
+
+    rng = random.Random(2)
+
+    def brute(ids, least, most):
+        while True:
+            s = next((s for s in range(min(most, len(ids) // 2), least - 1, -1) if ids[-2 * s : -s] == ids[-s:]), 0)
+            if not s:
+                return ids
+            ids = ids[:-s]
+
+    for _ in range(300):
+        ids = [rng.choice("ab") for _ in range(rng.randrange(30))]
+        ids += ids[-rng.randrange(1, 9) :] * rng.randrange(4)
+        assert cleanup.cut_repeated_tokens(3, 8)(" ".join(ids)).split() == brute(ids, 3, 8)
+
+
+def test_cleaner(spark):
+    raw = [("<SCRIPT>a</p></script >b<img src=x alt='q r'><img alt=\"\" alt=z><img>c<style>x</style>",), ("\u3000a \u2003\n\n\n\n b&amp;\u00a0",), ("e\u0301\r\n<p>x</p>",), ("<script>a</style>b</script>c",)]
+    got = [r[0] for r in spark.createDataFrame(raw, "t string").select(cleaning.clean(F.col("t"))).collect()]
+    assert got == ["bq rc", "a\n\nb&", "é\n\nx", "c"]
+    n = spark.createDataFrame(raw, "t string").select(*cleaning.counters(F.col("t"))).collect()
+    assert [(r.html_count, r.non_nfc_input, r.crlf_input) for r in n] == [(5, False, False), (0, False, False), (2, True, True), (1, False, False)]
 
 
 LOOP = "Câu mở đầu.\n"
