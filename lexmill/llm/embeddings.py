@@ -1,8 +1,8 @@
 """Embedding near-duplicates over one robust-pruned flat graph, built on overlapping cluster shards.
 
 Vectors are dealt to the shards of their two nearest centroids; every shard builds a robust-pruned neighbour
-graph, and a vector's adjacency lists from its shards are united. A shard is searched with the nodes that
-the united lists of its members lead to, whatever shard they are of. A query enters the shards nearest to it, each
+graph, and a vector's adjacency lists from its shards are united. A shard is searched with the nodes of other
+shards that the united lists of its members lead to by links short enough for a query to have both ends in reach. A query enters the shards nearest to it, each
 by a range-expanding greedy search from medoids; where that meets a node within reach that is at home in a
 shard not yet entered, the query is carried there, round by round until no border is left to cross. Found links
 are verified by cosine in double precision. Recall is then audited by brute force on a bounded sample.
@@ -231,9 +231,11 @@ def _pack(pdf: pd.DataFrame) -> np.ndarray:
 def _build(params: GraphParams):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cid")
-        ids = pdf["cid"].to_numpy()
-        adj = robust_prune(_pack(pdf).astype(np.float32), params)
-        return pd.DataFrame({"cid": ids, "near": [ids[l[l >= 0]] for l in adj]})
+        ids, x = pdf["cid"].to_numpy(), _pack(pdf).astype(np.float32)
+        lists = [l[l >= 0] for l in robust_prune(x, params)]
+        # within reach of both ends a query can only be if they are within twice its angle of each other
+        least = 2 * (params.threshold - params.slack) ** 2 - 1
+        return pd.DataFrame({"cid": ids, "near": [ids[l] for l in lists], "close": [ids[l[x[l] @ x[i] >= least]] for i, l in enumerate(lists)]})
 
     return run
 
@@ -387,13 +389,13 @@ def _links(classes: DataFrame, params: GraphParams) -> tuple[DataFrame, DataFram
     shards = _shards(classes, params)
     build, search = _build(params), _search(params)
     members = durable(shards.where("member").select("shard", "cid", "copies", "unit", "home"))
-    lists = members.groupBy("shard").applyInPandas(lambda pdf: build(pdf[["cid", "unit"]]), "cid long, near array<long>")
-    united = durable(lists.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    lists = members.groupBy("shard").applyInPandas(lambda pdf: build(pdf[["cid", "unit"]]), "cid long, near array<long>, close array<long>")
+    united = durable(lists.groupBy("cid").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")]))
     homes = members.where("home").select("cid", "copies", "unit", F.col("shard").alias("home"))
-    node = homes.join(united, "cid", "left")
-    # a shard's nodes: its members, and what their united lists lead to
+    node = homes.join(united.drop("close"), "cid", "left")
+    # a shard's nodes: its members, and what their united lists lead to by links that a query within reach can follow
     inside = members.select("shard", "cid", F.lit(True).alias("member"))
-    led = inside.join(united, "cid").select("shard", F.explode("near").alias("cid")).distinct().join(inside.select("shard", "cid"), ["shard", "cid"], "left_anti").withColumn("member", F.lit(False))
+    led = inside.join(united, "cid").select("shard", F.explode("close").alias("cid")).distinct().join(inside.select("shard", "cid"), ["shard", "cid"], "left_anti").withColumn("member", F.lit(False))
     placed = durable(inside.unionByName(led).join(node, "cid").select("shard", "cid", "copies", "unit", "home", "near", "member", F.lit(0).alias("role")))
     routes = durable(shards.where("visit").select("shard", "cid").distinct())
     every, found = routes, None
