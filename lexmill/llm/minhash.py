@@ -156,3 +156,18 @@ def near_duplicates(
     return rows_.select(
         F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each group of near duplicates, the one of the least id (null ids last), all columns as they are.
+
+    Rows are told apart by a number of their own and not by their ids, so rows of a null or repeated id are judged by
+    their texts like others. The numbers are places in the table as it is stored, alike at each reading; give a table
+    that was written or checkpointed. Rows without words are no duplicates and stay.
+    """
+    own = docs.withColumn("__row", F.monotonically_increasing_id())
+    groups = near_duplicates(own.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), id_col="row", text_col="text", **how)
+    named = groups.select(F.col("row").alias("__row"), "component_id").join(own.select("__row", F.col(id_col).alias("id")), "__row")
+    least = F.min_by("__row", F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__row")))
+    keep = named.groupBy("component_id").agg(least.alias("__row")).select("__row")
+    return own.join(keep, "__row", "left_semi").select(*docs.columns)

@@ -40,9 +40,9 @@ def water_level(sources: DataFrame) -> tuple[int, int]:
 
 def mixture(
     docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-    weights: tuple[int, ...] = (5, 2, 1), share_percent: int = 150, max_epochs: int = 2, seed: int = 17,
+    weights: tuple[int, ...] = (5, 2, 1), share_percent: int = 150, max_epochs: int = 2, seed: int = 17, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: ``id, size, source_size, target, taken, whole``.
+    """One row per input row: ``id, size, source_size, target, taken, whole``, and ``row_col``, a number of each row, if given.
 
     Sources in code-point order, null last, take the weights in turn; together they share
     ``share_percent`` of all words, none over ``max_epochs`` times its own. Each document is taken
@@ -56,8 +56,9 @@ def mixture(
     row per source. Null texts have size 0 and are taken 0 times; null ids are hashed as empty;
     equal rows are interchangeable. Without rows the result is empty. Other columns are not read.
     """
+    row = F.col(row_col) if row_col else F.lit(0)
     own = durable(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"),
+        row.cast("long").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
     ))
     runs = durable(own.groupBy("source", F.substring("h", 1, 3).alias("run")).agg(F.sum("size").alias("run_size")))
@@ -80,26 +81,26 @@ def mixture(
     joined = own.join(at, F.col("source").eqNullSafe(F.col("s")) & (run == F.col("r"))).drop("s")
     joined = joined.withColumn("room", F.col("extra") - F.col("before"))
     border = (F.col("room") > 0) & (F.col("room") < F.col("run_size"))
-    so_far = F.sum("size").over(Window.partitionBy("source", "r").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.sum("size").over(Window.partitionBy("source", "r").orderBy("h", "id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     edge = joined.where(border).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - so_far + F.col("size"))))
     rest = joined.where(~border).withColumn("part", F.when(F.col("room") >= F.col("run_size"), F.col("size")).otherwise(F.lit(0)))
     return edge.unionByName(rest).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole")
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), "whole",
+        *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def materialise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The mix as documents: each taken repetition is a row; a fractional one has its first words.
 
-    Rows are identified by id, so ids must be unique; rows with a null id are left out of repetition
-    and kept once. The other columns are carried along unchanged.
+    Rows are told apart by a number of their own, their place in the stored table, so rows of null or repeated ids are
+    mixed like others; give a table that was written or checkpointed. Texts without words stay once. The other
+    columns are carried along unchanged.
     """
-    mix = mixture(docs, id_col=id_col, text_col=text_col, **how).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
-        F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    cols = docs.columns
-    joined = docs.join(mix, docs[id_col] == F.col("__id"), "left")
-    reps = F.when(F.col("__id").isNull() | (F.col("__size") == 0), F.lit(1).cast("long")).otherwise(F.ceil(F.col("__taken") / F.col("__size")).cast("long"))
-    rows = joined.withColumn("__reps", reps).where("__reps > 0").withColumn("__rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__reps"))))
+    own = docs.withColumn("__row", F.monotonically_increasing_id())
+    mix = mixture(own, id_col=id_col, text_col=text_col, row_col="__row", **how).select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    reps = F.when(F.col("__size") == 0, F.lit(1).cast("long")).otherwise(F.ceil(F.col("__taken") / F.col("__size")).cast("long"))
+    rows = own.join(mix, "__row").withColumn("__reps", reps).where("__reps > 0").withColumn("__rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__reps"))))
     left = (F.col("__taken") - (F.col("__rep") - 1) * F.col("__size")).cast("int")
     cut = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(__taken - (__rep - 1) * __size as int)), '')")
-    rows = rows.withColumn(text_col, F.when(F.col("__id").isNotNull() & (left > 0) & (left < F.col("__size")), cut).otherwise(F.col(text_col)))
-    return rows.select(*cols)
+    rows = rows.withColumn(text_col, F.when((left > 0) & (left < F.col("__size")), cut).otherwise(F.col(text_col)))
+    return rows.select(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,7 +56,7 @@ class CapacityTree:
     def __init__(self, top: int) -> None:
         self.size = 1 << top.bit_length()
         self.held = [0] * (2 * self.size)
-        self.bins: list[list[int]] = [[] for _ in range(top + 1)]
+        self.bins: list[deque[int]] = [deque() for _ in range(top + 1)]
 
     def push(self, capacity: int, bin_: int) -> None:
         self.bins[capacity].append(bin_)
@@ -79,7 +80,7 @@ class CapacityTree:
         while i:
             self.held[i] -= 1
             i >>= 1
-        return capacity, self.bins[capacity].pop(0)
+        return capacity, self.bins[capacity].popleft()
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -51,8 +51,12 @@ def op6_html(spark: SparkSession, d: str) -> DataFrame:
     return html.extract_pages(table(spark, d, "pages"))
 
 
+SHARD_BYTES = 1 << 20
+
+
 def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
-    return sharding.extendible_shards(table(spark, d, "documents"))
+    """Shards of at most a megabyte: small enough that the least of the test tables is split, many times on the others."""
+    return sharding.extendible_shards(table(spark, d, "documents"), limit_bytes=SHARD_BYTES)
 
 
 def op8_minhash(spark: SparkSession, d: str) -> DataFrame:
@@ -139,9 +143,9 @@ WITH own AS (
 p AS (
   SELECT depth, substr(key, 1, depth) AS shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS n
   FROM own, (SELECT unnest(range(0, 61))::INT AS depth) GROUP BY ALL)
-SELECT doc_id, n_bytes::BIGINT AS n_bytes, shard, depth, shard_bytes, shard_bytes > 67108864 AS oversize
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, shard, depth, shard_bytes, shard_bytes > 1048576 AS oversize
 FROM own JOIN p ON p.shard = substr(own.key, 1, p.depth)
-WHERE shard_bytes <= 67108864 OR n = 1
+WHERE shard_bytes <= 1048576 OR n = 1
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """
 

@@ -249,3 +249,15 @@ def toxicity_scores(docs: DataFrame, weights: dict[str, float], *, id_col: str =
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInPandas(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, weights: dict[str, float], *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` not predicted toxic, all columns as they are; each row is judged by its own text, whatever its id. Map-only."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w = shared.value
+        for part in texts:
+            yield pd.Series([score_text(t, w) < 0.5 for t in part], dtype=bool)
+
+    return docs.where(F.pandas_udf(clean, "boolean")(F.col(text_col)))

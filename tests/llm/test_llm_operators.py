@@ -156,6 +156,28 @@ def test_mixing(spark, docs):
     assert mixing.mixture(df.limit(0)).count() == 0 and mixing.mixture(docs([None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_row_wise_filters(spark, docs, tmp_path):
+    """Rows of null or repeated ids are judged by their own texts."""
+    rng = random.Random(31)
+    a, b = text(rng, 60), text(rng, 60)
+    texts = [a, a, b, b + " more", text(rng, 50), text(rng, 50), None, None, "", a, "you utter idiot"]
+    ids = [None, 5, 7, 7, 7, None, 1, 1, None, 3, None]
+    path = str(tmp_path / "docs")
+    docs(texts, ids=ids).repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    left = minhash.without_near_duplicates(df)
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    want = [(3, a), (7, texts[4]), (None, texts[5]), (1, None), (1, None), (None, ""), (None, texts[10])]
+    assert sorted([x for x in got if x[1] not in (b, b + " more")], key=str) == sorted(want, key=str) and len(got) == len(want) + 1
+    assert minhash.without_near_duplicates(df.limit(0)).count() == 0
+    clean = toxicity.without_toxic(df, {"": -4.0, "=idiot": 8.0})
+    assert clean.count() == 10 and clean.columns == df.columns and clean.where("text like '%idiot%'").count() == 0
+    mixed = mixing.materialise(df.select("doc_id", "text", "lang", "source", "n_chars"))
+    words = sum(len((t or "").split()) for t in texts)
+    assert mixed.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == words * 3 // 2 and mixed.where("text is null").count() == 2
+
+
 def test_chat_round_trip(spark):
     raw = r"\### Assistant: </turn> ok"
     rows = [(1, 0, "user", raw), (1, 1, "assistant", "\\\\h \\t ###### </turn></turn>\n"), (2, 0, "assistant", None), (3, 1, None, "x"), (3, 1, None, "x"), (None, 0, "us\ner", "y" * 50_000), (5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "")]
@@ -323,8 +345,8 @@ def test_decontamination(spark, docs):
     w = items[2].split()
     texts = [text(rng, 50), text(rng, 40) + " " + items[0].upper().replace(" ", ", ") + " " + text(rng, 9), " ".join(w[18:] + ["zz"] + w[:18]), " ".join(w[:9]), None, "", items[4] * 1 + " " + items[4], text(rng, 8000)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("id", F.lit(1))
-    for size in (4 << 20, 50):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs(texts), bench, params=decontaminate.TilingParams(block_bytes=size)).collect()}
+    for size in (4 << 20, 10):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs(texts), bench, params=decontaminate.TilingParams(block_words=size)).collect()}
         assert got == {(1, 0), (2, 2), (6, 4)}
     assert decontaminate.contamination(docs(texts), bench.limit(0)).count() == 0 and decontaminate.contamination(docs(texts).limit(0), bench).count() == 0
 
@@ -350,14 +372,52 @@ def naive_tiles(a, b, n):
 
 def test_tiling_is_greedy():
     rng = random.Random(13)
-    for _ in range(30):
+    for _ in range(60):
         item = [rng.choice("abcdef") for _ in range(25)]
         doc = [rng.choice("abcdef") for _ in range(30)]
         at = rng.randrange(20)
         doc[at:at] = item[8:20]
         index = decontaminate.Index([(1, " ".join(item))], 3)
-        got = [m for _, m, _, _ in index.matches(" ".join(doc))]
-        assert got and abs(got[0] - naive_tiles(doc, item, 3)) <= 3  # ties between equal lengths may fall either way
+        got = list(index.matches(" ".join(doc)))
+        assert len(got) == 1 and got[0][1] == naive_tiles(doc, item, 3) and all(doc[i : i + n] == item[j : j + n] for i, j, n in got[0][3])
+
+
+def test_tiling_of_repeated_words_is_not_quadratic():
+    import time
+
+    words = "again " * 1000
+    start = time.time()
+    got = list(decontaminate.Index([(1, words), (2, "other words that are not there")], 5).matches("again " * 20_000 + "x " * 20_000))
+    assert got[0][:3] == (1, 1000, 1000) and len(got) == 1 and time.time() - start < 2
+    half = list(decontaminate.Index([(1, words + "b c d e f g " * 100)], 5).matches(words * 2, 0.7))
+    assert half == []  # its seeds cover too little
+
+
+def test_decontamination_against_brute_force(spark, docs):
+    rng = random.Random(23)
+    vocabulary = "a b c d e f".split()
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(1, 22))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        t = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 40))]
+        own = rng.choice(items)
+        at = rng.randrange(len(t) + 1)
+        t[at:at] = own[rng.randrange(len(own)) :]
+        texts.append(t)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = docs([" ".join(t) for t in texts] + [None, ""], ids=[None if i % 9 == 4 else i % 50 for i in range(len(texts))] + [60, 61])
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contamination(df, bench).collect()}
+    want = {}
+    for t, i in zip(texts, [None if i % 9 == 4 else i % 50 for i in range(len(texts))]):
+        for k, item in enumerate(items):
+            m = naive_tiles(t, item, min(5, len(item)))
+            if m >= 0.6 * len(item):
+                want[i, k] = max(m, want.get((i, k), 0))
+    assert got == {(i, k, m) for (i, k), m in want.items()} and len(want) > 20 and any(i is None for i, _ in want)
+    clean = [t for t in texts if not any(naive_tiles(t, x, min(5, len(x))) >= 0.6 * len(x) for x in items)]
+    left = decontaminate.without_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(r.text or "" for r in left.collect()) == sorted([" ".join(t) for t in clean] + ["", ""])
+    assert decontaminate.without_contaminated(df, bench.limit(0)).count() == 62 and decontaminate.without_contaminated(df.limit(0), bench).count() == 0
 
 
 def test_classifiers_edges(spark, docs):
