@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; each works on all that the one before kept.
 
-Filtering stages drop only what they reject: rows with a null id, which no decision names, stay.
+Every stage judges rows by what they hold: rows whose id is null, or that share an id, are scored, deduplicated,
+compared, mixed and packed like others. Null and blank texts pass the filters; an empty table gives an empty
+one; of tied rows the first as stored is kept. Only the columns of ``documents`` are read and passed on.
 """
 
 from __future__ import annotations
@@ -14,27 +16,23 @@ from lexmill.session import durable, ensure_importable, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents and drop those predicted toxic."""
     ensure_importable(spark)
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.toxicity_scores(docs, weights).where("predicted = 1"))
+    return toxicity.without_toxic(docs.select(*COLUMNS), weights)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one of the least id, of each group of near duplicates (five words, 0.8)."""
     ensure_importable(spark)
-    return _without(docs, minhash.near_duplicates(docs).where("not kept and doc_id is not null"))
+    return minhash.without_near_duplicates(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     ensure_importable(spark)
-    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

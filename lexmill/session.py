@@ -26,11 +26,15 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (local tests).
+    A folder of our own is set only in local mode where the session names none; on a cluster that is an error, as
+    no folder of the driver's machine would do. Old checkpoints go with Spark's own
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, which must be set when the session starts.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
     return df.checkpoint(eager=True)
 
