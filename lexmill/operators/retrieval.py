@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.session import durable
+from lexmill.session import durable, spread
 
 K1, B = 1.2, 0.75
 
@@ -187,7 +187,7 @@ def bm25_candidates(
     docs: DataFrame, queries: DataFrame, *, doc_tokens: Column, query_tokens: Column, k: int, id_col: str = "doc_id", query_col: str = "item_id", pairs: bool = False
 ) -> DataFrame:
     """What ``bm25`` ranks: ``query_id, id, score`` with the best k of each query and partition, in no order."""
-    d = docs.select(F.col(id_col).alias("id"), doc_tokens.alias("x"))
+    d = spread(docs).select(F.col(id_col).alias("id"), doc_tokens.alias("x"))
     return _candidates(d, queries.select(F.col(query_col).alias("query_id"), query_tokens.alias("t")), _count_tokens, k, pairs)
 
 
@@ -217,7 +217,7 @@ def substring_candidates(
 ) -> DataFrame:
     """What ``substring_bm25`` ranks, in no order."""
     x = text if max_chars is None else F.substring(text, 1, max_chars)
-    d = docs.select(F.col(id_col).alias("id"), x.alias("x"))
+    d = spread(docs).select(F.col(id_col).alias("id"), x.alias("x"))
     return _candidates(d, queries.select(F.col(query_col).alias("query_id"), terms.alias("t")), _count_substrings(shortest), k, True)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, retrieval, selection, spans, splits, stages
-from lexmill.session import table
+from lexmill.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -585,7 +585,7 @@ def prompt_pack(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def unified_clean(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "documents").select("doc_id", "text", cleanup.column(cleanup.unified, F.col("text")).alias("cleaned"))
+    own = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "text", cleanup.column(cleanup.unified, F.col("text")).alias("cleaned"))
     return own.select("doc_id", F.length("text").alias("before"), F.length("cleaned").alias("after"), F.col("text").startswith(F.col("cleaned")).alias("is_prefix"))
 
 

@@ -42,3 +42,12 @@ def durable(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver-supplied table."""
     return ensure_importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than the session has cores, such as one small file, dealt over all of them.
+
+    Meant before costly map-only work; a table of enough partitions is left as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
