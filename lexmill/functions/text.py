@@ -71,8 +71,8 @@ def squeeze(c: Column) -> Column:
 
 
 def normalize_question(c: Column) -> Column:
-    """Lower case and single spaces, for text that is already composed."""
-    return squeeze(F.lower(c))
+    """Case folded (lower case, ß as ss) and single spaces, for text that is already composed."""
+    return squeeze(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
 
 
 def fold_accents(c: Column) -> Column:

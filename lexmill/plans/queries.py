@@ -278,7 +278,8 @@ def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", cleaning.clean_native(F.col("html")).alias("cleaned"))
 
 
-@query()
+@query("WITH u AS (" + SQL["clean_pages"].replace("replace(html,", "replace(nfc_normalize(html),") + r""")
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(cleaned, '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS cleaned FROM u""")
 def clean_pages_full(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", cleaning.clean(F.col("html")).alias("cleaned"))
 
@@ -300,7 +301,7 @@ def unicode_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, trim(regexp_replace(strip_accents(replace(replace(lower(text), 'ß', 'ss'), 'đ', 'd')), '\s+', ' ', 'g')) AS f, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM documents)
+WITH n AS (SELECT doc_id, trim(regexp_replace(strip_accents(replace(replace(lower(text), 'ß', 'ss'), 'đ', 'd')), '\s+', ' ', 'g')) AS f, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM documents)
 SELECT doc_id, sha256(q) AS question_key, sha256(f) AS folded_key, array_to_string(regexp_extract_all(f, '[a-z0-9]+'), ' ') AS ascii_words FROM n""")
 def normalisers(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
@@ -312,8 +313,8 @@ def normalisers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH q AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM documents),
-p AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark),
+WITH q AS (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM documents),
+p AS (SELECT DISTINCT trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM benchmark),
 b AS (SELECT doc_id, q, (('0x' || substr(sha256('split-v1' || chr(0) || q), 1, 16))::UBIGINT % 100)::INT AS bucket FROM q)
 SELECT doc_id, bucket, CASE WHEN bucket < 10 THEN 'dev' WHEN bucket < 20 THEN 'holdout' ELSE 'train' END AS split FROM b""")
 def split_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -322,9 +323,9 @@ def split_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS q FROM benchmark),
+WITH p AS (SELECT DISTINCT trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM benchmark),
 r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS lines, count_if(trim(regexp_replace(lower(line), '\s+', ' ', 'g')) IN (SELECT q FROM p))::BIGINT AS quarantined FROM r GROUP BY 1""")
+SELECT doc_id, count(*) AS lines, count_if(trim(regexp_replace(replace(lower(line), 'ß', 'ss'), '\s+', ' ', 'g')) IN (SELECT q FROM p))::BIGINT AS quarantined FROM r GROUP BY 1""")
 def quarantine(spark: SparkSession, d: str) -> DataFrame:
     public = table(spark, d, "benchmark").select(T.normalize_question(F.col("text")).alias("q"), F.lit(True).alias("hit")).distinct()
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("q", T.normalize_question(F.col("line")))
@@ -332,9 +333,9 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH q AS (SELECT question_id, conv_id % 10 = 0 AS warm, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS n, trim(regexp_replace(lower(answer), '\s+', ' ', 'g')) AS a FROM (
+WITH q AS (SELECT question_id, conv_id % 10 = 0 AS warm, trim(regexp_replace(replace(lower(question), 'ß', 'ss'), '\s+', ' ', 'g')) AS n, trim(regexp_replace(replace(lower(answer), 'ß', 'ss'), '\s+', ' ', 'g')) AS a FROM (
   SELECT conv_id, conv_id::VARCHAR || '-' || turn AS question_id, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant'),
-p AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS n FROM benchmark UNION SELECT n FROM q WHERE ends_with(question_id, '7-0')),
+p AS (SELECT trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS n FROM benchmark UNION SELECT n FROM q WHERE ends_with(question_id, '7-0')),
 s AS (SELECT *, CASE WHEN n IN (SELECT n FROM p) THEN 'quarantine' WHEN warm AND EXISTS (SELECT 1 FROM q t WHERE NOT t.warm AND t.n = q.n) THEN
   CASE WHEN EXISTS (SELECT 1 FROM q t WHERE NOT t.warm AND t.n = q.n AND t.a = q.a) THEN 'alias' ELSE 'conflict' END ELSE 'kept' END AS status,
   ('0x' || substr(sha256('v1' || chr(0) || n), 1, 16))::UBIGINT % 100 AS b FROM q)
@@ -442,7 +443,15 @@ def answer_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _question_answer(spark, d).select("question_id", evaluation.coverage(F.col("answer"), F.col("question")).alias("coverage"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_QA},
+t AS (SELECT question_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS r, regexp_extract_all(lower(answer), '[a-z0-9]+') AS p FROM qa),
+m AS (SELECT question_id, i, list(j) AS js FROM (SELECT question_id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM t) JOIN (SELECT question_id, unnest(p) AS w, generate_subscripts(p, 1) AS j FROM t) USING (question_id, w) GROUP BY ALL),
+n AS (SELECT question_id, js, row_number() OVER (PARTITION BY question_id ORDER BY i) AS s FROM m),
+l(question_id, s, x) AS (SELECT DISTINCT question_id, 0::BIGINT, []::BIGINT[] FROM n
+  UNION ALL SELECT l.question_id, n.s, list_filter(list_transform(range(1, len(x) + 2), lambda k: coalesce(list_min(list_filter(js, lambda j: j > coalesce(x[k - 1], 0) AND j < coalesce(x[k], 1000000000))), x[k])), lambda v: v IS NOT NULL)
+  FROM l JOIN n ON n.question_id = l.question_id AND n.s = l.s + 1),
+f AS (SELECT question_id, max(len(x)) AS n FROM l GROUP BY 1)
+SELECT question_id, CASE WHEN n > 0 THEN 2.0::DOUBLE * n / (len(r) + len(p)) ELSE 0.0::DOUBLE END AS rouge_l FROM t LEFT JOIN f USING (question_id)""")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return _question_answer(spark, d).select("question_id", evaluation.rouge_l(F.col("question"), F.col("answer")).alias("rouge_l"))
 
@@ -544,7 +553,25 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
         "chunk_id", "document_id", "section_kind", "split_method", "chunk_index", "start_char", "end_char", "whitespace_token_count")
 
 
-@query()
+_FOLD = "trim(regexp_replace(strip_accents(replace(replace(lower({x}), 'ß', 'ss'), 'đ', 'd')), '\\s+', ' ', 'g'))"
+_SQUEEZED = "trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
+_IN = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(_FUSED + rf""",
+p AS (SELECT query_id, id, rank, {_SQUEEZED.format(x='b.text')} AS q, {_SQUEEZED.format(x='c.text')} AS b, {_SQUEEZED.format(x="coalesce(c.source, '')")} AS article, {_SQUEEZED.format(x='nfc_normalize(c.text)')} AS k
+  FROM h JOIN documents c ON c.doc_id = id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 20),
+w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(q, '(?i)[0-9a-zà-ỹđ]+')), lambda x: length(x) >= 4 AND x NOT IN ({_IN(selection.SIGNAL_STOPWORDS)})) AS own,
+  article <> '' AND list_contains(regexp_extract_all(q, '(?:^|[^\p{{L}}\p{{N}}_])điều\s+([0-9]+[a-zđ]?)', 1), article) OR len(list_filter(regexp_extract_all(q, '(khoản\s+[0-9]+|điểm\s+[a-zđ])', 1), lambda x: contains(b, x))) > 0 AS named FROM p),
+y AS (SELECT query_id, id, rank, k, CASE WHEN named THEN 3 WHEN len(list_intersect(own, regexp_extract_all(b, '(?i)[0-9a-zà-ỹđ]+'))) >= 3 THEN 4 ELSE 5 END AS tier,
+  row_number() OVER (PARTITION BY query_id, k ORDER BY rank) = 1 AS fresh FROM w),
+a AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY query_id ORDER BY rank) AS n FROM y),
+l AS (SELECT *, fresh AND n <= 6 AS locked, max((fresh AND n <= 6)::INT) OVER (PARTITION BY query_id, k) = 1 AS held FROM a),
+o AS (SELECT *, NOT held AND row_number() OVER (PARTITION BY query_id, k ORDER BY tier, rank) = 1 AS takes FROM l WHERE NOT locked),
+z AS (SELECT *, sum(takes::INT) OVER (PARTITION BY query_id ORDER BY tier, rank) AS m FROM o),
+x AS (SELECT query_id, sum(c) AS rejected FROM (SELECT query_id, (NOT fresh AND n < 6)::INT AS c FROM l UNION ALL SELECT query_id, (NOT takes AND m < 6)::INT FROM z) GROUP BY 1)
+SELECT query_id, id, n::INT AS selected_rank, 'locked-rrf' AS phase, -1 AS tier, rejected::INT AS rejected FROM l JOIN x USING (query_id) WHERE locked
+UNION ALL SELECT query_id, id, 6 + m::INT, 'legal-priority', tier, rejected::INT FROM z JOIN x USING (query_id) WHERE takes AND m <= 6""")
 def select_top12(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -552,10 +579,21 @@ def select_top12(spark: SparkSession, d: str) -> DataFrame:
     pool = _fused(spark, d, 20).join(docs, "id").join(asked, "query_id").select(
         "query_id", "id", "rank", F.col("id").cast("string").alias("document_id"), F.col("source").alias("article_number"), F.col("text").alias("body"),
         F.lit(0).alias("start"), F.length("text").alias("end"), selection.tier(F.col("question"), F.col("text"), none, none, F.col("source")).alias("tier"))
-    return selection.select_top(pool)
-
-
-@query()
+    return selection.select_top(pool).fillna({"tier": -1})
+
+
+@query(_FUSED + rf""",
+p AS (SELECT query_id, id, rank, {_FOLD.format(x='b.text')} AS q, {_FOLD.format(x='c.text')} AS c, {_FOLD.format(x="coalesce(c.source, '')")} AS own
+  FROM h JOIN documents c ON c.doc_id = id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 12),
+r AS (SELECT *, list_distinct(regexp_extract_all(q, '\b([0-9]{{1,4}}/[0-9]{{4}}/[a-z0-9]+(?:-[a-z0-9]+)*)\b', 1)) AS numbers, list_distinct(regexp_extract_all(q, '\bdieu\s+([0-9]+[a-z]?)\b', 1)) AS articles,
+  list_distinct(regexp_extract_all(q, '\bkhoan\s+([0-9]+[a-z]?)\b', 1)) AS clauses, list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ({_IN(T.CONTENT_STOPWORDS)})) AS words FROM p),
+s AS (SELECT *, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM r),
+g2 AS (SELECT query_id, id, rank, 1000.0::DOUBLE * len(list_filter(numbers, lambda x: contains(c, x)))
+  + 500 * len(list_filter(articles, lambda x: list_contains(regexp_extract_all(c, '\bdieu\s+([0-9]+[a-z]?)\b', 1), x) OR own = x)) + 100 * len(list_filter(clauses, lambda x: list_contains(regexp_extract_all(c, '\bkhoan\s+([0-9]+[a-z]?)\b', 1), x)))
+  + len(list_intersect(list_distinct(words), regexp_extract_all(c, '[a-z0-9]+'))) + 4 * len(list_filter(pairs, lambda x: contains(c, x))) + 1.5::DOUBLE * (12 - rank) AS score,
+  len(numbers) + len(articles) + len(clauses) > 0 AS has_reference FROM s),
+m AS (SELECT *, bool_or(has_reference) OVER (PARTITION BY query_id) OR rank <= 6 AS moves FROM g2)
+SELECT query_id, id, rank, score, has_reference, row_number() OVER (PARTITION BY query_id ORDER BY moves DESC, CASE WHEN moves THEN -score END, rank)::INT AS new_rank FROM m""")
 def citation_rerank(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -576,7 +614,14 @@ def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("conv_id", "p.used", F.size("p.kept").cast("long").alias("kept"))
 
 
-@query()
+@query(_FUSED.replace("WITH ", "WITH RECURSIVE ", 1) + r""",
+t AS (SELECT query_id, rank, text, len(regexp_extract_all(text, '\S+')) AS n FROM h JOIN documents ON doc_id = id WHERE rank <= 12),
+r(query_id, i, used, kept, n) AS (SELECT DISTINCT query_id, 0, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM t
+  UNION ALL SELECT r.query_id, t.rank, used + CASE WHEN used + t.n <= 1500 THEN t.n ELSE 0 END, kept + (used + t.n <= 1500)::BIGINT, r.n + CASE WHEN used + t.n <= 1500 THEN length(text) + 2 ELSE 0 END FROM r JOIN t ON t.query_id = r.query_id AND t.rank = i + 1),
+e AS (SELECT query_id, max(kept) AS kept, max(n) AS n FROM r GROUP BY 1)
+SELECT query_id, greatest(kept, 1)::INT AS kept, CASE WHEN kept > 0 THEN 'packed' ELSE 'truncated_first' END AS mode,
+  CASE WHEN kept > 0 THEN e.n - 2 ELSE length(text) - length(regexp_replace(regexp_replace(text, '^\s*(?:\S+\s+){750}', ''), '^(?:\S+\s+){750}', '')) END::INT AS characters
+FROM e JOIN t USING (query_id) WHERE rank = 1""")
 def prompt_pack(spark: SparkSession, d: str) -> DataFrame:
     own = _fused(spark, d, 12).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     out = assembly.pack_groups(own, key="query_id", order="rank", text="text", count=lambda s: len(s.split()), budget=1500)
@@ -714,6 +759,11 @@ def _stub_embedding():
     return model
 
 
-@query()
+@query("""WITH t AS (SELECT item_id, 'query: ' || coalesce(text, '') AS s FROM benchmark),
+c AS (SELECT item_id, list_transform(range(1, length(s) + 1), lambda i: unicode(substring(s, i, 1))) AS c FROM t),
+p AS (SELECT item_id, unnest(list_transform(range(1, len(c)), lambda i: (c[i] * 31 + c[i + 1]) % 32)) AS position FROM c),
+n AS (SELECT item_id, position, count(p.item_id) AS n FROM (SELECT item_id, unnest(range(0, 32)) AS position FROM benchmark) LEFT JOIN p USING (item_id, position) GROUP BY ALL)
+SELECT item_id, position::INT AS position, round((n + 0.001) / sqrt(sum((n + 0.001) ** 2) OVER (PARTITION BY item_id)), 3) AS weight FROM n""")
 def embedding_stage(spark: SparkSession, d: str) -> DataFrame:
-    return stages.embed(table(spark, d, "benchmark"), _stub_embedding, id_col="item_id", text_col="text", dimension=32, prefix="query: ")
+    own = stages.embed(table(spark, d, "benchmark"), _stub_embedding, id_col="item_id", text_col="text", dimension=32, prefix="query: ")
+    return own.select("item_id", F.posexplode("embedding").alias("position", "weight")).withColumn("weight", F.round(F.col("weight").cast("double"), 3))
