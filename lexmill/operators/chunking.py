@@ -150,7 +150,6 @@ def chunk_documents(docs: DataFrame, params: ChunkParams = ChunkParams(), *, id_
 #: What opens a procedure's heading, and an item number that ends it.
 PROCEDURE = re.compile(r"^(?:PHẪU THUẬT|KỸ THUẬT|QUY TRÌNH|ĐIỀU TRỊ)\b", re.I)
 ITEM_NUMBER = re.compile(r"^(?:[IVX]+|\d+)\s*[.)-]\s+", re.I)
-_BREAKS = (". ", "; ", ": ", " ")
 
 
 def _tight(text: str, a: int, b: int) -> tuple[int, int]:
@@ -158,34 +157,34 @@ def _tight(text: str, a: int, b: int) -> tuple[int, int]:
     return a + len(part) - len(part.lstrip()), a + len(part.rstrip()) if part.strip() else a + len(part) - len(part.lstrip())
 
 
-def split_exact(text: str, least: int, most: int) -> list[tuple[int, int]]:
-    """Trimmed spans of lines, cut to at most ``most`` characters at the last break of a window's second half.
-
-    A break is the end of a sentence or clause, or a space; without one the cut is at ``most``. A span shorter than
-    ``least`` joins the one before it if both fit, as a short first one does the second; what stays short is dropped.
-    """
-    spans: list[tuple[int, int]] = []
+def _lines_within(text: str, least: int, most: int) -> Iterator[tuple[int, int]]:
+    """Trimmed lines; of one longer than ``most`` the longest head of ``least`` to ``most`` that a space ends, over and over."""
+    head = re.compile(rf"(?s).{{{least},{most}}}(?= )|.{{{most}}}")
     for m in re.finditer(r"[^\n]+", text):
         a, b = _tight(text, *m.span())
         while b - a > most:
-            cut = max(text.rfind(k, a + most // 2, a + most + 1) for k in _BREAKS)
-            if cut < 0:
-                cut = a + most
-            elif text[cut] != " ":
-                cut += 1
-            x, y = _tight(text, a, cut)
-            if y > x:
-                spans.append((x, y))
+            cut = head.match(text, a, b).end()
+            yield _tight(text, a, cut)
             a, b = _tight(text, cut, b)
-        if b > a:
-            spans.append((a, b))
+        if a < b:
+            yield a, b
+
+
+def split_exact(text: str, least: int, most: int) -> list[tuple[int, int]]:
+    """Trimmed spans of lines, cut to at most ``most`` characters at the last space of a window's second half.
+
+    Without a space there the cut is at ``most``. A span shorter than ``least`` joins the one before it if both
+    fit, as a short first one does the second; what stays short is dropped.
+    """
+    short = lambda s: s[1] - s[0] < least
     out: list[tuple[int, int]] = []
-    for a, b in spans:
-        joins = out and b - a < least and b - out[-1][0] <= most
-        out[-1:] = [(out[-1][0], b)] if joins else [*out[-1:], (a, b)]
-    if len(out) > 1 and out[0][1] - out[0][0] < least and out[1][1] - out[0][0] <= most:
+    for a, b in _lines_within(text, most // 2, most):
+        if out and short((a, b)) and b - out[-1][0] <= most:
+            a, _ = out.pop()
+        out.append((a, b))
+    if len(out) > 1 and short(out[0]) and out[1][1] - out[0][0] <= most:
         out[:2] = [(out[0][0], out[1][1])]
-    return [(a, b) for a, b in out if b - a >= least]
+    return [s for s in out if not short(s)]
 
 
 def _upper(s: str) -> bool:

@@ -546,7 +546,14 @@ def ordered_fetch(spark: SparkSession, d: str) -> DataFrame:
 # ---- chunking, selection, packing, cleanup ------------------------------------------------------------------
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id::VARCHAR AS id, text, regexp_extract_all(text, '\s*\S+') AS w FROM documents),
+u AS (SELECT id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), v AS (SELECT id, i, x, sum(length(x)) OVER (PARTITION BY id ORDER BY i)::BIGINT AS e FROM u),
+p AS (SELECT id, list(e - length(ltrim(x, ' ' || chr(9) || chr(10) || chr(13))) ORDER BY i) AS s, list(e ORDER BY i) AS e, count(*) AS n FROM v GROUP BY 1),
+r(id, k, i, j) AS (SELECT id, 0, 0::BIGINT, least(n, 400, greatest(1, len(list_filter(e, lambda x: x <= s[1] + 3000)))) FROM p
+  UNION ALL SELECT id, k + 1, f, greatest(f + 1, least(n, f + 400, len(list_filter(e, lambda x: x <= s[f + 1] + 3000)))) FROM (SELECT r.id, k, n, s, e, greatest(i + 1, j - 40) AS f FROM r JOIN p ON p.id = r.id WHERE j < n)),
+c AS (SELECT r.id, k, s[i + 1] AS a, e[j] AS b, j - i AS n, substring(text, s[i + 1] + 1, e[j] - s[i + 1]) AS body FROM r JOIN p USING (id) JOIN t USING (id))
+SELECT printf('ctx-%s::%05d::%s', id, k, substr(sha256(body), 1, 12)) AS chunk_id, id AS document_id, 'unstructured' AS section_kind, 'token_fallback' AS split_method, k::INT AS chunk_index,
+  a::INT AS start_char, b::INT AS end_char, n::INT AS whitespace_token_count FROM c""")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").select("doc_id", "text")
     return chunking.chunk_documents(own, id_col="doc_id", text_col="text", title_col=None).select(
@@ -689,7 +696,20 @@ def add_segments(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.size("spans").alias("spans"), "added", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(r"""WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS id, string_split(text, chr(10)) AS ls, ' ' || chr(9) || chr(13) AS ws FROM documents),
+y AS (SELECT id, ws, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM x),
+z AS (SELECT id, ws, i, l, (sum(length(l) + 1) OVER (PARTITION BY id ORDER BY i) - length(l) - 1)::BIGINT AS o FROM y),
+r(id, ws, i, a, rest, n) AS (SELECT id, ws, i, o + length(l) - length(ltrim(l, ws)), trim(l, ws), NULL::BIGINT FROM z WHERE trim(l, ws) <> ''
+  UNION ALL SELECT id, ws, i, CASE WHEN n IS NULL THEN a ELSE a + n + length(substring(rest, n + 1)) - length(ltrim(substring(rest, n + 1), ws)) END, CASE WHEN n IS NULL THEN rest ELSE trim(substring(rest, n + 1), ws) END,
+    CASE WHEN n IS NOT NULL THEN NULL WHEN length(rest) <= 1200 THEN length(rest) WHEN contains(substring(rest, 601, 601), ' ') THEN 1201 - strpos(reverse(substring(rest, 601, 601)), ' ') ELSE 1200 END
+  FROM r WHERE n IS NULL OR n < length(rest)),
+sp AS (SELECT id, a, a + length(rtrim(substring(rest, 1, n), ws)) AS b, row_number() OVER (PARTITION BY id ORDER BY a) AS s FROM r WHERE n IS NOT NULL),
+f(id, s, a, b, g) AS (SELECT id, s, a, b, 1 FROM sp WHERE s = 1
+  UNION ALL SELECT f.id, sp.s, CASE WHEN sp.b - sp.a < 200 AND sp.b - f.a <= 1200 THEN f.a ELSE sp.a END, sp.b, CASE WHEN sp.b - sp.a < 200 AND sp.b - f.a <= 1200 THEN g ELSE g + 1 END FROM f JOIN sp ON sp.id = f.id AND sp.s = f.s + 1),
+m AS (SELECT id, g, min(a) AS a, max(b) AS b FROM f GROUP BY ALL),
+j AS (SELECT *, coalesce(max(b) FILTER (g = 1) OVER w - min(a) FILTER (g = 1) OVER w < 200 AND max(b) FILTER (g = 2) OVER w - min(a) FILTER (g = 1) OVER w <= 1200, false) AND g = 2 AS joins FROM m WINDOW w AS (PARTITION BY id)),
+k AS (SELECT id, CASE WHEN joins THEN 1 ELSE g END AS g, min(a) AS a, max(b) AS b FROM j GROUP BY ALL)
+SELECT id AS document_id, (row_number() OVER (PARTITION BY id ORDER BY g) - 1)::INT AS position, a::INT AS start, b::INT AS "end" FROM k WHERE b - a >= 200""")
 def exact_segments(spark: SparkSession, d: str) -> DataFrame:
     return chunking.exact_segments(table(spark, d, "documents"), id_col="doc_id", text_col="text")
 
