@@ -650,6 +650,21 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 # ---- preparation of evidence, model stages and their checks ---------------------------------------------------
 
 
+_SEGMENTS = r"""cx AS (SELECT doc_id::VARCHAR AS id, string_split(text, chr(10)) AS ls, ' ' || chr(9) || chr(13) AS ws FROM documents),
+cy AS (SELECT id, ws, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM cx),
+cz AS (SELECT id, ws, i, l, (sum(length(l) + 1) OVER (PARTITION BY id ORDER BY i) - length(l) - 1)::BIGINT AS o FROM cy),
+cr(id, ws, i, a, rest, n) AS (SELECT id, ws, i, o + length(l) - length(ltrim(l, ws)), trim(l, ws), NULL::BIGINT FROM cz WHERE trim(l, ws) <> ''
+  UNION ALL SELECT id, ws, i, CASE WHEN n IS NULL THEN a ELSE a + n + length(substring(rest, n + 1)) - length(ltrim(substring(rest, n + 1), ws)) END, CASE WHEN n IS NULL THEN rest ELSE trim(substring(rest, n + 1), ws) END,
+    CASE WHEN n IS NOT NULL THEN NULL WHEN length(rest) <= 1200 THEN length(rest) WHEN contains(substring(rest, 601, 601), ' ') THEN 1201 - strpos(reverse(substring(rest, 601, 601)), ' ') ELSE 1200 END
+  FROM cr WHERE n IS NULL OR n < length(rest)),
+cp AS (SELECT id, a, a + length(rtrim(substring(rest, 1, n), ws)) AS b, row_number() OVER (PARTITION BY id ORDER BY a) AS s FROM cr WHERE n IS NOT NULL),
+cf(id, s, a, b, g) AS (SELECT id, s, a, b, 1 FROM cp WHERE s = 1
+  UNION ALL SELECT cf.id, cp.s, CASE WHEN cp.b - cp.a < 200 AND cp.b - cf.a <= 1200 THEN cf.a ELSE cp.a END, cp.b, CASE WHEN cp.b - cp.a < 200 AND cp.b - cf.a <= 1200 THEN g ELSE g + 1 END FROM cf JOIN cp ON cp.id = cf.id AND cp.s = cf.s + 1),
+cm AS (SELECT id, g, min(a) AS a, max(b) AS b FROM cf GROUP BY ALL),
+cj AS (SELECT *, coalesce(max(b) FILTER (g = 1) OVER w - min(a) FILTER (g = 1) OVER w < 200 AND max(b) FILTER (g = 2) OVER w - min(a) FILTER (g = 1) OVER w <= 1200, false) AND g = 2 AS joins FROM cm WINDOW w AS (PARTITION BY id)),
+ck AS (SELECT id, CASE WHEN joins THEN 1 ELSE g END AS g, min(a) AS a, max(b) AS b FROM cj GROUP BY ALL)"""
+
+
 def _units(spark: SparkSession, d: str) -> DataFrame:
     """Per query the first four fused documents as units: seed the middle third, expansions the whole and either side."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
@@ -667,19 +682,41 @@ def _words(text: str) -> int:
     return len(text.split())
 
 
-@query()
+_UNITS = _FUSED.replace("WITH ", "WITH RECURSIVE ", 1) + r""",
+ua AS (SELECT query_id, rank, id::VARCHAR AS id, text, source, lang, length(text) AS n, floor(length(text) / 3)::INT AS a, floor(length(text) * 2 / 3)::INT AS b FROM h JOIN documents ON doc_id = id WHERE rank <= 4 AND length(text) >= 30)"""
+_PARENTS = _UNITS + r""",
+ub AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i, substring(text, a + 1, b - a) AS seed, [text, substring(text, 1, b), substring(text, a + 1)] AS more, {head} AS head FROM ua),
+uc AS (SELECT *, len(regexp_extract_all(seed, '\S+')) AS w, len(regexp_extract_all(head, '\S+')) AS hw, list_transform(more, lambda x: len(regexp_extract_all(x, '\S+'))) AS mw FROM ub),
+ut AS (SELECT query_id, sum(w + hw)::BIGINT AS total FROM uc GROUP BY 1),
+ur(query_id, i, total, took) AS (SELECT query_id, 0::BIGINT, total, 0::BIGINT FROM ut WHERE total <= 3000
+  UNION ALL SELECT query_id, i, total + CASE WHEN pick IS NULL THEN 0 ELSE mw[pick] - w END, coalesce(pick, 0)
+  FROM (SELECT ur.query_id, uc.i, total, mw, w, list_filter([1, 2, 3], lambda e: length(more[e]) <= 6000 AND mw[e] <= 1200 AND total - w + mw[e] <= 3000)[1] AS pick FROM ur JOIN uc ON uc.query_id = ur.query_id AND uc.i = ur.i + 1)),
+up AS (SELECT query_id, 'parents' AS mode, count(*) AS spans, count_if(took > 0) AS expansions, string_agg(head || CASE WHEN took > 0 THEN more[took] ELSE seed END, chr(10) || chr(10) ORDER BY i) AS text FROM ur JOIN uc USING (query_id, i) GROUP BY 1),
+uf(query_id, i, used, keeps) AS (SELECT query_id, 0::BIGINT, 0::BIGINT, false FROM ut WHERE total > 3000
+  UNION ALL SELECT uf.query_id, uc.i, used + CASE WHEN used + w <= 3000 THEN w ELSE 0 END, used + w <= 3000 FROM uf JOIN uc ON uc.query_id = uf.query_id AND uc.i = uf.i + 1),
+ug AS (SELECT query_id, string_agg(seed, chr(10) || chr(10) ORDER BY i) FILTER (keeps) AS text, count_if(keeps) AS spans FROM uf JOIN uc USING (query_id, i) GROUP BY 1),
+uh AS (SELECT query_id, 'seed-budget-fallback' AS mode, greatest(spans, 1) AS spans, 0 AS expansions, CASE WHEN spans > 0 THEN ug.text ELSE
+  substring(seed, 1, length(seed) - length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seed, '^\s*(?:\S+\s+){750}', ''), '^(?:\S+\s+){750}', ''), '^(?:\S+\s+){750}', ''), '^(?:\S+\s+){750}', ''))) END AS text
+  FROM ug JOIN uc USING (query_id) WHERE i = 1)
+SELECT query_id, mode, spans::INT AS spans, expansions::INT AS expansions, sha256(text) AS digest FROM (SELECT * FROM up UNION ALL SELECT * FROM uh)"""
+_BELOW = "'Nội dung:' || chr(10)"
+
+
+@query(_PARENTS.replace("{head}", f"CASE WHEN coalesce(lang, '') <> '' THEN 'Điều ' || lang ELSE 'Trích đoạn' END || CASE WHEN coalesce(source, '') <> '' THEN ': ' || source ELSE '' END || chr(10) || {_BELOW}"))
 def parent_pack(spark: SparkSession, d: str) -> DataFrame:
     out = assembly.pack_evidence(_units(spark, d), key="query_id", count=_words, budget=3000, most_expansion=1200, fallback=True)
     return out.select("query_id", "mode", F.size("spans").alias("spans"), F.size("expansions").alias("expansions"), F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(_PARENTS.replace("{head}", f"CASE WHEN trim(coalesce(source, '')) <> '' THEN 'Tiêu đề Điều: ' || trim(source) || chr(10) || {_BELOW} ELSE '' END"))
 def parent_pack_unmerged(spark: SparkSession, d: str) -> DataFrame:
     out = assembly.pack_evidence(_units(spark, d), key="query_id", count=_words, budget=3000, most_expansion=1200, merged=False, fallback=True)
     return out.select("query_id", "mode", F.size("spans").alias("spans"), F.size("expansions").alias("expansions"), F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query(_UNITS + f",\n{_SEGMENTS}" + """,
+us AS (SELECT query_id, rank, id, ck.a AS s, ck.b AS e FROM ua JOIN ck USING (id) WHERE ck.b - ck.a >= 200 AND (ck.a < ua.a OR ck.b > ua.b))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank, id, s) - 1)::INT AS position, id AS document_id, s::INT AS start, e::INT AS "end", substr(sha256(id || '|0|' || s || '|' || e), 1, 20) AS segment_id FROM us""")
 def selective_segments(spark: SparkSession, d: str) -> DataFrame:
     return assembly.segment_candidates(_units(spark, d), key="query_id").select("query_id", "position", "document_id", "start", "end", "segment_id")
 
@@ -696,20 +733,7 @@ def add_segments(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.size("spans").alias("spans"), "added", F.sha2("text", 256).alias("digest"))
 
 
-@query(r"""WITH RECURSIVE x AS (SELECT doc_id::VARCHAR AS id, string_split(text, chr(10)) AS ls, ' ' || chr(9) || chr(13) AS ws FROM documents),
-y AS (SELECT id, ws, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM x),
-z AS (SELECT id, ws, i, l, (sum(length(l) + 1) OVER (PARTITION BY id ORDER BY i) - length(l) - 1)::BIGINT AS o FROM y),
-r(id, ws, i, a, rest, n) AS (SELECT id, ws, i, o + length(l) - length(ltrim(l, ws)), trim(l, ws), NULL::BIGINT FROM z WHERE trim(l, ws) <> ''
-  UNION ALL SELECT id, ws, i, CASE WHEN n IS NULL THEN a ELSE a + n + length(substring(rest, n + 1)) - length(ltrim(substring(rest, n + 1), ws)) END, CASE WHEN n IS NULL THEN rest ELSE trim(substring(rest, n + 1), ws) END,
-    CASE WHEN n IS NOT NULL THEN NULL WHEN length(rest) <= 1200 THEN length(rest) WHEN contains(substring(rest, 601, 601), ' ') THEN 1201 - strpos(reverse(substring(rest, 601, 601)), ' ') ELSE 1200 END
-  FROM r WHERE n IS NULL OR n < length(rest)),
-sp AS (SELECT id, a, a + length(rtrim(substring(rest, 1, n), ws)) AS b, row_number() OVER (PARTITION BY id ORDER BY a) AS s FROM r WHERE n IS NOT NULL),
-f(id, s, a, b, g) AS (SELECT id, s, a, b, 1 FROM sp WHERE s = 1
-  UNION ALL SELECT f.id, sp.s, CASE WHEN sp.b - sp.a < 200 AND sp.b - f.a <= 1200 THEN f.a ELSE sp.a END, sp.b, CASE WHEN sp.b - sp.a < 200 AND sp.b - f.a <= 1200 THEN g ELSE g + 1 END FROM f JOIN sp ON sp.id = f.id AND sp.s = f.s + 1),
-m AS (SELECT id, g, min(a) AS a, max(b) AS b FROM f GROUP BY ALL),
-j AS (SELECT *, coalesce(max(b) FILTER (g = 1) OVER w - min(a) FILTER (g = 1) OVER w < 200 AND max(b) FILTER (g = 2) OVER w - min(a) FILTER (g = 1) OVER w <= 1200, false) AND g = 2 AS joins FROM m WINDOW w AS (PARTITION BY id)),
-k AS (SELECT id, CASE WHEN joins THEN 1 ELSE g END AS g, min(a) AS a, max(b) AS b FROM j GROUP BY ALL)
-SELECT id AS document_id, (row_number() OVER (PARTITION BY id ORDER BY g) - 1)::INT AS position, a::INT AS start, b::INT AS "end" FROM k WHERE b - a >= 200""")
+@query(f"WITH RECURSIVE {_SEGMENTS} " + """SELECT id AS document_id, (row_number() OVER (PARTITION BY id ORDER BY g) - 1)::INT AS position, a::INT AS start, b::INT AS "end" FROM ck WHERE b - a >= 200""")
 def exact_segments(spark: SparkSession, d: str) -> DataFrame:
     return chunking.exact_segments(table(spark, d, "documents"), id_col="doc_id", text_col="text")
 
