@@ -605,8 +605,8 @@ def citation_rerank(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     own = _fused(spark, d, 12).join(docs, "id").join(asked, "query_id")
-    return selection.citation_order(own.select("query_id", "id", "rank", *selection.relevance(F.col("question"), F.col("text"), F.col("source"), F.col("rank")))).select(
-        "query_id", "id", "rank", "score", "has_reference", "new_rank")
+    scored = selection.relevance(own, question="question", context="text", article="source", rank="rank")
+    return selection.citation_order(scored.select("query_id", "id", "rank", "score", "has_reference")).select("query_id", "id", "rank", "score", "has_reference", "new_rank")
 
 
 @query("""
