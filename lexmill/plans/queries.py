@@ -811,3 +811,135 @@ SELECT item_id, position::INT AS position, round((n + 0.001) / sqrt(sum((n + 0.0
 def embedding_stage(spark: SparkSession, d: str) -> DataFrame:
     own = stages.embed(table(spark, d, "benchmark"), _stub_embedding, id_col="item_id", text_col="text", dimension=32, prefix="query: ")
     return own.select("item_id", F.posexplode("embedding").alias("position", "weight")).withColumn("weight", F.round(F.col("weight").cast("double"), 3))
+
+
+# ---- keys, records and metrics whose rules the tables' texts alone would not reach: numbers and titles are put together --------
+
+_NO = "'Số  ' || conv_id || ' / 20' || lpad(turn::VARCHAR, 2, '0') || '/ NĐ - CP.'"
+_COMPACT = "regexp_replace({x}, '[^a-z0-9]', '', 'g')"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, {_NO} AS number, 'Điều  ' || turn || 'Đ.:' AS article FROM conversations),
+f AS (SELECT conv_id, turn, {_FOLD.format(x='number')} AS n, {_FOLD.format(x='article')} AS a, {_FOLD.format(x="'Theo ' || number || ' và 12/2019/TT-BTC, ' || number")} AS t FROM c),
+l AS (SELECT *, list_distinct(list_transform(regexp_extract_all(t, '\b[0-9]{{1,4}}\s*/\s*[0-9]{{4}}\s*/\s*[a-z0-9]+(?:\s*-\s*[a-z0-9]+)*\b'), lambda x: {_COMPACT.format(x='x')})) AS found FROM f)
+SELECT conv_id, turn, {_COMPACT.format(x='n')} AS compact, regexp_replace(regexp_replace(n, '\s+', '', 'g'), '[.\-]+$', '') AS kept, regexp_replace(a, '[.:]+$', '') AS article, array_to_string(list_sort(found), ' ') AS found FROM l""")
+def legal_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Both number normalisers, the article key and the numbers that a text names."""
+    text = lambda c: F.col(c).cast("string")
+    number = F.concat(F.lit("Số  "), text("conv_id"), F.lit(" / 20"), F.lpad(text("turn"), 2, "0"), F.lit("/ NĐ - CP."))
+    own = table(spark, d, "conversations").select("conv_id", "turn", number.alias("number"), F.concat(F.lit("Điều  "), text("turn"), F.lit("Đ.:")).alias("article"))
+    found = T.legal_numbers(F.concat(F.lit("Theo "), "number", F.lit(" và 12/2019/TT-BTC, "), "number"))
+    return own.select(
+        "conv_id", "turn", T.number_compact(F.col("number")).alias("compact"), T.number_kept(F.col("number")).alias("kept"), T.article_key(F.col("article")).alias("article"),
+        F.array_join(F.array_sort(found), " ").alias("found"))
+
+
+@query(rf"""WITH f AS (SELECT doc_id, text, regexp_extract_all({_FOLD.format(x='text')}, '[a-z0-9]+') AS w, CASE WHEN doc_id % 2 = 0 THEN upper(replace(substr(text, 1, 40), 'ß', 'ss')) ELSE substr(text, 1, 40) END AS head FROM documents),
+n AS (SELECT *, length(regexp_replace(head, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(head, '[^\p{{Lu}}]', '', 'g')) AS capitals FROM f)
+SELECT doc_id, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS rouge_digest, letters >= 12 AND capitals >= letters * 0.9 AS is_heading,
+  sha256(array_to_string(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ({_IN(T.CONTENT_STOPWORDS)})), ' ')) AS content_digest,
+  sha256(array_to_string(list_filter(w, lambda x: length(x) >= 2 AND x NOT IN ({_IN(T.TITLE_STOPWORDS)})), ' ')) AS title_digest FROM n""")
+def token_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the official score, content and title tokens, and capital headings (every second text's head in capitals)."""
+    digest = lambda words: F.sha2(F.array_join(words, " "), 256)
+    head = F.substring("text", 1, 40)
+    own = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.upper(F.replace(head, F.lit("ß"), F.lit("ss")))).otherwise(head).alias("head"))
+    return own.select(
+        "doc_id", digest(T.rouge_tokens(F.col("text"))).alias("rouge_digest"), T.is_upper_heading(F.col("head")).alias("is_heading"),
+        digest(T.content_tokens(F.col("text"), T.CONTENT_STOPWORDS, 3)).alias("content_digest"), digest(T.content_tokens(F.col("text"), T.TITLE_STOPWORDS, 2)).alias("title_digest"))
+
+
+_TITLED = rf"""t AS (SELECT doc_id, 'Thông tư ' || substr(text, 1, 120) AS question, CASE WHEN doc_id % 3 = 0 THEN 'Thông tư ' || substr(text, 1, 40) ELSE 'Luật ' || substr(text, 60, 50) END AS title FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, regexp_extract_all({_FOLD.format(x='question')}, '[a-z0-9]+') AS qa, regexp_extract_all({_FOLD.format(x='title')}, '[a-z0-9]+') AS ta FROM t),
+w AS (SELECT *, list_filter(qa, lambda x: length(x) >= 2 AND x NOT IN ({_IN(T.TITLE_STOPWORDS)})) AS q, list_distinct(list_filter(ta, lambda x: length(x) >= 2 AND x NOT IN ({_IN(T.TITLE_STOPWORDS)}))) AS ti FROM f),
+k AS (SELECT *, list_intersect(ti, q) AS met FROM w)"""
+
+
+@query(f"""WITH {_TITLED}
+SELECT doc_id, contains(' ' || array_to_string(qa, ' ') || ' ', ' ' || array_to_string(ta, ' ') || ' ')::INT AS phrase, len(met)::INT AS overlap, floor(len(met) * 10000 / len(ti))::BIGINT AS coverage, len(ti)::INT AS n
+FROM k WHERE len(ti) >= 2 AND len(met) >= 0.5 * len(ti) AND len(list_intersect(met, [{_IN(T.LEGAL_TYPES)}])) > 0""")
+def title_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The keys by which titles match a question, where they do."""
+    part = lambda word, a, n: F.concat(F.lit(word), F.substring("text", a, n))
+    own = table(spark, d, "documents").where("text is not null").select("doc_id", part("Thông tư ", 1, 120).alias("question"), F.when(F.col("doc_id") % 3 == 0, part("Thông tư ", 1, 40)).otherwise(part("Luật ", 60, 50)).alias("title"))
+    return own.select("doc_id", selection.title_key(F.col("question"), F.col("title")).alias("k")).where("k is not null").select("doc_id", "k.*")
+
+
+@query("""SELECT doc_id::VARCHAR AS chunk_id, length(p) AS prefix_characters, sha256(p || substr(text, 11, 50)) AS digest FROM (
+  SELECT doc_id, text, CASE WHEN h = '' THEN '' ELSE h || chr(10) || 'Nội dung:' || chr(10) END AS p FROM (
+    SELECT doc_id, text, concat_ws(chr(10), CASE WHEN trim(coalesce(source, '')) <> '' THEN 'Tên nguồn: ' || trim(source) END, CASE WHEN doc_id % 2 = 0 THEN 'Số văn bản: ' || doc_id END, CASE WHEN trim(coalesce(lang, '')) <> '' THEN 'Tiêu đề Điều: ' || trim(lang) END) AS h
+    FROM documents WHERE length(text) >= 60))""")
+def enriched_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Characters 10 to 60 of each document as a chunk, under what names it."""
+    key = F.col("doc_id").cast("string")
+    own = table(spark, d, "documents").where(F.length("text") >= 60)
+    chunks = own.select(
+        key.alias("chunk_id"), key.alias("document_id"), F.lit(10).alias("start_char"), F.lit(60).alias("end_char"), F.substring("text", 11, 50).alias("text"), F.col("source").alias("source_title"),
+        F.col("lang").alias("article_title"))
+    docs = own.select(key.alias("document_id"), F.col("text").alias("cleaned_text"), F.when(F.col("doc_id") % 2 == 0, key).alias("document_number"))
+    return assembly.enrich(chunks, docs).select("chunk_id", F.length("prefix").alias("prefix_characters"), F.sha2("enriched_text", 256).alias("digest"))
+
+
+@query(f"""WITH {_QA}
+SELECT question_id, sha256('Câu hỏi:' || chr(10) || trim(question) || chr(10) || chr(10) || 'Tài liệu:' || chr(10) || '[Tài liệu 1, điều ' || turn || ']' || chr(10) || trim(answer) || chr(10) || chr(10) || '[Tài liệu 2]' || chr(10) || trim(question)
+  || chr(10) || chr(10) || 'Yêu cầu:' || chr(10) || 'Trả lời.') AS digest, 2 AS messages FROM qa""")
+def chat_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages over two contexts, one of them with an article's number."""
+    pair = F.array(F.struct(F.col("answer").alias("text"), F.col("turn").cast("string").alias("article_number")), F.struct(F.col("question").alias("text"), F.lit(None).cast("string").alias("article_number")))
+    own = _question_answer(spark, d).select("question_id", assembly.messages(F.lit("Luật"), F.col("question"), pair, F.lit("Trả lời.")).alias("m"))
+    return own.select("question_id", F.sha2(F.col("m")[1]["content"], 256).alias("digest"), F.size("m").alias("messages"))
+
+
+@query(f"""WITH {_QA}, c AS (SELECT qa.question_id, c.turn, c.text FROM qa JOIN conversations c USING (conv_id) WHERE c.role = 'assistant')
+SELECT qa.question_id, count(c.text) AS contexts, coalesce(bool_or(contains(c.text, qa.answer)), false) AS answer_in_context, sha256(coalesce(string_agg(c.text, chr(10) ORDER BY c.turn), '')) AS digest
+FROM qa LEFT JOIN c USING (question_id) GROUP BY 1""")
+def training_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with all of its conversation's answers as contexts."""
+    own = _question_answer(spark, d)
+    told = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", F.col("turn").alias("rank"), "text")
+    out = assembly.training_rows(own.select("question_id", "question", "answer"), own.select("question_id", "conv_id").join(told, "conv_id"))
+    return out.select("question_id", F.size("contexts").cast("long").alias("contexts"), "answer_in_context", F.sha2(F.array_join("contexts", "\n"), 256).alias("digest"))
+
+
+@query(SQL["rouge_l"])
+def score_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Answers as predictions of questions: two tables of the same ids, scored."""
+    own = _question_answer(spark, d)
+    return evaluation.score_mapping(own.select("question_id", F.col("question").alias("answer")), own.select("question_id", "answer"))
+
+
+@query(f"""WITH {_QA}, v(variant) AS (VALUES ('long'), ('short')),
+g AS (SELECT question_id, variant, upper(substr(replace('Q ' || question, 'ß', 'ss'), 1, CASE variant WHEN 'long' THEN 60 ELSE 15 END)) AS answer FROM qa, v)
+SELECT question_id, variant, length(answer)::INT AS n, sha256(answer) AS answer_sha256 FROM g""")
+def decoding_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Each question under two decoding variants of a stub model that gives the prompt's start in capitals."""
+    variants = {"long": {"n": 60}, "short": {"n": 15}}
+    prompts = _question_answer(spark, d).select("question_id", F.concat(F.lit("Q "), F.replace("question", F.lit("ß"), F.lit("ss"))).alias("prompt"))
+    stub = lambda: lambda texts, how: [t[: how["n"]].upper() for t in texts]
+    out = stages.generate(stages.decoding_grid(prompts, variants), stub, keep=["question_id", "variant"], prompt="prompt", variants=variants, variant="variant")
+    return out.select("question_id", "variant", F.length("answer").alias("n"), "answer_sha256")
+
+
+@query(f"""WITH {_QA} SELECT question_id, length(coalesce(question, '')) / (1.0::DOUBLE + length(coalesce(answer, ''))) AS score,
+  row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(question, '')) / (1.0::DOUBLE + length(coalesce(answer, ''))) DESC, turn)::INT AS new_rank FROM qa""")
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The cross-encoder stage with a stub that divides the lengths; ranks within a conversation."""
+    import numpy as np
+
+    stub = lambda: lambda a, b: np.array([len(x) / (1 + len(y)) for x, y in zip(a, b)])
+    out = stages.score_pairs(_question_answer(spark, d), stub, keep=["question_id", "conv_id", "turn"], question="question", context="answer")
+    return out.withColumn("new_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))).select("question_id", "score", "new_rank")
+
+
+@query(rf"""WITH {_QA}, a AS (SELECT question_id, answer || ' (Điều ' || turn || ', điều 3a; số 12/2019/NĐ-CP)' AS answer, CASE WHEN turn % 4 = 0 THEN question ELSE question || ' điều 3A, 12/2019/nđ-cp' END AS context, turn FROM qa),
+f AS (SELECT *, list_distinct(regexp_extract_all({_FOLD.format(x='answer')}, '[\p{{L}}\p{{N}}]+')) AS w, list_distinct(regexp_extract_all({_FOLD.format(x='context')}, '[\p{{L}}\p{{N}}]+')) AS h FROM a),
+r AS (SELECT *, {_FOLD.format(x='context')} AS c, list_distinct(regexp_extract_all(lower(answer), 'điều\s+([0-9]+[a-zđ]?)', 1)) AS articles, list_distinct(regexp_extract_all(upper(answer), '[0-9]{{1,4}}/[0-9]{{4}}/[A-ZĐ]+(?:-[A-ZĐ0-9]+)+')) AS numbers FROM f)
+SELECT question_id, len(w)::INT AS answer_words, len(list_intersect(w, h))::DOUBLE / len(w) AS coverage, (len(articles) + len(numbers))::INT AS "references",
+  (len(list_filter(articles, lambda x: x = turn::VARCHAR OR contains(c, 'dieu ' || replace(x, 'đ', 'd')))) + len(list_filter(numbers, lambda x: contains(c, replace(lower(x), 'đ', 'd')))))::INT AS reference_hits FROM r""")
+def answer_references(spark: SparkSession, d: str) -> DataFrame:
+    """What of an answer's words and references its one context holds: the context is of the article named first, every other one names the rest."""
+    turn = F.col("turn").cast("string")
+    own = _question_answer(spark, d).select(
+        "question_id", F.concat("answer", F.lit(" (Điều "), turn, F.lit(", điều 3a; số 12/2019/NĐ-CP)")).alias("answer"),
+        F.array(F.struct(F.when(F.col("turn") % 4 == 0, F.col("question")).otherwise(F.concat("question", F.lit(" điều 3A, 12/2019/nđ-cp"))).alias("text"), turn.alias("article_number"))).alias("c"))
+    return own.select("question_id", *evaluation.answer_derived(F.col("answer"), F.col("c"))).select("question_id", "answer_words", "coverage", "references", "reference_hits")
