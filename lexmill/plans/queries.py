@@ -943,3 +943,45 @@ def answer_references(spark: SparkSession, d: str) -> DataFrame:
         "question_id", F.concat("answer", F.lit(" (Điều "), turn, F.lit(", điều 3a; số 12/2019/NĐ-CP)")).alias("answer"),
         F.array(F.struct(F.when(F.col("turn") % 4 == 0, F.col("question")).otherwise(F.concat("question", F.lit(" điều 3A, 12/2019/nđ-cp"))).alias("text"), turn.alias("article_number"))).alias("c"))
     return own.select("question_id", *evaluation.answer_derived(F.col("answer"), F.col("c"))).select("question_id", "answer_words", "coverage", "references", "reference_hits")
+
+
+@query(rf"""WITH b AS (SELECT b.item_id AS query_id, CASE b.item_id % 4 WHEN 0 THEN 'Theo số ' || b.item_id || ' / 2020 / NĐ-CP thì' WHEN 1 THEN 'Thông tư ' || substr(c.text, 1, 40) ELSE 'Luật ' || substr(b.text, 1, 80) END AS question
+  FROM benchmark b JOIN documents c ON c.doc_id = b.item_id),
+n AS (SELECT query_id, count(DISTINCT doc_id) AS n, min(doc_id::VARCHAR) AS document_id FROM b JOIN documents ON query_id % 4 = 0 AND doc_id % 997 = query_id GROUP BY 1),
+q AS (SELECT query_id, regexp_extract_all({_FOLD.format(x='question')}, '[a-z0-9]+') AS qa FROM b),
+t AS (SELECT doc_id, regexp_extract_all({_FOLD.format(x="'Thông tư ' || substr(text, 1, 40)")}, '[a-z0-9]+') AS ta FROM documents WHERE text IS NOT NULL),
+w AS (SELECT query_id, doc_id, qa, ta, list_filter(qa, lambda x: length(x) >= 2 AND x NOT IN ({_IN(T.TITLE_STOPWORDS)})) AS qw, list_distinct(list_filter(ta, lambda x: length(x) >= 2 AND x NOT IN ({_IN(T.TITLE_STOPWORDS)}))) AS ti FROM q, t),
+k AS (SELECT *, list_intersect(ti, qw) AS met FROM w),
+r AS (SELECT query_id, doc_id, rank() OVER (PARTITION BY query_id ORDER BY contains(' ' || array_to_string(qa, ' ') || ' ', ' ' || array_to_string(ta, ' ') || ' ') DESC, len(met) DESC, floor(len(met) * 10000 / len(ti)) DESC, len(ti) DESC) AS r
+  FROM k WHERE len(ti) >= 2 AND len(met) >= 0.5 * len(ti) AND len(list_intersect(met, [{_IN(T.LEGAL_TYPES)}])) > 0),
+l AS (SELECT query_id, count(*) AS titles, min(doc_id::VARCHAR) AS document_id FROM r WHERE r = 1 GROUP BY 1)
+SELECT b.query_id, CASE WHEN n = 1 THEN n.document_id WHEN n IS NULL AND titles = 1 THEN l.document_id END AS document_id,
+  CASE WHEN n = 1 THEN 'number' WHEN n > 1 THEN 'ambiguous_number' WHEN titles = 1 THEN 'title' WHEN titles > 1 THEN 'ambiguous_title' ELSE 'no_match' END AS reason
+FROM b LEFT JOIN n USING (query_id) LEFT JOIN l USING (query_id)""")
+def resolved_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Questions made of numbers, titles and benchmark passages against documents of made-up numbers and titles."""
+    docs = table(spark, d, "documents")
+    started = F.concat(F.lit("Thông tư "), F.substring("text", 1, 40))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("b")).join(docs.select(F.col("doc_id").alias("query_id"), started.alias("own")), "query_id")
+    kind = F.col("query_id") % 4
+    number = F.concat(F.lit("Theo số "), F.col("query_id").cast("string"), F.lit(" / 2020 / NĐ-CP thì"))
+    asked = asked.select("query_id", F.when(kind == 0, number).when(kind == 1, F.col("own")).otherwise(F.concat(F.lit("Luật "), F.substring("b", 1, 80))).alias("question"))
+    named = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.concat((F.col("doc_id") % 997).cast("string"), F.lit("/2020/NĐ-CP")).alias("document_number"), started.alias("source_title"))
+    return selection.resolve_document(asked, named)
+
+
+@query(_FUSED + """,
+j AS (SELECT h.query_id, h.id, h.rank, source AS doc FROM h JOIN documents ON doc_id = id WHERE h.rank <= 20),
+t AS (SELECT query_id, max_by(doc, rank) AS target FROM j GROUP BY 1),
+m AS (SELECT *, coalesce(doc = target, false) AS mine, rank <= 12 AS head FROM j JOIN t USING (query_id)),
+o AS (SELECT query_id, count_if(head AND NOT mine) AS others, coalesce(max(rank) FILTER (head AND mine), 0) AS last FROM m GROUP BY 1),
+u AS (SELECT query_id, id FROM m JOIN o USING (query_id) WHERE mine AND NOT head QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= least(2, others)),
+c AS (SELECT query_id, count(*) AS ups FROM u GROUP BY 1),
+x AS (SELECT query_id, id FROM m JOIN c USING (query_id) WHERE head AND NOT mine QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) <= ups)
+SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN head THEN rank ELSE last + 0.5 END, rank)::INT AS new_rank FROM m JOIN o USING (query_id)
+WHERE (head AND (query_id, id) NOT IN (SELECT (query_id, id) FROM x)) OR (query_id, id) IN (SELECT (query_id, id) FROM u)""")
+def promoted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The fused top 12, with rows from beyond it of the source of the last fused row moved up."""
+    ranked = _fused(spark, d, 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id")), "id").select("query_id", "id", "rank", "document_id")
+    target = ranked.groupBy("query_id").agg(F.max_by("document_id", "rank").alias("document_id"))
+    return selection.promote(ranked, target).select("query_id", "id", "rank", "new_rank")

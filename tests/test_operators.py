@@ -507,3 +507,36 @@ def test_coverage_identity_and_length_guard(spark):
     assert audit.within_length(texts, F.length("text"), 3, "id").count() == 2
     with pytest.raises(Exception, match="over 2: 1"):
         audit.within_length(texts, F.length("text"), 2, "id").collect()
+
+
+def test_question_keys_fold_case(spark):
+    own = spark.createDataFrame([("Straße  GROSS", "strasse gross"), ("Điều  5", "điều 5"), (None, None)], "a string, b string")
+    assert [r[0] for r in own.select(T.normalize_question(F.col("a"))).collect()] == [r.b for r in own.collect()]
+    words = spark.createDataFrame([("weiß heiß groß", "HEISS weiss gross und")], "q string, b string")
+    none = F.lit(None).cast("string")
+    assert words.select(selection.tier(F.col("q"), F.col("b"), none, none, none)).first()[0] == 4
+
+
+def test_titles_meet_on_rare_words_as_on_all(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = ["thong", "tu", "luat", "thue", "dat", "xe", "nha", "muoi", "tam", "sau"]
+    text = lambda: " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 7)))
+    asked = spark.createDataFrame([(i, text()) for i in range(40)], "query_id int, question string")
+    docs = spark.createDataFrame([(f"d{i:02d}", None if i == 7 else text(), None) for i in range(60)], "document_id string, source_title string, document_number string")
+    keyed = asked.crossJoin(docs).withColumn("k", selection.title_key(F.col("question"), F.col("source_title"))).where("k is not null").collect()
+    want = {i: (None, "no_match") for i in range(40)}
+    for i in {r.query_id for r in keyed}:
+        mine = [r for r in keyed if r.query_id == i]
+        best = [r.document_id for r in mine if tuple(r.k) == max(tuple(x.k) for x in mine)]
+        want[i] = (best[0], "title") if len(best) == 1 else (None, "ambiguous_title")
+    got = {r.query_id: (r.document_id, r.reason) for r in selection.resolve_document(asked, docs).collect()}
+    assert got == want and len({r for _, r in want.values()}) == 3
+
+
+def test_relevance_of_references(spark):
+    own = spark.createDataFrame(
+        [("Điều 5 khoản 2 theo 12/2019/TT-BTC mức thuế đất", "Mức thuế đất theo 12/2019/tt-btc: khoản 2.", "5", 1), ("mức thuế", None, None, 2), (None, "x", "5", 3)], "q string, c string, a string, rank int")
+    got = [(r.score, r.has_reference) for r in selection.relevance(own, question="q", context="c", article="a", rank="rank").collect()]
+    assert got == [(1000 + 500 + 100 + 6 + 2 * 4 + 1.5 * 11, True), (None, False), (None, None)]  # six words and two pairs of them are held
