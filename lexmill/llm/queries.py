@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, embeddings, html, minhash, mixing, packing, quality, sharding, toxicity
+from lexmill.llm import chat, decontaminate, embeddings, html, infill, minhash, mixing, packing, quality, sharding, toxicity
 from lexmill.session import table
 
 
@@ -71,9 +71,17 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, d, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality, op3_embedding_dups, op4_mixing, op5_chat, op6_html, op7_sharding, op8_minhash, op9_packing, op10_decontamination)
+    for f in (
+        op1_toxicity, op2_quality, op3_embedding_dups, op4_mixing, op5_chat, op6_html, op7_sharding, op8_minhash, op9_packing, op10_decontamination, op11_fill_in_middle)
 }
 
 _OP3 = """
@@ -165,4 +173,19 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.m AS component_id, c.m = n.doc_id
 FROM n JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = n.doc_id
 """
 
-ORACLE_SQL = {"op3_embedding_dups": _OP3, "op4_mixing": _OP4, "op5_chat": _OP5, "op7_sharding": _OP7, "op8_minhash": _OP8}
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+f AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL = {"op11_fill_in_middle": _OP11, "op3_embedding_dups": _OP3, "op4_mixing": _OP4, "op5_chat": _OP5, "op7_sharding": _OP7, "op8_minhash": _OP8}
