@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 UNIT, LETTERS = "[A-Za-z]+|[^A-Za-z]", "[A-Za-z]+"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
-#: Units of one run, as a power of two. Runs in which nobody cuts are one row each before anything is shuffled.
-RUN_BITS = 5
-
 
 def _draw(digest: Column, group: int) -> Column:
     """A group of eight hex digits as a number."""
@@ -42,25 +39,26 @@ def _key() -> list[Column]:
 def cut_offsets(asked: DataFrame) -> DataFrame:
     """``u, v, first_at, second_at``: the cuts of each key in code points.
 
-    Units are exploded with their ordinals. A unit whose run of 32 holds the unit before a cut keeps a row
-    of its own; the others of a run are added up where they are read, so that a document shuffles its units / 32
-    and 64 rows. A window sums lengths up to each row, the cuts' ordinals are joined to the sums, and the two
-    offsets of a key are put together. All of it stays in the partitions of the key. Rows that repeat an id and
-    text repeat its units too, so a sum is divided by how often its first unit came.
+    Units are exploded with their ordinals. Where they are read, units are added up to the largest aligned blocks of
+    two to the k that hold no unit before a cut, which keep rows of their own; so a document of n units shuffles
+    2 log2(n) rows, not n. A window sums lengths up to each row, the cuts' ordinals are joined to the sums, and the
+    two offsets of a key are put together, all in the partitions of the key. Rows that repeat an id and text repeat
+    its units too, so a sum is divided by how often its first unit came.
     """
-    cut = asked.where("form <> 'plain'")
-    last = [F.col(c) - 1 for c in ("first", "second")]  # the unit that ends where the cut is
+    last = [(F.col(c) - 1).cast("int").alias(f"c{i}") for i, c in enumerate(("first", "second"))]  # the unit that ends where the cut is
+    cut = asked.where("form <> 'plain'").select(*_key(), *last, "text")
     # texts end here: a key made beside the generator would be hashed from the whole text for each unit
-    matches = cut.select(*_key(), *(F.shiftright(x, RUN_BITS).alias(f"r{i}") for i, x in enumerate(last)), F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)).alias("units"))
-    units = matches.select("u", "v", "r0", "r1", F.posexplode("units").alias("pos", "unit"))
-    run = F.shiftright("pos", RUN_BITS)
-    row = F.when((run == F.col("r0")) | (run == F.col("r1")), F.col("pos")).otherwise(F.shiftleft(run, RUN_BITS))
-    rows = units.select("u", "v", row.alias("row"), "pos", F.length("unit").alias("size")).groupBy("u", "v", "row").agg(
+    matches = cut.select("u", "v", "c0", "c1", F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)).alias("units"))
+    # the highest bit in which an ordinal differs from the nearer cut's; a cut at 0 has no unit before it and is far from all
+    apart = F.least(*(F.when(F.col(c) < 0, 1 << 30).otherwise(F.col("pos").bitwiseXOR(F.col(c))) for c in ("c0", "c1")))
+    units = matches.select("u", "v", "c0", "c1", F.posexplode("units").alias("pos", "unit")).select(
+        "u", "v", "pos", F.length("unit").alias("size"), F.greatest(F.floor(F.log2(apart + 0.5)), F.lit(0)).cast("int").alias("k"))
+    rows = units.select("u", "v", F.expr("shiftleft(shiftright(pos, k), k)").alias("row"), "pos", "size").groupBy("u", "v", "row").agg(
         F.sum("size").alias("sizes"), F.count_if(F.col("pos") == F.col("row")).alias("copies"))
     upto = Window.partitionBy("u", "v").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = rows.select("u", "v", "row", F.sum(F.expr("sizes div copies")).over(upto).alias("end"))
-    wanted = cut.select(*_key(), *(x.alias(f"c{i}") for i, x in enumerate(last))).groupBy("u", "v").agg(F.first("c0").alias("c0"), F.first("c1").alias("c1"))
-    hits = ends.join(wanted, (ends["u"] == wanted["u"]) & (ends["v"] == wanted["v"]) & F.array_contains(F.array("c0", "c1"), F.col("row").cast("long")), "inner")
+    wanted = cut.groupBy("u", "v").agg(F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+    hits = ends.join(wanted, (ends["u"] == wanted["u"]) & (ends["v"] == wanted["v"]) & F.array_contains(F.array("c0", "c1"), F.col("row")), "inner")
     at = lambda c: F.coalesce(F.max(F.when(F.col("row") == F.col(c), F.col("end"))), F.lit(0)).cast("long")  # noqa: E731  # no unit stands before a cut at 0
     return hits.groupBy(ends["u"], ends["v"]).agg(at("c0").alias("first_at"), at("c1").alias("second_at"))
 
