@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,24 @@ def durable(df: DataFrame) -> DataFrame:
     no folder of the driver's machine would do. Old checkpoints go with Spark's own
     ``spark.cleaner.referenceTracking.cleanCheckpoints``, which must be set when the session starts.
     """
-    sc = df.sparkSession.sparkContext
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set if need be."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder, not yet there, beside the session's checkpoints; what is written to it stays."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
