@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, embeddings, html, infill, minhash, mixing, packing, quality, sharding, toxicity
-from lexmill.session import table
+from lexmill.llm import chat, decontaminate, embeddings, html, infill, katz, minhash, mixing, packing, quality, sharding, toxicity
+from lexmill.session import fresh_folder, table
 
 
 def _remainder(by: int):
@@ -78,10 +78,16 @@ def op11_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(infill.restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"))
 
 
+def op12_katz(spark: SparkSession, d: str) -> DataFrame:
+    held_out = F.coalesce(_remainder(10) == 0, F.lit(False)).alias("held_out")
+    out = katz.katz_scores(table(spark, d, "documents"), fresh_folder(spark, "op12"), learn=_remainder(10) != 0)
+    return out.withColumnRenamed("id", "doc_id").select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_quality, op3_embedding_dups, op4_mixing, op5_chat, op6_html, op7_sharding, op8_minhash, op9_packing, op10_decontamination, op11_fill_in_middle)
+        op1_toxicity, op2_quality, op3_embedding_dups, op4_mixing, op5_chat, op6_html, op7_sharding, op8_minhash, op9_packing, op10_decontamination, op11_fill_in_middle, op12_katz)
 }
 
 _OP3 = """
@@ -188,4 +194,35 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM p
 """
 
-ORACLE_SQL = {"op11_fill_in_middle": _OP11, "op3_embedding_dups": _OP3, "op4_mixing": _OP4, "op5_chat": _OP5, "op7_sharding": _OP7, "op8_minhash": _OP8}
+#: CRC-32 bit by bit, which DuckDB lacks: each byte is mixed in, then eight shifts.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: list_reduce(list_concat([xor(x, y)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT)"""
+_FACTOR = """
+n{i} AS (SELECT list_transform(range(1, 8), lambda r: list_count(list_filter(all_c, lambda c: CASE WHEN c = r THEN true END))) AS n
+  FROM (SELECT list(c) AS all_c FROM c{i} WHERE c < 7)),
+g{i} AS (SELECT r, n[r] AS nr, n[r + 1] AS nx, CASE WHEN n[1] > 0 THEN 6.0 * n[6] / n[1] ELSE 1 END AS common FROM n{i}, (SELECT unnest(range(1, 6)) AS r)),
+f{i} AS (SELECT r, CASE WHEN nr > 0 AND nx > 0 AND common < 1 AND f > 0 AND f <= 1 THEN f ELSE 1 END AS f
+  FROM (SELECT *, ((r + 1.0) * nx / nullif(r * nr, 0) - common) / nullif(1 - common, 0) AS f FROM g{i}))"""
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(({crc}) % 10 = 0, false) AS held_out, coalesce(({crc}) % 10 <> 0, false) AS learn,
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ['']) AS w FROM documents),
+t AS (SELECT doc_id, held_out, learn, unnest(list_concat([' '], w[1:len(w) - 1])) AS h, unnest(w) AS w FROM d),
+c1 AS (SELECT w, count(*) AS c FROM t WHERE learn GROUP BY w), c2 AS (SELECT h, w, count(*) AS c FROM t WHERE learn GROUP BY h, w),{f1},{f2},
+k1 AS (SELECT w, c, coalesce(f, 1) * c AS kept FROM c1 LEFT JOIN f1 ON r = c),
+a AS (SELECT coalesce(sum(c), 0)::BIGINT AS total, count(*) AS v, coalesce(sum(kept), 0) AS kept FROM k1),
+s AS (SELECT total, v, CASE WHEN round(kept, 6) >= total THEN total + 1 ELSE total END AS whole, CASE WHEN round(kept, 6) >= total THEN 1.0 / (total + 1) ELSE 1 - kept / total END AS p0 FROM a),
+p1 AS (SELECT w, c, kept / whole AS p FROM k1, s),
+k2 AS (SELECT h, w, c, coalesce(f, 1) * c AS kept FROM c2 LEFT JOIN f2 ON r = c),
+x AS (SELECT h, sum(k2.c) AS n, sum(kept) AS kept, sum(p) AS lower FROM k2 JOIN p1 USING (w) GROUP BY h),
+y AS (SELECT h, CASE WHEN round(kept, 6) >= n THEN n + 1 ELSE n END AS whole, kept, lower FROM x),
+p2 AS (SELECT h, w, kept2 / whole AS p FROM (SELECT h, w, kept AS kept2 FROM k2) JOIN y USING (h)),
+z AS (SELECT h, (1 - kept / whole) / (1 - lower) AS alpha FROM y)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(p1.c) AS n_known, any_value(total) AS train_tokens,
+  sum(log10((coalesce(p1.c, 0) + 0.1::DOUBLE) / (total + 0.1::DOUBLE * (v + 1)))) AS base_score,
+  sum(log10(coalesce(p2.p, coalesce(alpha, 1) * coalesce(p1.p, p0)))) AS score
+FROM t CROSS JOIN s LEFT JOIN p1 USING (w) LEFT JOIN p2 ON p2.h = t.h AND p2.w = t.w LEFT JOIN z ON z.h = t.h
+GROUP BY doc_id, held_out
+""".format(crc=_CRC32.format(x="doc_id::VARCHAR"), f1=_FACTOR.format(i=1), f2=_FACTOR.format(i=2))
+
+ORACLE_SQL = {"op12_katz": _OP12, "op11_fill_in_middle": _OP11, "op3_embedding_dups": _OP3, "op4_mixing": _OP4, "op5_chat": _OP5, "op7_sharding": _OP7, "op8_minhash": _OP8}
