@@ -1,11 +1,11 @@
-"""The registered queries of the ten training-data operators, with SQL where SQL can say the same."""
+"""The registered queries of the training-data operators, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, embeddings, html, infill, katz, minhash, mixing, packing, quality, sharding, toxicity
+from lexmill.llm import chat, decontaminate, embeddings, evolve, html, infill, katz, minhash, mixing, packing, quality, sharding, toxicity
 from lexmill.session import fresh_folder, table
 
 
@@ -84,10 +84,16 @@ def op12_katz(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id").select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_evolve(spark: SparkSession, d: str) -> DataFrame:
+    out = evolve.evolve_clients(table(spark, d, "clients"), fresh_folder(spark, "op13"))
+    return out.select("file_no", "version", "n_rows", "n_nulls", "ids_sha256", "rows_sha256", "start_columns", "columns", "path", "rewritten")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op2_quality, op3_embedding_dups, op4_mixing, op5_chat, op6_html, op7_sharding, op8_minhash, op9_packing, op10_decontamination, op11_fill_in_middle, op12_katz)
+        op1_toxicity, op2_quality, op3_embedding_dups, op4_mixing, op5_chat, op6_html, op7_sharding, op8_minhash, op9_packing, op10_decontamination, op11_fill_in_middle, op12_katz,
+        op13_evolve)
 }
 
 _OP3 = """
@@ -206,7 +212,8 @@ f{i} AS (SELECT r, CASE WHEN nr > 0 AND nx > 0 AND common < 1 AND f > 0 AND f <=
 _OP12 = r"""
 WITH d AS (
   SELECT doc_id, coalesce(({crc}) % 10 = 0, false) AS held_out, coalesce(({crc}) % 10 <> 0, false) AS learn,
-    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ['']) AS w FROM documents),
+    list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ['']) AS w FROM documents),
 t AS (SELECT doc_id, held_out, learn, unnest(list_concat([' '], w[1:len(w) - 1])) AS h, unnest(w) AS w FROM d),
 c1 AS (SELECT w, count(*) AS c FROM t WHERE learn GROUP BY w), c2 AS (SELECT h, w, count(*) AS c FROM t WHERE learn GROUP BY h, w),{f1},{f2},
 k1 AS (SELECT w, c, coalesce(f, 1) * c AS kept FROM c1 LEFT JOIN f1 ON r = c),
