@@ -72,10 +72,11 @@ def fill_in_middle(docs: DataFrame, **how) -> DataFrame:
     the task that reads it, some twenty times its text; after that its rows are what is stated above.
     """
     asked = cut_requests(docs, **how)
-    d = asked.select("*", *_key()).join(cut_offsets(asked), ["u", "v"], "left")
-    cut = F.col("form") != "plain"
-    first, second = (F.when(cut, F.coalesce(c, F.lit(0))) for c in ("first_at", "second_at"))
-    d = d.select("id", "text", "n", "form", first.alias("prefix_chars"), (second - first).alias("middle_chars"))
+    first, second = (F.coalesce(c, F.lit(0)) for c in ("first_at", "second_at"))
+    cut = asked.where("form <> 'plain'").select("*", *_key()).join(cut_offsets(asked), ["u", "v"], "left").select(
+        "id", "text", "n", "form", first.alias("prefix_chars"), (second - first).alias("middle_chars"))
+    none = F.lit(None).cast("long")
+    d = cut.unionByName(asked.where("form = 'plain'").select("id", "text", "n", "form", none.alias("prefix_chars"), none.alias("middle_chars")))  # these are not shuffled
     prefix, middle = (F.expr(e) for e in ("substring(text, 1, int(prefix_chars))", "substring(text, int(prefix_chars) + 1, int(middle_chars))"))
     suffix = F.expr("substring(text, int(prefix_chars + middle_chars) + 1)")
     put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
