@@ -33,7 +33,7 @@ START, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0x27D4EB2F165667C5)
 
 def _squeeze(a: np.ndarray) -> bytes:
     """An array by byte planes, so that bytes which are mostly zero compress away."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
 
 
 def _expand(b: bytes, kind: type, n: int) -> np.ndarray:
