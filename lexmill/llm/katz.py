@@ -62,10 +62,10 @@ def _start_key(level: int) -> np.uint64:
 
 
 def blocks_of(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``block, n_tokens, ids, learn, lengths, n_words, vocabulary, tokens``, checkpointed: rows of bounded size.
+    """``block, n_tokens, ids, learn, lengths, n_words, vocabulary, frequent, tokens``, checkpointed: rows of bounded size.
 
-    A block holds its distinct words as sorted keys and its documents end to end, each a start mark, its words and an
-    end, as numbers of those words.
+    A block holds its distinct words as sorted keys, their numbers by falling frequency, and its documents end to end,
+    each a start mark, its words and an end, as places in that list, so that frequent words are small numbers.
     """
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
@@ -76,9 +76,12 @@ def blocks_of(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_co
         def block() -> pd.DataFrame:
             every = np.concatenate([h for _, _, h in held])
             code, vocabulary = pd.factorize(every, sort=True)
+            frequent = np.argsort(-np.bincount(code), kind="stable")
+            place = np.empty(len(vocabulary), np.uint32)
+            place[frequent] = np.arange(len(vocabulary), dtype=np.uint32)
             return pd.DataFrame({
                 "n_tokens": [len(every)], "ids": [[i for i, _, _ in held]], "learn": [[w for _, w, _ in held]], "lengths": [[len(h) for _, _, h in held]],
-                "n_words": [len(vocabulary)], "vocabulary": [_squeeze_keys(vocabulary)], "tokens": [_squeeze(code.astype(np.uint32))]})
+                "n_words": [len(vocabulary)], "vocabulary": [_squeeze_keys(vocabulary)], "frequent": [_squeeze(frequent.astype(np.uint32))], "tokens": [_squeeze(place[code])]})
 
         for pdf in batches:
             for i, text, w in zip(pdf["id"], pdf["text"], pdf["learn"]):
@@ -94,7 +97,7 @@ def blocks_of(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_co
         if held:
             yield block()
 
-    kind = "n_tokens long, ids array<string>, learn array<boolean>, lengths array<long>, n_words long, vocabulary binary, tokens binary"
+    kind = "n_tokens long, ids array<string>, learn array<boolean>, lengths array<long>, n_words long, vocabulary binary, frequent binary, tokens binary"
     return durable(d.mapInPandas(run, kind).select(F.monotonically_increasing_id().alias("block"), "*"))
 
 
@@ -112,7 +115,7 @@ class _Block:
 
     def __init__(self, row, order: int):
         vocabulary = _expand_keys(row.vocabulary, row.n_words)
-        at = _expand(row.tokens, np.uint32, row.n_tokens).astype(np.int64)
+        at = _expand(row.frequent, np.uint32, row.n_words).astype(np.int64)[_expand(row.tokens, np.uint32, row.n_tokens)]
         self.ids, self.lengths = list(row.ids), np.array(row.lengths, np.int64)
         self.begin = np.cumsum(self.lengths) - self.lengths
         self.is_start = np.zeros(len(at), bool)
@@ -233,11 +236,6 @@ class Facts:
         return d[np.minimum(n, len(d) - 1)] * n
 
 
-def _whole(n: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Denominators: a context that discounts leave no mass gets that of one more event."""
-    return n + (kept >= n)
-
-
 class _Answers:
     """A block's answers, put back into the order of its keys."""
 
@@ -250,7 +248,7 @@ class _Answers:
 
     def weights(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Denominator and backoff weight of each n-gram of the level as a context; 0 and 1 if it is none."""
-        return tuple(self._read(-level, i, np.float64) for i in (0, 1))
+        return tuple(self._read(-level, i, kind) for i, kind in ((0, np.int64), (1, np.float64)))
 
     def _read(self, level: int, i: int, kind: type) -> np.ndarray:
         got = [r for (at, _), r in sorted(self.rows.items(), key=lambda x: x[0][1]) if at == level]
@@ -264,7 +262,7 @@ def _unigram(f: Facts, b: _Block, n: np.ndarray, spare: tuple[float, float]) ->
 
 
 def _contexts(f: Facts, level: int, spare: tuple[float, float]) -> Callable:
-    """For contexts of ``level``: what each block's own n-grams keep of them, and weigh a level lower."""
+    """For contexts of ``level``: how many n-grams with each discounted count a block speaks for, and what those weigh a level lower."""
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in block.itertuples():
@@ -281,29 +279,34 @@ def _contexts(f: Facts, level: int, spare: tuple[float, float]) -> Callable:
                 p = np.where(low > 0, f.discounted(level, low), 0) / np.maximum(under, 1)
             mine &= context >= 0
             size = len(b.levels[level - 1].keys)
-            kept = np.bincount(context[mine], f.discounted(level + 1, n[mine]), size)
+            seen = [np.bincount(context[mine & (n == r)], minlength=size).astype(np.int64) for r in range(1, DISCOUNTED + 1)]
             lower = np.bincount(context[mine], p[suffix[mine]], size)
-            out += list(_by_range(-level, f.bits, row.block, b.levels[level - 1].keys, [low, kept, lower]))
+            out += list(_by_range(-level, f.bits, row.block, b.levels[level - 1].keys, [low, lower, *seen]))
         return _frame(out, _ASK)
 
     return run
 
 
-def _weigh(pdf: pd.DataFrame) -> pd.DataFrame:
+def _weigh(f: Facts) -> Callable:
     """Backoff weights of a range's contexts: what they keep, over what their words do not weigh a level lower."""
-    level, part = int(pdf["level"].iloc[0]), int(pdf["range"].iloc[0])
-    keys, at, rows = _meet(pdf)
-    n, kept, lower = (np.concatenate([_expand(r.values[i], kind, r.n) for r, _ in rows]) for i, kind in enumerate((np.int64, np.float64, np.float64)))
-    own = np.zeros(len(keys), np.int64)
-    own[at] = n  # each asker knows the same count
-    kept, lower = np.bincount(at, kept, len(keys)), np.bincount(at, lower, len(keys))
-    context = kept > 0
-    whole = np.where(context, _whole(own, np.round(kept, 6)), 0).astype(float)
-    alpha = np.ones(len(keys))
-    alpha[context] = (1 - kept[context] / whole[context]) / (1 - lower[context])
-    out = [{"block": r.block, "level": level, "range": part, "n": r.n, "values": [_squeeze(whole[at[s]]), _squeeze(alpha[at[s]])]} for r, s in rows]
-    out.append({"block": -1, "level": level, "range": part, "n": int(context.sum()), "values": [_squeeze_keys(keys[context]), _squeeze(whole[context]), _squeeze(alpha[context])]})
-    return _frame(out, _ANSWER)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        level, part = int(pdf["level"].iloc[0]), int(pdf["range"].iloc[0])
+        keys, at, rows = _meet(pdf)
+        read = lambda i, kind: np.concatenate([_expand(r.values[i], kind, r.n) for r, _ in rows])
+        n = np.zeros(len(keys), np.int64)
+        n[at] = read(0, np.int64)  # each asker knows the same count
+        lower = np.bincount(at, read(1, np.float64), len(keys))
+        d = f.factors[-level]  # of the n-grams a level higher
+        lost = sum((1 - d[r]) * r * np.bincount(at, read(1 + r, np.int64), len(keys)) for r in range(1, DISCOUNTED + 1))
+        context = lower > 0
+        whole = np.where(context, n + (lost == 0), 0)  # a context that loses no mass gets that of one more event
+        alpha = np.ones(len(keys))
+        alpha[context] = (1 - (n - lost)[context] / whole[context]) / (1 - lower[context])
+        out = [{"block": r.block, "level": level, "range": part, "n": r.n, "values": [_squeeze(whole[at[s]]), _squeeze(alpha[at[s]])]} for r, s in rows]
+        out.append({"block": -1, "level": level, "range": part, "n": int(context.sum()), "values": [_squeeze_keys(keys[context]), _squeeze(whole[context]), _squeeze(alpha[context])]})
+        return _frame(out, _ANSWER)
+
+    return run
 
 
 def _evaluate(f: Facts, spare: tuple[float, float]) -> Callable:
@@ -340,27 +343,35 @@ def _evaluate(f: Facts, spare: tuple[float, float]) -> Callable:
 
 def _facts(counted: DataFrame, order: int, bits: int) -> Facts:
     """Totals and counts of counts, a few numbers from each level."""
-    got = {r.level: r for r in counted.where("block = -1").groupBy("level").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(DISCOUNTED + 3))).collect()}
+    got = {r.level: r for r in counted.where("kind = 'table'").groupBy("level").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(DISCOUNTED + 3))).collect()}
     seen = [[int(got[i][f"s{r + 2}"] or 0) if i in got else 0 for r in range(DISCOUNTED + 1)] for i in range(1, order + 1)]
     return Facts(order, bits, int(got[1].s0) if 1 in got else 0, int(got[1].s1) if 1 in got else 0, [discounts(x) for x in seen])
 
 
 def _spare(f: Facts, counted: DataFrame) -> tuple[float, float]:
     """Denominator of words, and the probability of the unknown one: what words keep, summed over counts of counts."""
-    seen = counted.where("block = -1 and level = 1").agg(*(F.sum(F.col("stats")[r + 1]).alias(f"n{r}") for r in range(1, DISCOUNTED + 1))).first()
+    seen = counted.where("kind = 'table' and level = 1").agg(*(F.sum(F.col("stats")[r + 1]).alias(f"n{r}") for r in range(1, DISCOUNTED + 1))).first()
     d = f.factors[0]
     lost = math.fsum((1 - d[r]) * r * int(seen[f"n{r}"] or 0) for r in range(1, DISCOUNTED + 1))
     return (float(f.total), lost / f.total) if lost > 0 else (float(f.total + 1), 1 / (f.total + 1))
 
 
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """Written by kind and level and read back, so that neither lineage nor a second copy is kept."""
+    kind = F.when(F.col("block") < 0, "table").otherwise("answers").alias("kind")
+    rows.select(kind, "*").write.partitionBy("kind", "level").parquet(path)
+    return rows.sparkSession.read.schema(f"{', '.join(f'{c} {t}' for c, t in rows.dtypes if c != 'level')}, kind string, level int").parquet(path)
+
+
 def katz_scores(docs: DataFrame, path: str, *, learn: Column, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of every document, by a model of those where ``learn`` holds.
 
     Tokens are words with A-Z in lower case and an end; histories begin with start marks, which are never predicted.
     Counts to five are discounted after Good and Turing at each level, words included; the unknown word has what words
     leave. A context whose counts are all kept whole is given one more event, so each weight is exact and above 0:
-    over all words and the unknown one a history's probabilities sum to 1. Tables are stored under ``path`` as Parquet:
-    ``grams`` (level, range: sorted keys and counts) and ``contexts`` (sorted keys, denominators, weights).
+    over all words and the unknown one a history's probabilities sum to 1. Tables are stored under ``path`` as Parquet,
+    partitioned by level: in ``grams`` kind ``table`` has the sorted keys and counts of each range, in ``contexts1`` and so
+    on keys, denominators and weights; kind ``answers`` has what blocks were told.
 
     Null texts are empty texts, of one end; where ``learn`` is null a row is not learnt from. With nothing to learn from
     all is unknown, at probability 1. Rows that repeat an id are each scored, other columns are not read, an empty table
@@ -370,22 +381,15 @@ def katz_scores(docs: DataFrame, path: str, *, learn: Column, order: int = 2, id
     blocks = blocks_of(docs, learn, id_col=id_col, text_col=text_col)
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, tokens / RANGE_KEYS))))
-    # rounds of a level's ranges: as many partitions as ranges, so that no task holds more than one at a time anyway
-    counted = durable(
-        blocks.mapInPandas(_ask_counts(order, bits), _ASK).groupBy("level", "range").applyInPandas(_count(DISCOUNTED + 1), _ANSWER + ", stats array<long>"))
-    counted.where("block = -1").select("level", "range", "n", F.col("values")[0].alias("keys"), F.col("values")[1].alias("counts")).write.partitionBy("level").parquet(f"{path}/grams")
+    counted = _stored(blocks.mapInPandas(_ask_counts(order, bits), _ASK).groupBy("level", "range").applyInPandas(_count(DISCOUNTED + 1), _ANSWER + ", stats array<long>"), f"{path}/grams")
     facts = _facts(counted, order, bits)
     spare = _spare(facts, counted)
-    answers = counted.where("block >= 0").select("block", "level", "range", "n", "values")
-    tables = None
+    columns = ["block", "level", "range", "n", "values"]
+    answers = counted.where("kind = 'answers'").select(*columns)
     for level in range(1, order):
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_contexts(facts, level, spare), _ASK)
-        weighed = durable(asked.groupBy("level", "range").applyInPandas(_weigh, _ANSWER))
-        answers = answers.unionByName(weighed.where("block >= 0"))
-        table = weighed.where("block = -1").select((-F.col("level")).alias("level"), "range", "n", F.col("values")[0].alias("keys"), F.col("values")[1].alias("denominators"), F.col("values")[2].alias("weights"))
-        tables = table if tables is None else tables.unionByName(table)
-    if tables is not None:
-        tables.write.partitionBy("level").parquet(f"{path}/contexts")
+        weighed = _stored(asked.groupBy("level", "range").applyInPandas(_weigh(facts), _ANSWER), f"{path}/contexts{level}")
+        answers = answers.unionByName(weighed.where("kind = 'answers'").select(*columns))
     kind = "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_evaluate(facts, spare), kind).withColumn("id", F.col("id").cast(id_type))
 
@@ -395,6 +399,6 @@ def stored_grams(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
-                yield pd.DataFrame({"level": r.level, "key": _expand_keys(r.keys, r.n).view(np.int64), "n": _expand(r.counts, np.int64, r.n)})
+                yield pd.DataFrame({"level": r.level, "key": _expand_keys(r.values[0], r.n).view(np.int64), "n": _expand(r.values[1], np.int64, r.n)})
 
-    return spark.read.parquet(f"{path}/grams").select("level", "n", "keys", "counts").mapInPandas(run, "level int, key long, n long")
+    return spark.read.parquet(f"{path}/grams").where("kind = 'table'").select("level", "n", "values").mapInPandas(run, "level int, key long, n long")
