@@ -7,6 +7,7 @@ share of keys. Keys are 64-bit hashes, sorted and delta-coded; what a task holds
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ from lexmill.llm.shingles import _CACHE, _M1, mix, words
 from lexmill.session import durable
 
 #: Tokens of one block (a longer document is a block of its own) and keys that one range is planned for.
-BLOCK_TOKENS, RANGE_KEYS = 2_000_000, 1_500_000
+BLOCK_TOKENS, RANGE_KEYS = 3_000_000, 1_500_000
 #: Counts up to this are discounted, as is usual with Katz's model.
 DISCOUNTED = 5
 
@@ -36,6 +37,14 @@ def _squeeze(a: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
 
 
+def _squeeze_bits(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(a).tobytes())
+
+
+def _expand_bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=n // 8 + 1), np.uint8), count=n).astype(bool)
+
+
 def _expand(b: bytes, kind: type, n: int) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(b, max_output_size=max(1, n * np.dtype(kind).itemsize)) if n else b""
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, n).T).view(kind).reshape(n)
@@ -149,7 +158,7 @@ def _by_range(level: int, bits: int, block: int, keys: np.ndarray, values: list[
     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
     for lo, hi in zip(cuts, [*cuts[1:], len(keys)]):
-        yield {"level": level, "range": part[lo], "block": block, "n": hi - lo, "keys": _squeeze_keys(keys[lo:hi]), "values": [_squeeze(v[lo:hi]) for v in values]}
+        yield {"level": level, "range": part[lo], "block": block, "n": hi - lo, "keys": _squeeze_keys(keys[lo:hi]), "values": [(_squeeze_bits if v.dtype == bool else _squeeze)(v[lo:hi]) for v in values]}
 
 
 def _frame(rows: list[dict], columns: str) -> pd.DataFrame:
@@ -190,7 +199,7 @@ def _count(top: int) -> Callable:
         learnt = np.flatnonzero(n)[::-1]
         speaks[at[learnt]] = learnt
         mine = speaks[at] == np.arange(len(at))
-        out = [{"block": r.block, "level": level, "range": part, "n": r.n, "values": [_squeeze(total[at[s]]), _squeeze(mine[s])], "stats": []} for r, s in rows if r.block >= 0]
+        out = [{"block": r.block, "level": level, "range": part, "n": r.n, "values": [_squeeze(total[at[s]]), _squeeze_bits(mine[s])], "stats": []} for r, s in rows if r.block >= 0]
         known = (total > 0) & (keys != _start_key(level))  # start marks count as contexts only
         t = total[known]
         stats = np.bincount(np.minimum(t, top + 1), minlength=top + 2)[1 : top + 1]
@@ -239,20 +248,20 @@ class Facts:
 class _Answers:
     """A block's answers, put back into the order of its keys."""
 
-    def __init__(self, b: _Block, bits: int, answers: pd.DataFrame):
-        self.b, self.bits = b, bits
-        self.rows = {(r.level, r.range): r for r in answers.itertuples()}
+    def __init__(self, answers: pd.DataFrame):
+        self.rows = sorted(answers.itertuples(), key=lambda r: (r.level, r.range))
+
+    def _read(self, level: int, i: int, kind: type) -> np.ndarray:
+        got = [_expand_bits(r.values[i], r.n) if kind is bool else _expand(r.values[i], kind, r.n) for r in self.rows if r.level == level]
+        return np.concatenate([np.empty(0, kind), *got])
 
     def counts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(self._read(level, i, kind) for i, kind in ((0, np.int64), (1, np.bool_)))
+        """Of each n-gram of the block the count, and whether the block speaks for it."""
+        return self._read(level, 0, np.int64), self._read(level, 1, bool)
 
     def weights(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Denominator and backoff weight of each n-gram of the level as a context; 0 and 1 if it is none."""
-        return tuple(self._read(-level, i, kind) for i, kind in ((0, np.int64), (1, np.float64)))
-
-    def _read(self, level: int, i: int, kind: type) -> np.ndarray:
-        got = [r for (at, _), r in sorted(self.rows.items(), key=lambda x: x[0][1]) if at == level]
-        return np.concatenate([np.empty(0, kind), *(_expand(r.values[i], kind, r.n) for r in got)])
+        """Denominator and backoff weight of each n-gram of the level that the block asked for; 0 and 1 if it is no context."""
+        return self._read(-level, 0, np.int64), self._read(-level, 1, np.float64)
 
 
 def _unigram(f: Facts, b: _Block, n: np.ndarray, spare: tuple[float, float]) -> np.ndarray:
@@ -261,79 +270,129 @@ def _unigram(f: Facts, b: _Block, n: np.ndarray, spare: tuple[float, float]) ->
     return np.where(n > 0, f.discounted(1, n) / whole, unknown)
 
 
+def _lower(f: Facts, b: _Block, a: _Answers, level: int, spare: tuple[float, float]) -> np.ndarray:
+    """Discounted probability of each n-gram of the level after its context; 0 if it was not learnt (words: the unknown one's)."""
+    n, _ = a.counts(level)
+    if level == 1:
+        return _unigram(f, b, n, spare)
+    whole, _ = a.weights(level - 1)
+    return np.where(n > 0, f.discounted(level, n), 0) / np.maximum(whole[np.maximum(b.context(level), 0)], 1)
+
+
 def _contexts(f: Facts, level: int, spare: tuple[float, float]) -> Callable:
-    """For contexts of ``level``: how many n-grams with each discounted count a block speaks for, and what those weigh a level lower."""
+    """For contexts of ``level``: how many n-grams with each discounted count a block speaks for, and what those weigh a level lower.
+
+    On the last level a block also says what it has of its documents' scores, and asks only for the weights that they lack.
+    """
+    last = level == f.order - 1
+
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in block.itertuples():
-            b = _Block(row, f.order)
-            a = _Answers(b, f.bits, answers)
+            b, a = _Block(row, f.order), _Answers(answers)
             n, mine = a.counts(level + 1)
             low, _ = a.counts(level)
-            context, suffix = b.context(level + 1), b.suffix(level + 1)
-            if level == 1:
-                p = _unigram(f, b, low, spare)
-            else:
-                whole, _ = a.weights(level - 1)
-                under = whole[np.maximum(b.context(level), 0)]
-                p = np.where(low > 0, f.discounted(level, low), 0) / np.maximum(under, 1)
-            mine &= context >= 0
-            size = len(b.levels[level - 1].keys)
-            seen = [np.bincount(context[mine & (n == r)], minlength=size).astype(np.int64) for r in range(1, DISCOUNTED + 1)]
-            lower = np.bincount(context[mine], p[suffix[mine]], size)
-            out += list(_by_range(-level, f.bits, row.block, b.levels[level - 1].keys, [low, lower, *seen]))
+            context, size = b.context(level + 1), len(b.levels[level - 1].keys)
+            own = mine & (context >= 0)
+            seen = [np.bincount(context[own & (n == r)], minlength=size).astype(np.int64) for r in range(1, DISCOUNTED + 1)]
+            lower = np.bincount(context[own], _lower(f, b, a, level, spare)[b.suffix(level + 1)[own]], size)
+            wanted = np.ones(size, bool)
+            if last:
+                part, wanted = _documents(f, b, a, spare)
+                out.append({"level": 0, "range": row.block, "block": row.block, "n": len(b.ids), "keys": None, "values": part})
+            out += list(_by_range(-level, f.bits, row.block, b.levels[level - 1].keys, [low, lower, wanted, *seen]))
         return _frame(out, _ASK)
 
     return run
 
 
+def _documents(f: Facts, b: _Block, a: _Answers, spare: tuple[float, float]) -> tuple[list[bytes], np.ndarray]:
+    """What a block knows of its documents' scores, from the lowest level up, and which contexts of the top level it must ask about.
+
+    A seen n-gram has its own probability, another one its context's weight times the lower probability. Of the top level's
+    contexts the weights are not known yet: of these a list of (document, context) is kept, for unseen n-grams, and for seen
+    ones whose denominator the block cannot tell, as it knows of no discounted n-gram of that context.
+    """
+    known, _ = a.counts(1)
+    at = b.levels[0].at
+    score = np.log10(_unigram(f, b, known, spare))[at]
+    base = np.log10((known + 0.1) / (f.total + 0.1 * (f.distinct + 1)))[at]
+    lack = wanted = np.zeros(0, np.int64)
+    alpha = np.zeros(0, bool)
+    for level in range(2, f.order + 1):
+        n, _ = a.counts(level)
+        g, context = b.levels[level - 1], np.maximum(b.context(level), 0)
+        with np.errstate(divide="ignore"):
+            own = np.log10(f.discounted(level, n))
+        there = (n > 0)[g.at]
+        if level < f.order:
+            whole, weight = (x[context] for x in a.weights(level - 1))
+            score = np.where(there, (own - np.log10(np.maximum(whole, 1)))[g.at], np.log10(weight)[g.at] + score)
+            continue
+        low, _ = a.counts(level - 1)
+        loses = np.bincount(context[(n > 0) & (f.discounted(level, n) < n)], minlength=len(low)) > 0
+        score = np.where(there, np.where(loses[context], own - np.log10(np.maximum(low[context], 1)), own)[g.at], score)
+        lack = np.flatnonzero(np.where(there, ~loses[context[g.at]], low[context[g.at]] > 0) & ~b.is_start)
+        alpha, wanted = ~there[lack], context[g.at[lack]]
+    score[b.is_start] = base[b.is_start] = 0
+    counted = (known > 0)[at] & ~b.is_start
+    mask = np.zeros(len(b.levels[max(f.order - 2, 0)].keys), bool)
+    mask[wanted] = True
+    place = np.cumsum(mask) - 1  # of a context among those asked for
+    document = np.repeat(np.arange(len(b.ids)), b.lengths)[lack]
+    sums = [np.add.reduceat(x, b.begin) for x in (counted.astype(np.int64), base, score)]
+    return [zstandard.ZstdCompressor(level=1).compress(json.dumps(b.ids).encode()), *map(_squeeze, (b.lengths - 1, *sums, document, place[wanted])), _squeeze_bits(alpha), str(len(lack)).encode()], mask
+
+
+def _finish(f: Facts) -> Callable:
+    """Scores of a block's documents from what it had of them and the weights that they lacked."""
+    def run(answers: pd.DataFrame) -> pd.DataFrame:
+        r = next(x for x in answers.itertuples() if x.level == 0)
+        ids = json.loads(zstandard.ZstdDecompressor().decompress(r.values[0]))
+        kinds = (np.int64, np.int64, np.float64, np.float64)
+        n_tokens, n_known, base, score = (_expand(v, kind, r.n) for v, kind in zip(r.values[1:5], kinds))
+        m = int(r.values[8])
+        document, place, alpha = _expand(r.values[5], np.int64, m), _expand(r.values[6], np.int64, m), _expand_bits(r.values[7], m)
+        if m:
+            whole, weight = _Answers(answers).weights(f.order - 1)
+            score = score + np.bincount(document, np.where(alpha, np.log10(weight[place]), -np.log10(np.maximum(whole[place], 1))), r.n)
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": f.total, "base_score": base, "score": score})
+
+    return run
+
+
 def _weigh(f: Facts) -> Callable:
     """Backoff weights of a range's contexts: what they keep, over what their words do not weigh a level lower."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         level, part = int(pdf["level"].iloc[0]), int(pdf["range"].iloc[0])
+        if level == 0:  # what a block has of its documents' scores goes on as it is
+            return pdf[["block", "level", "range", "n", "values"]]
         keys, at, rows = _meet(pdf)
         read = lambda i, kind: np.concatenate([_expand(r.values[i], kind, r.n) for r, _ in rows])
         n = np.zeros(len(keys), np.int64)
         n[at] = read(0, np.int64)  # each asker knows the same count
         lower = np.bincount(at, read(1, np.float64), len(keys))
         d = f.factors[-level]  # of the n-grams a level higher
-        lost = sum((1 - d[r]) * r * np.bincount(at, read(1 + r, np.int64), len(keys)) for r in range(1, DISCOUNTED + 1))
+        lost = sum((1 - d[r]) * r * np.bincount(at, read(2 + r, np.int64), len(keys)) for r in range(1, DISCOUNTED + 1))
         context = lower > 0
         whole = np.where(context, n + (lost == 0), 0)  # a context that loses no mass gets that of one more event
         alpha = np.ones(len(keys))
         alpha[context] = (1 - (n - lost)[context] / whole[context]) / (1 - lower[context])
-        out = [{"block": r.block, "level": level, "range": part, "n": r.n, "values": [_squeeze(whole[at[s]]), _squeeze(alpha[at[s]])]} for r, s in rows]
+        out = []
+        for r, s in rows:
+            asked = at[s][_expand_bits(r.values[2], r.n)]
+            out.append({"block": r.block, "level": level, "range": part, "n": len(asked), "values": [_squeeze(whole[asked]), _squeeze(alpha[asked])]})
         out.append({"block": -1, "level": level, "range": part, "n": int(context.sum()), "values": [_squeeze_keys(keys[context]), _squeeze(whole[context]), _squeeze(alpha[context])]})
         return _frame(out, _ANSWER)
 
     return run
 
 
-def _evaluate(f: Facts, spare: tuple[float, float]) -> Callable:
-    """Log probabilities of every token from the lowest level up: a seen n-gram's own, or its context's weight times the lower one."""
+def _words_only(f: Facts, spare: tuple[float, float]) -> Callable:
+    """Scores by single words."""
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in block.itertuples():
-            b = _Block(row, f.order)
-            a = _Answers(b, f.bits, answers)
-            low, _ = a.counts(1)
-            at = b.levels[0].at
-            score = np.log10(_unigram(f, b, low, spare))[at]
-            base = np.log10((low + 0.1) / (f.total + 0.1 * (f.distinct + 1)))[at]
-            known = (low > 0)[at] & ~b.is_start
-            for level in range(2, f.order + 1):
-                n, _ = a.counts(level)
-                whole, alpha = a.weights(level - 1)
-                g, context = b.levels[level - 1], np.maximum(b.context(level), 0)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    own = np.log10(f.discounted(level, n) / whole[context])
-                seen = (n > 0)[g.at]
-                score = np.where(seen, own[g.at], np.log10(alpha)[context[g.at]] + score)
-            score[b.is_start] = base[b.is_start] = 0
-            out.append(pd.DataFrame({
-                "id": pd.Series(b.ids, dtype=object), "n_tokens": b.lengths - 1, "n_known": np.add.reduceat(known.astype(np.int64), b.begin), "train_tokens": f.total,
-                "base_score": np.add.reduceat(base, b.begin), "score": np.add.reduceat(score, b.begin)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        part, _ = _documents(f, b := _Block(next(block.itertuples()), 1), _Answers(answers), spare)
+        return _finish(f)(pd.DataFrame([{"level": 0, "n": len(b.ids), "values": part}]))
 
     return run
 
@@ -386,12 +445,15 @@ def katz_scores(docs: DataFrame, path: str, *, learn: Column, order: int = 2, id
     spare = _spare(facts, counted)
     columns = ["block", "level", "range", "n", "values"]
     answers = counted.where("kind = 'answers'").select(*columns)
+    kind = "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if order == 1:
+        out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_words_only(facts, spare), kind)
+        return out.withColumn("id", F.col("id").cast(id_type))
     for level in range(1, order):
         asked = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_contexts(facts, level, spare), _ASK)
         weighed = _stored(asked.groupBy("level", "range").applyInPandas(_weigh(facts), _ANSWER), f"{path}/contexts{level}")
         answers = answers.unionByName(weighed.where("kind = 'answers'").select(*columns))
-    kind = "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_evaluate(facts, spare), kind).withColumn("id", F.col("id").cast(id_type))
+    return weighed.where("kind = 'answers'").select(*columns).groupBy("block").applyInPandas(_finish(facts), kind).withColumn("id", F.col("id").cast(id_type))
 
 
 def stored_grams(spark: SparkSession, path: str) -> DataFrame:
