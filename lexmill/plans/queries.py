@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, retrieval, selection, spans, splits, stages
-from lexmill.session import spread, table
+from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, index, retrieval, selection, spans, splits, stages
+from lexmill.session import fresh_folder, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,6 +85,24 @@ def bm25_two_terms(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(_word_branch(spark, d, 10, pairs=True), 10)
 
 
+def _saved_search(spark: SparkSession, d: str, *, pairs: bool) -> DataFrame:
+    """The same searches, by an index of the documents' words that is written first and then read where the queries need it."""
+    path = fresh_folder(spark, "index")
+    index.write_blocks(table(spark, d, "documents"), T.word_list(F.col("text")), path)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.query_tokens(F.col("text")).alias("terms"))
+    return index.Index(spark, path, asked, pairs=pairs).search(10)[0]
+
+
+@query(SQL["bm25_topk"])
+def indexed_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _saved_search(spark, d, pairs=False)
+
+
+@query(SQL["bm25_two_terms"])
+def indexed_two_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _saved_search(spark, d, pairs=True)
+
+
 _TRIGRAM = """
 WITH d AS (SELECT doc_id AS id, lower(text) AS x FROM documents),
 q AS (SELECT item_id AS query_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS t FROM benchmark),

@@ -3,36 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import re
 import zipfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MEMBER = re.compile(r"context_(\d+)\.json")
-SCHEMA = "document_id string, source_title string, source_url string, raw_text string, source_name string"
-
+from lexmill.sources import archives
+from lexmill.sources.archives import MEMBER
+from lexmill.sources.stores import open_seekable
 
-def members(archive: zipfile.ZipFile) -> list[tuple[str, zipfile.ZipInfo]]:
-    """``(base name, entry)`` in the order of base names; unsafe, encrypted, linked, foreign or repeated entries are errors."""
-    out: dict[str, zipfile.ZipInfo] = {}
-    for e in archive.infolist():
-        if e.is_dir():
-            continue
-        path = PurePosixPath(e.filename)
-        if path.is_absolute() or ".." in path.parts or "\\" in e.filename:
-            raise ValueError(f"unsafe path: {e.filename}")
-        if e.flag_bits & 1 or (e.external_attr >> 16) & 0o170000 == 0o120000:
-            raise ValueError(f"encrypted or linked: {e.filename}")
-        if not MEMBER.fullmatch(path.name) or path.name in out:
-            raise ValueError(f"foreign or repeated name: {path.name}")
-        out[path.name] = e
-    return sorted(out.items())
+SCHEMA = "document_id string, source_title string, source_url string, raw_text string, source_name string"
 
 
 def strict_json(data: bytes) -> dict:
@@ -67,34 +52,37 @@ def adapt(name: str, record: dict) -> tuple[str, str | None, str, str, str]:
     return key, record.get("name"), record["link"], record["passage"], name
 
 
-def read_contexts(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of ZIP archives or of folders of JSON files, by whatever store Spark reads.
+def read_contexts(spark: SparkSession, path: str, *, tasks: int | None = None) -> DataFrame:
+    """Documents of ZIP archives or of folders of JSON files.
 
-    Each archive is one task's input, so give many archives of moderate size. Ids must be unique: an id
-    twice is an error when rows are read.
+    Each archive is read by ``tasks`` tasks (as many as the session has cores, if not given), a range of its members each.
+    Ids must be unique: an id twice is an error when rows are read.
     """
+    archives.register(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path_, data in zip(pdf["path"], pdf["content"]):
-                name = path_.rpartition("/")[2]
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        rows = [adapt(n, strict_json(z.read(e))) for n, e in members(z)]
-                else:
-                    rows = [adapt(name, strict_json(data))]
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+            rows = [adapt(name, strict_json(data)) for name, data in zip(pdf["source_name"], pdf["content"])]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    files = spark.read.format("binaryFile").load(path)
+    zips = [r.path for r in files.select("path").where("path like '%.zip'").collect()]  # names of files, as Spark lists them
+    found = [spark.read.format("context_zip").option("tasks", tasks or spark.sparkContext.defaultParallelism).load(z) for z in zips]
+    plain = files.where("path not like '%.zip'").select(F.substring_index("path", "/", -1).alias("source_name"), "content")
+    rows = reduce(DataFrame.unionByName, found, plain).mapInPandas(run, SCHEMA)
     twice = F.count("*").over(Window.partitionBy("document_id")) > 1
     return rows.withColumn("document_id", F.when(twice, F.raise_error(F.concat(F.lit("id twice: "), F.col("document_id"))).cast("string")).otherwise(F.col("document_id")))
 
 
-def archive_identity(data: bytes) -> tuple[str, int]:
-    """Digest over the ordered names and contents of an archive, each led by its length, and their number."""
+def archive_identity(path: str) -> tuple[str, int]:
+    """Digest over the ordered names and contents of an archive, each led by its length, and their number.
+
+    The digest is defined over the bytes one after the other, so they pass through one process, a member at a time;
+    ``audit.ordered_digest`` of ``context_zip`` rows is the identity to use for large archives.
+    """
     h = hashlib.sha256()
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        found = members(z)
+    with open_seekable(path) as file, zipfile.ZipFile(file) as z:
+        found = archives.members(z)
         for name, e in found:
             for part in (name.encode(), z.read(e)):
                 h.update(len(part).to_bytes(8, "big"))

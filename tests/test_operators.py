@@ -461,7 +461,7 @@ def test_context_archive(spark, tmp_path):
     good = '{"id": %d, "link": "https://x.y/z", "passage": "p"}'
     (tmp_path / "a.zip").write_bytes(archive(d__context_2=good % 2, context_10=good % 10))
     assert [r.document_id for r in contexts.read_contexts(spark, str(tmp_path / "a.zip")).orderBy("source_name").collect()] == ["10", "2"]
-    assert contexts.archive_identity((tmp_path / "a.zip").read_bytes())[1] == 2
+    assert contexts.archive_identity(str(tmp_path / "a.zip"))[1] == 2
     for bad in ('{"id": 1, "id": 1, "link": "https://x.y", "passage": "p"}', '{"id": 1, "link": "http://x.y", "passage": "p"}', '{"id": 1, "link": "https://x.y", "passage": " "}', '{"id": true, "link": "https://x.y", "passage": "p"}'):
         with pytest.raises(ValueError):
             contexts.adapt("context_1.json", contexts.strict_json(bad.encode()))
