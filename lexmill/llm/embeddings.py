@@ -10,6 +10,7 @@ are verified by cosine in double precision. Recall is then audited by brute forc
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -414,8 +415,13 @@ def _links(classes: DataFrame, params: GraphParams) -> tuple[DataFrame, DataFram
 
 
 def _audit(classes: DataFrame, hits: DataFrame, params: GraphParams) -> float:
-    """Share of the links of at most ``audit_rows`` classes, chosen by hash, that were found; counted by brute force over all."""
-    some = classes.orderBy("key", "digest").limit(params.audit_rows).select("cid", "label", "dim", "unit").collect()
+    """Share of the links of audited classes that were found; counted by brute force over all.
+
+    At most ``audit_rows`` classes are chosen by hash among all, and as many among those that have a link, since where
+    links are rare the first may have none. If no audited class has one, recall is unknown: that is logged, and 1.
+    """
+    cut = lambda df: df.orderBy("key", "digest").limit(params.audit_rows).select("cid", "label", "dim", "unit")
+    some = cut(classes).unionByName(cut(classes.join(hits.where("hits > 0").select("cid"), "cid", "left_semi"))).dropDuplicates(["cid"]).collect()
     asked = [(r.cid, r.label, r.dim, np.frombuffer(bytes(r.unit), np.float64)) for r in some]
     shared = classes.sparkSession.sparkContext.broadcast(asked)
 
@@ -431,6 +437,9 @@ def _audit(classes: DataFrame, hits: DataFrame, params: GraphParams) -> float:
 
     true = classes.select("cid", "copies", "label", "dim", "unit").mapInPandas(count, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
     want, got = true.join(hits, "cid", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("hits", F.lit(0))))).first()
+    logging.getLogger(__name__).info("audit of %d classes: %d of %d links found", len(some), got or 0, want or 0)
+    if not want:
+        logging.getLogger(__name__).warning("no audited class has a link, so recall is unknown")
     return got / want if want else 1.0
 
 

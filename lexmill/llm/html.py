@@ -3,8 +3,9 @@
 Every node gets its characters per tag, adjusted by how much of it is links (the composite text
 density); a node's density sum is that of its child nodes' densities. The node of the greatest sum is
 the main text. The least density on its path to the page's root is the threshold from which parts beside
-it belong to the text too. Names, roles and landmark tags are tie-breaks: what they mark as boilerplate
-counts in all measures but is neither chosen nor rendered; with ``marks`` off, density decides alone.
+it belong to the text too. What names, roles and landmark tags mark as boilerplate counts in all measures
+but is neither chosen nor rendered, and a node within an article or main stands for all of that: on pages that are
+marked up well these marks decide, not the sums. With ``marks`` off, density decides alone.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: An attribute's whole name and its value, so that nothing is found inside a value or at the end of another name.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 # Elements by their role in the HTML standard, and names that mark boilerplate.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +41,8 @@ _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar side aside widget widgets comment comments respond disqus reply replies notice notices cookie cookies consent "
     "gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar skip".split())
+#: Of these, names that an article's own parts have as well.
+_OWN_NAMES = frozenset("related recommended share sharing social".split())
 _CONTENT = frozenset("article main".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 _LEAF = _TEXT - {"blockquote"} | frozenset("li tr dt dd hr".split())
@@ -60,8 +64,8 @@ class Node:
 def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is not shown, and whether its tag, role or names mark it as boilerplate.
 
-    Within an article or main only whole names count, not their parts; ``has-sidebar`` and the like say
-    what a page has and mark nothing.
+    Within an article or main only whole names count, not their parts, and not those that an article's own parts
+    have (related, share); ``has-sidebar`` and the like say what a page has and mark nothing.
     """
     hidden, marked = False, tag in _BOILER
     if attrs and tag not in ("html", "body", "article", "main"):
@@ -74,7 +78,7 @@ def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
             elif name in ("class", "id"):
                 for part in value.split():
                     words = [part.lower()] if inside else [w.lower() for w in _SPLIT.split(part)]
-                    marked |= words[0] not in _STATES and not _NAMES.isdisjoint(words)
+                    marked |= words[0] not in _STATES and not (_NAMES - _OWN_NAMES if inside else _NAMES).isdisjoint(words)
     return hidden, marked
 
 
