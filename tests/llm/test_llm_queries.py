@@ -1,6 +1,8 @@
 """Queries with SQL against it; the others run and keep their contracts."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from lexmill.llm.queries import ORACLE_SQL, QUERIES
@@ -21,7 +23,8 @@ def test_same_as_sql(spark, con, name):
     a, b = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
-    key = lambda d: sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in d[cols].itertuples(index=False))
+    one = lambda v: "" if v is None or v is pd.NA or v != v else str(round(float(v), 6)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
+    key = lambda d: sorted(tuple(map(one, r)) for r in d[cols].itertuples(index=False))
     assert key(a) == key(b)
 
 
