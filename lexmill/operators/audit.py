@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.ordered import numbered
+
 
 def nearest_ranks(values: DataFrame, column: str, ratios: dict[str, float]) -> DataFrame:
     """One row of order statistics at index ``round((n - 1) * ratio)``, halves to even, no interpolation.
@@ -45,6 +47,30 @@ def ordered_digest(rows: DataFrame, *, order: str, value: Column) -> DataFrame:
     return d.select(F.sha2(F.array_join(F.transform("a", lambda x: x["d"]), "\n"), 256).alias("digest"), F.size("a").cast("long").alias("rows"))
 
 
+#: Digests that one node of a tree covers.
+TREE_WIDTH = 1024
+
+
+def tree_digest(rows: DataFrame, *, order: str, value: Column) -> DataFrame:
+    """``digest, rows``: the root of a tree of SHA-256 over the row digests in order, whatever their number.
+
+    A node is the digest of up to ``TREE_WIDTH`` digests that follow each other, joined by newlines; levels are built until
+    one node is left, at least one. The tree is defined by the rows' numbers, so it depends on no partitions, and no
+    task holds more than one node's digests at a time. Rows that share an order follow each other by their digest. No rows give none.
+    """
+    node = numbered(rows.select(F.col(order).alias("o"), F.sha2(value.cast("binary"), 256).alias("d")), "o", "d", name="i").select("i", F.coalesce("d", F.lit("")).alias("d"))
+    n = node.count()
+    if not n:
+        return node.select("d", "i").limit(0).toDF("digest", "rows")
+    left = n
+    while True:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"])
+        node = node.groupBy(F.floor(F.col("i") / TREE_WIDTH).alias("i")).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("d"))
+        left = -(-left // TREE_WIDTH)
+        if left == 1:
+            return node.select(F.col("d").alias("digest"), F.lit(n).cast("long").alias("rows"))
+
+
 def record_digest(*columns: str) -> Column:
     """Digest of a row's canonical JSON (columns by name)."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -131,6 +132,55 @@ def bootstrap_all(values: DataFrame, *, column: str, seed: str, iterations: int
     return counts.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: run(pdf), "low double, high double")
 
 
+def _resampled(seed: str, iterations: int, column: str):
+    """Of each batch of distinct values and counts the sums of ``iterations`` Poisson resamples, and their sizes."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, size = np.zeros(iterations), np.zeros(iterations, np.int64)
+        for pdf in batches:
+            for v, n in zip(pdf[column].to_numpy(float), pdf["count"]):
+                w = poisson_weights(seed, v, n, iterations)
+                total += w * v
+                size += w
+        if size.any():
+            yield pd.DataFrame({"draw": np.arange(iterations), "total": total, "n": size})
+
+    return run
+
+
+def poisson_weights(seed: str, value: float, n: int, iterations: int) -> np.ndarray:
+    """How often each resample draws a value that is there n times: Poisson of mean n, by a generator of the seed and the value alone."""
+    key = hashlib.sha256(f"{seed}:{float(value)!r}".encode()).digest()
+    return np.random.Generator(np.random.PCG64(int.from_bytes(key))).poisson(n, iterations)
+
+
+def bootstrap_poisson(values: DataFrame, *, column: str, seed: str, iterations: int = 10_000, by: list[str] | None = None) -> DataFrame:
+    """``low, high`` (for each group of ``by``): the 2.5 and 97.5 percent means of resamples of any number of rows, by any number of tasks.
+
+    In place of n draws from n rows each row is drawn Poisson(1) times, so resamples are sums over rows and partitions
+    add up: each gives one row for each resample. Rows of one value are drawn together. A resample's mean is over what
+    it drew; draws depend on the seed and the value, not on how rows are dealt. Nulls are left out; no rows give none.
+    """
+    by = by or []
+    counts = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias(column)).count()
+    if by:
+        kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
+
+        def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for key, part in pdf.groupby(by, dropna=False):
+                    for out in _resampled(seed, iterations, column)(iter([part])):
+                        yield out.assign(**{c: pd.Series([None if pd.isna(k) else k] * len(out), dtype=object) for c, k in zip(by, key)})[[*by, "draw", "total", "n"]]
+
+        parts = counts.mapInPandas(grouped, f"{kinds}, draw long, total double, n long")
+    else:
+        parts = counts.mapInPandas(_resampled(seed, iterations, column), "draw long, total double, n long")
+    means = parts.groupBy(*by, "draw").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    rank = Window.partitionBy(*by).orderBy("mean")  # as many rows a group as there are resamples
+    nth = means.where("mean is not null").select(*by, "mean", F.row_number().over(rank).alias("i"), F.count("*").over(Window.partitionBy(*by)).alias("m"))
+    at = lambda q: F.max(F.when(F.col("i") == F.floor((F.col("m") - 1) * q) + 1, F.col("mean")))
+    return nth.groupBy(*by).agg(at(0.025).alias("low"), at(0.975).alias("high")).where("low is not null")
+
+
 def leader(metrics: DataFrame, *, variant: str, keys: list[str], by: list[str] | None = None) -> DataFrame:
     """The variant with the greatest keys, in that order (ties: the last name)."""
     return metrics.groupBy(*(by or [])).agg(F.max(F.struct(*keys, variant)).alias("m")).select(*(by or []), F.col(f"m.{variant}").alias(variant), *[F.col(f"m.{k}").alias(k) for k in keys])

@@ -40,32 +40,39 @@ def numbered(df: DataFrame, *by: Column | str, name: str = "row", chunks: int |
     return rows.join(F.broadcast(start), "chunk").withColumn(name, F.col("__start") + F.col("place")).drop("chunk", "place", "__start")
 
 
-_LOCAL = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
-_JOIN = {
-    "sum": lambda carried, own: F.coalesce(carried, F.lit(0)) + F.coalesce(own, F.lit(0)),
-    "max": lambda carried, own: F.greatest(carried, own),
-    "last": lambda carried, own: F.coalesce(own, carried),
-}
-
-
-def running(rows: DataFrame, group: list[str], values: dict[str, tuple[str, Column]], *, order: list[Column | str], before: bool = False) -> DataFrame:
-    """``rows`` of ``in_chunks`` with running values of each group: ``values`` maps a name to ``sum``, ``max`` or ``last`` (not null) of a column.
-
-    With ``before`` a row's own value is left out. ``order`` must be what the chunks were ordered by after the group's
-    columns. Null groups are a group. A group within one chunk gets by without the carry.
+def _kind(kind: str, backward: bool):
+    """How values of a kind are run over, summed up for a chunk, and joined with what other chunks carry."""
+    if kind == "sum":
+        return F.sum, F.sum, lambda carried, own: F.coalesce(carried, F.lit(0)) + F.coalesce(own, F.lit(0))
+    if kind in ("max", "min"):
+        f, g = (F.max, F.greatest) if kind == "max" else (F.min, F.least)
+        return f, f, g
+    pick, by = (F.first, F.min_by) if backward else (F.last, F.max_by)  # the nearest that is not null
+    there = lambda c: by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("place")))
+    return lambda c: pick(c, ignorenulls=True), there, lambda carried, own: F.coalesce(own, carried)
+
+
+def running(rows: DataFrame, group: list[str], values: dict[str, tuple[str, Column]], *, own: bool = True, backward: bool = False) -> DataFrame:
+    """``rows`` of ``in_chunks`` with running values over the rows of their group up to each, in that order.
+
+    ``values`` maps a name to ``sum``, ``max``, ``min`` or ``near`` (the nearest value that is not null) and a column.
+    Without ``own`` a row's own value is left out; ``backward`` runs from the group's end. Null groups are a group, and
+    ``group`` must be what the chunks were ordered by first.
     """
-    inner = Window.partitionBy(*group, "chunk").orderBy(*order)
-    upto = inner.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
-    own = rows.select("*", *(_LOCAL[kind](c).over(upto).alias(name) for name, (kind, c) in values.items()))
-    last = {"last": lambda c: F.max_by(F.when(c.isNotNull(), c), F.when(c.isNotNull(), F.col("place"))), "sum": F.sum, "max": F.max}
-    totals = rows.groupBy(*group, "chunk").agg(*(last[kind](c).alias(f"__{name}") for name, (kind, c) in values.items()))
-    # one row for a chunk and group; of those that go on from another chunk there is one a partition at most
+    ends = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
+    without = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*group, "chunk").orderBy("place").rowsBetween(*(ends if own else without))
+    kinds = {name: _kind(kind, backward) for name, (kind, _) in values.items()}
+    local = rows.select("*", *(kinds[name][0](c).over(inner).alias(name) for name, (_, c) in values.items()))
+    totals = rows.groupBy(*group, "chunk").agg(*(kinds[name][1](c).alias(f"__{name}") for name, (_, c) in values.items()))
+    # one row for a chunk and group; of those that take something over there is one a partition at most
     outer = Window.partitionBy(*group).orderBy("chunk")
     carried = totals.select(
-        *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("chunk").alias("__chunk"), F.row_number().over(outer).alias("__nth"),
-        *(_LOCAL[kind](F.col(f"__{name}")).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__{name}") for name, (kind, _) in values.items())).where("__nth > 1")
+        *(F.col(g).alias(f"__g{i}") for i, g in enumerate(group)), F.col("chunk").alias("__chunk"),
+        F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("chunk") if backward else "chunk")).alias("__nth"),
+        *(kinds[name][0](F.col(f"__{name}")).over(outer.rowsBetween(*without)).alias(f"__{name}") for name in values)).where("__nth > 1")
     same = F.col("chunk") == F.col("__chunk")
     for i, g in enumerate(group):
         same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    out = own.join(F.broadcast(carried), same, "left")
-    return out.select(*rows.columns, *(_JOIN[kind](F.col(f"__{name}"), F.col(name)).alias(name) for name, (kind, _) in values.items()))
+    out = local.join(F.broadcast(carried), same, "left")
+    return out.select(*rows.columns, *(kinds[name][2](F.col(f"__{name}"), F.col(name)).alias(name) for name in values))

@@ -230,37 +230,40 @@ def substring_bm25(docs: DataFrame, queries: DataFrame, *, k: int, **how) -> Dat
     return top_k(substring_candidates(docs, queries, k=k, **how), k).select("query_id", "id", "rank", "score")
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 512) -> DataFrame:
+def _product(k: int, step: int = 256):
+    """Of one block of queries and one of vectors the best k vectors of each query, by falling product and then id."""
+    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+        ids, x, out = own["id"].to_numpy(), np.stack(own["v"].to_numpy()), []
+        for lo in range(0, len(asked), step):
+            part = asked.iloc[lo : lo + step]
+            s = np.round(np.stack(part["v"].to_numpy()) @ x.T, 10)
+            least = np.partition(s, -k, axis=1)[:, -k][:, None] if k < s.shape[1] else -np.inf
+            q, c = np.nonzero(s >= least)
+            score, found, owner = _best_by_query(s[q, c], ids[c], q, k)
+            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[owner], "id": found, "score": score}))
+        return pd.concat(out)
+
+    return run
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 4096, vector_rows: int = 8192) -> DataFrame:
     """``query_id, id, rank, score``: exact inner products, ties by id.
 
-    Queries are taken in blocks of bounded size, each broadcast against all vectors; every Arrow
-    batch multiplies as matrices and keeps its own best k per query, so what is shuffled is k rows per
-    query and batch. Null vectors are left out; a query's own row may be found.
+    A product of blocks: queries are dealt into rows of about ``query_rows`` and vectors into columns of about
+    ``vector_rows``, each row of blocks gets a copy of each column and each column of each row, and a task multiplies one
+    pair of blocks. What is shuffled after that is k rows a query and column; nothing of either side passes the driver but
+    its count. Null vectors are left out; a query's own row may be found. Rows are dealt by id and vector together.
     """
-    own = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    sc = vectors.sparkSession.sparkContext
-
-    def scan(rows: list[tuple[int, list[float]]]) -> DataFrame:
-        shared = sc.broadcast(rows)  # at most ``block`` vectors
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, q = np.array([r[0] for r in shared.value]), np.array([r[1] for r in shared.value])
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                ids = pdf["id"].to_numpy()
-                s = np.round(np.stack(pdf["v"].to_numpy()) @ q.T, 10)
-                order = np.lexsort((np.broadcast_to(ids[:, None], s.shape), -s), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.repeat(qid, len(order)), "id": ids[order].T.ravel(), "score": np.take_along_axis(s, order, 0).T.ravel()})
-
-        return own.mapInPandas(run, "query_id long, id long, score double")
-
-    found, rows = None, []
-    for r in asked.toLocalIterator():
-        rows.append((r.id, list(r.v)))
-        if len(rows) == block:
-            found, rows = scan(rows) if found is None else found.unionByName(scan(rows)), []
-    if rows or found is None:
-        found = scan(rows) if found is None else found.unionByName(scan(rows))
+    def side(df: DataFrame) -> DataFrame:
+        return df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+
+    own, asked = side(vectors), side(queries)
+    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((asked, query_rows), (own, vector_rows)))
+    deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(deal(rows).alias("row"), every(columns).alias("column"), "id", "v").groupBy("row", "column")
+    right = own.select(every(rows).alias("row"), deal(columns).alias("column"), "id", "v").groupBy("row", "column")
+    found = left.cogroup(right).applyInPandas(lambda a, b: _product(k)(a, b), "query_id long, id long, score double")
     return top_k(found, k).select("query_id", "id", "rank", "score")

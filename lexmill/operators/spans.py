@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.ordered import in_chunks, running
+
+
+def _tie(df: DataFrame) -> Column:
+    """Tells rows apart that are alike in their order, so that many such rows need not meet in one task."""
+    return F.xxhash64(*df.columns).alias("__tie")
+
 
 def islands(rows: DataFrame, *, group: list[str], order: str, same: list[str], consecutive: bool = True, alone: Column | None = None) -> DataFrame:
-    """Rows with ``block``: a new one wherever a key changes, the order skips, or ``alone`` holds."""
-    w = Window.partitionBy(*group).orderBy(order)
-    new = F.lag(order).over(w).isNull()
+    """Rows with ``block``: a new one wherever a key changes, the order skips, or ``alone`` holds.
+
+    A group may lie in many tasks; rows of one group that share an order follow each other as they hash.
+    """
+    flag = F.lit(False) if alone is None else F.coalesce(alone, F.lit(False))
+    own = rows.withColumn("__alone", flag)
+    chunks = in_chunks(own.withColumn("__tie", _tie(own)), *group, order, "__tie")
+    before = running(chunks, group, {"__last": ("near", F.struct(order, *(c for c in same if c != order), "__alone"))}, own=False)
+    last = lambda c: F.col("__last")[c]
+    new = F.col("__last").isNull() | last(order).isNull() | F.col("__alone") | last("__alone")
     for c in same:
-        new = new | ~F.lag(c).over(w).eqNullSafe(F.col(c))
+        new = new | ~last(c).eqNullSafe(F.col(c))
     if consecutive:
-        new = new | (F.lag(order).over(w) + 1 != F.col(order))
-    if alone is not None:
-        new = new | alone | F.coalesce(F.lag(alone).over(w), F.lit(False))
-    return rows.withColumn("__new", new.cast("int")).withColumn("block", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+        new = new | (last(order) + 1 != F.col(order))
+    return running(before.withColumn("__new", new.cast("int")), group, {"block": ("sum", F.col("__new"))}).select(*rows.columns, "block")
 
 
 def merge_spans(spans: DataFrame, *, group: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Spans that touch or overlap within a group as one: ``group, start, end, parts``."""
-    w = Window.partitionBy(*group).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("__new", (before.isNull() | (F.col(start) > before)).cast("int"))
-    return (
-        marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*group, "__island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("parts")).drop("__island")
-    )
+    """Spans that touch or overlap within a group as one: ``group, start, end, parts``. A group may lie in many tasks."""
+    chunks = in_chunks(spans.withColumn("__tie", _tie(spans)), *group, start, end, "__tie")
+    before = running(chunks, group, {"__reach": ("max", F.col(end))}, own=False)
+    marked = before.withColumn("__new", (F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))).cast("int"))
+    return running(marked, group, {"__island": ("sum", F.col("__new"))}).groupBy(*group, "__island").agg(
+        F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("parts")).drop("__island")
 
 
 def merge_ranked_spans(units: DataFrame, documents: DataFrame) -> DataFrame:
@@ -47,14 +57,17 @@ def merge_ranked_spans(units: DataFrame, documents: DataFrame) -> DataFrame:
 def neighbours(chunks: DataFrame, *, group: list[str], order: str, start: str, end: str, id_col: str, max_chars: int = 6000) -> DataFrame:
     """Expansions of each chunk inside its block: whole_article, both, previous, next, as kind and span.
 
-    A span already listed (or the chunk itself) and one over ``max_chars`` is left out.
+    A span already listed (or the chunk itself) and one over ``max_chars`` is left out. A block may lie in many tasks.
     """
-    w, all_ = Window.partitionBy(*group).orderBy(order), Window.partitionBy(*group)
-    s, e = F.col(start), F.col(end)
-    p, n = F.lag(start).over(w), F.lead(end).over(w)
-    with_ = chunks.select(
-        "*", F.array(
-            F.struct(F.lit("whole_article").alias("kind"), F.min(start).over(all_).alias("start"), F.max(end).over(all_).alias("end")),
+    dealt = in_chunks(chunks.withColumn("__tie", _tie(chunks)), *group, order, "__tie")
+    back = running(dealt, group, {"__p": ("near", F.struct(start))}, own=False)
+    back = running(back, group, {"__n": ("near", F.struct(end))}, own=False, backward=True)
+    back = running(back, group, {"__lo": ("min", F.col(start)), "__hi": ("max", F.col(end))})
+    whole = running(back, group, {"__lo2": ("min", F.col(start)), "__hi2": ("max", F.col(end))}, backward=True)
+    s, e, p, n = F.col(start), F.col(end), F.col("__p")[start], F.col("__n")[end]
+    with_ = whole.select(
+        *chunks.columns, F.array(
+            F.struct(F.lit("whole_article").alias("kind"), F.least("__lo", "__lo2").alias("start"), F.greatest("__hi", "__hi2").alias("end")),
             F.struct(F.lit("both_neighbors").alias("kind"), F.when(n.isNotNull(), p).alias("start"), F.when(p.isNotNull(), n).alias("end")),
             F.struct(F.lit("previous").alias("kind"), p.alias("start"), F.when(p.isNotNull(), e).alias("end")),
             F.struct(F.lit("next").alias("kind"), F.when(n.isNotNull(), s).alias("start"), n.alias("end")),
@@ -66,23 +79,47 @@ def neighbours(chunks: DataFrame, *, group: list[str], order: str, start: str, e
 
 
 def as_of(left: DataFrame, right: DataFrame, *, group: str, at: str, start: str, keep: list[str]) -> DataFrame:
-    """Each left row with the last right row of its group that starts at or before it; one shuffle, no range join."""
+    """Each left row with the last right row of its group that starts at or before it: one shuffle by ranges, no range join.
+
+    Of right rows that start together the one of the greatest ``keep`` counts. A group, and even one moment of it, may
+    lie in many tasks. Null groups and null times match nothing; the row then has nulls.
+    """
     cols = [c for c in left.columns if c not in (group, at)]
-    l = left.select(group, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*cols).alias("__row"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in keep], F.lit(None).cast(right.schema[start].dataType).alias("__s"))
-    r = right.select(group, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), *keep, F.col(start).alias("__s"))
-    w = Window.partitionBy(group).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__side") == 0, F.struct(*keep)), ignorenulls=True).over(w)
-    both = l.unionByName(r).withColumn("__last", last).where("__side = 1")
-    return both.select(group, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in cols], *[F.col(f"__last.{c}").alias(c) for c in keep])
+    l = left.select(group, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(F.lit(0), *cols).alias("__row"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in keep])
+    r = right.where(F.col(group).isNotNull() & F.col(start).isNotNull()).select(group, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), *keep)
+    both = l.unionByName(r).withColumn("__tie", F.xxhash64("__row"))
+    chunks = in_chunks(both, group, "__at", "__side", *keep, "__tie")
+    last = running(chunks, [group], {"__last": ("near", F.when(F.col("__side") == 0, F.struct(*keep)))}).where("__side = 1")
+    return last.select(group, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in cols], *[F.col(f"__last.{c}").alias(c) for c in keep])
 
 
 def overlap_ratio(spans: DataFrame, *, group: str, id_col: str, start: str = "start", end: str = "end", least: float = 0.8) -> DataFrame:
-    """Pairs of spans of one group whose overlap is at least ``least`` of the shorter: ``a, b, ratio``."""
-    a = spans.select(F.col(group).alias("g"), F.col(id_col).alias("a"), F.col(start).alias("s1"), F.col(end).alias("e1"))
-    b = spans.select(F.col(group).alias("g"), F.col(id_col).alias("b"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    part = F.least("e1", "e2") - F.greatest("s1", "s2")
-    ratio = part / F.least(F.col("e1") - F.col("s1"), F.col("e2") - F.col("s2"))
-    return a.join(b, "g").where((F.col("a") < F.col("b")) & (part > 0)).select("g", "a", "b", ratio.alias("ratio")).where(F.col("ratio") >= least)
+    """Pairs of spans of one group whose overlap is at least ``least`` of the shorter: ``g, a, b, ratio``, a before b.
+
+    A span lies in the cells of its own length's size that it touches, three at most. What a longer span has of a
+    shorter one in such a pair holds the shorter one's middle (or, for ``least`` up to a half, one of a few points of
+    it), so a span looks up its points in the cells of each size from its own on; the first point that is held counts,
+    and a pair is met once. Candidates grow with the pairs that share such a point, not with the group.
+    Spans without a length, null groups, ids or ends, and spans of one id overlap nothing.
+    """
+    s = spans.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"), (F.col(end) - F.col(start)).alias("n")).where(
+        "n > 0 and g is not null and id is not null").withColumn("level", F.floor(F.log2("n")).cast("int"))
+    levels = sorted(r.level for r in s.select("level").distinct().collect())  # powers of two between the least and the greatest length
+    if not levels:
+        levels = [0]
+    size = lambda level: F.pow(F.lit(2.0), level)
+    cells = F.sequence(F.floor(F.col("s") / size(F.col("level"))), F.floor(F.col("e") / size(F.col("level"))))
+    held = s.select("g", F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("n").alias("n2"), "level", F.explode(cells).alias("cell"))
+    steps = [0.5] if least > 0.5 else [i * least for i in range(int(1 / least) + 1)]
+    points = F.array(*(F.col("s") + F.col("n") * x for x in steps))
+    asks = s.select("g", "id", "s", "e", "n", points.alias("points"), F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level"))).alias("level")).select(
+        "*", F.posexplode("points").alias("i", "point")).withColumn("cell", F.floor(F.col("point") / size(F.col("level"))))
+    met = asks.join(held, ["g", "level", "cell"]).where(
+        (F.col("s2") <= F.col("point")) & (F.col("point") <= F.col("e2")) & (F.col("id") != F.col("id2")) & ((F.col("n") < F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2"))))
+    before = F.when(F.col("i") > 0, F.col("points")[F.greatest(F.col("i") - 1, F.lit(0))])
+    part = F.least("e", "e2") - F.greatest("s", "s2")
+    pairs = met.where(before.isNull() | (before < F.col("s2")) | (before > F.col("e2"))).select("g", F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), (part / F.col("n")).alias("ratio"))
+    return pairs.where(F.col("ratio") >= least)
 
 
 def token_windows(docs: DataFrame, tokens: Column, *, size: int, overlap: int, id_col: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, index, retrieval, selection, spans, splits, stages
 from lexmill.session import fresh_folder, spread, table
+from lexmill.sources import shards
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,6 +136,17 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.dense_top_k(v, v.where("vec_id % 100 = 0"), k=10)
 
 
+@query("SELECT vec_id::VARCHAR AS id, len(embedding) AS dimension, vec_id // 1024 IS NULL AS damaged FROM embeddings WHERE embedding IS NOT NULL")
+def sharded_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as checked shards and read back; ``damaged`` where they differ by more than half precision allows."""
+    path, own = fresh_folder(spark, "shards"), table(spark, d, "embeddings").where("embedding is not null")
+    size = own.select(F.size("embedding").alias("n")).first().n
+    shards.write_vector_shards(own, lambda rows: rows, path, id_col="vec_id", dimension=size, shard_rows=1024)
+    back = shards.read_vector_shards(spark, path).join(own.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("was")), "id")
+    far = F.exists(F.zip_with("embedding", "was", lambda a, b: F.abs(a - b) > F.abs(b) / 1024 + 1e-6), lambda x: x)
+    return back.select("id", F.size("embedding").alias("dimension"), far.alias("damaged"))
+
+
 # ---- fusion ---------------------------------------------------------------------------------------------
 
 
@@ -275,6 +287,18 @@ def longest_documents(spark: SparkSession, d: str) -> DataFrame:
     return audit.longest(table(spark, d, "documents"), id_col="doc_id", text_col="text")
 
 
+@query("""
+WITH l AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(text) NULLS FIRST) - 1 AS i, coalesce(sha256(text), '') AS d FROM documents),
+a AS (SELECT i // 1024 AS i, sha256(string_agg(d, chr(10) ORDER BY i)) AS d FROM l GROUP BY i // 1024),
+b AS (SELECT i // 1024 AS i, sha256(string_agg(d, chr(10) ORDER BY i)) AS d FROM a GROUP BY i // 1024),
+c AS (SELECT i // 1024 AS i, sha256(string_agg(d, chr(10) ORDER BY i)) AS d FROM b GROUP BY i // 1024),
+r AS (SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c)
+SELECT d AS digest, (SELECT count(*) FROM documents) AS rows FROM r QUALIFY count(*) OVER (PARTITION BY level) = 1 ORDER BY level LIMIT 1""")
+def corpus_tree_digest(spark: SparkSession, d: str) -> DataFrame:
+    """One digest of all documents in order that any number of tasks can make."""
+    return audit.tree_digest(table(spark, d, "documents"), order="doc_id", value=F.col("text"))
+
+
 @query("SELECT sha256(string_agg(sha256(text), chr(10) ORDER BY item_id)) AS digest, count(*) AS rows FROM benchmark")
 def archive_digest(spark: SparkSession, d: str) -> DataFrame:
     return audit.ordered_digest(table(spark, d, "benchmark"), order="item_id", value=F.col("text"))
@@ -444,6 +468,29 @@ def span_overlap(spark: SparkSession, d: str) -> DataFrame:
     return spans.overlap_ratio(own, group="g", id_col="id")
 
 
+@query("""
+WITH c AS (SELECT client_id, kind, ts, CASE WHEN lag(1) OVER w IS NULL OR lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS n, click_id FROM clicks
+  WINDOW w AS (PARTITION BY client_id ORDER BY ts NULLS FIRST, click_id NULLS FIRST, kind NULLS FIRST)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY client_id ORDER BY ts NULLS FIRST, click_id NULLS FIRST, kind NULLS FIRST ROWS UNBOUNDED PRECEDING) AS block FROM c)
+SELECT client_id, block::BIGINT AS block, kind, count(*) AS clicks, min(ts) AS since, max(ts) AS upto FROM r GROUP BY ALL""")
+def click_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of clicks of one kind of each client, of whom one may have a third of all clicks."""
+    own = table(spark, d, "clicks").select("client_id", "kind", "ts", F.struct("ts", "click_id", "kind").alias("at"))
+    out = spans.islands(own, group=["client_id"], order="at", same=["kind"], consecutive=False)
+    return out.groupBy("client_id", "block", "kind").agg(F.count("*").alias("clicks"), F.min("ts").alias("since"), F.max("ts").alias("upto"))
+
+
+@query("""
+WITH s AS (SELECT *, row_number() OVER () AS rid FROM sales)
+SELECT s.sale_id, s.client_id, s.sold_at, c.seq, c.change_id, c.segment FROM s LEFT JOIN client_changes c ON c.client_id = s.client_id AND c.valid_at <= s.sold_at
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY c.valid_at DESC NULLS LAST, c.seq DESC NULLS LAST, c.change_id DESC NULLS LAST, c.segment DESC NULLS LAST) = 1""")
+def sale_segment_at(spark: SparkSession, d: str) -> DataFrame:
+    """Each sale with what its client had last changed to by then."""
+    return spans.as_of(
+        table(spark, d, "sales").select("client_id", "sold_at", "sale_id"), table(spark, d, "client_changes"), group="client_id", at="sold_at", start="valid_at",
+        keep=["seq", "change_id", "segment"]).select("sale_id", "client_id", "sold_at", "seq", "change_id", "segment")
+
+
 # ---- evaluation -------------------------------------------------------------------------------------------
 
 _QA = """qa AS (SELECT * FROM (SELECT conv_id::VARCHAR || '-' || turn AS question_id, conv_id, turn, text AS question, lead(text) OVER w AS answer, role, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant')"""
@@ -521,6 +568,12 @@ def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.promotion(evaluation.paired_summary(deltas).crossJoin(F.broadcast(ci)))
 
 
+@query()
+def bootstrap_values(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the mean click value of each kind, values that hardly repeat, by any number of tasks."""
+    return evaluation.bootstrap_poisson(table(spark, d, "clicks"), column="value", seed="boot-v1", by=["kind"])
+
+
 @query("""SELECT doc_id, quality, length(text) AS characters FROM labels JOIN documents USING (doc_id) ORDER BY quality, 3, doc_id LIMIT 40""")
 def worst_reviews(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("characters")), "doc_id")

@@ -78,7 +78,7 @@ def archive_identity(path: str) -> tuple[str, int]:
     """Digest over the ordered names and contents of an archive, each led by its length, and their number.
 
     The digest is defined over the bytes one after the other, so they pass through one process, a member at a time;
-    ``audit.ordered_digest`` of ``context_zip`` rows is the identity to use for large archives.
+    ``audit.tree_digest`` of ``context_zip`` rows is the identity to use for large archives.
     """
     h = hashlib.sha256()
     with open_seekable(path) as file, zipfile.ZipFile(file) as z:

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from lexmill.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 @pytest.fixture(scope="session")
@@ -27,9 +27,9 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if isinstance(v, float):
-            return "None" if v != v else repr(round(v, 6))
-        return str(v)
+        if v is None or v is pd.NaT or v != v:
+            return "None"
+        return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     df = df[sorted(df.columns)]
     return sorted(tuple(map(one, r)) for r in df.astype(object).where(df.notna(), None).itertuples(index=False))
