@@ -7,6 +7,8 @@ have come to is carried into every chunk of a group that has several: at most on
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,28 @@ def numbered(df: DataFrame, *by: Column | str, name: str = "row", chunks: int |
     return rows.join(F.broadcast(start), "chunk").withColumn(name, F.col("__start") + F.col("place")).drop("chunk", "place", "__start")
 
 
+#: Rows of a group that a window in one task is given; a larger group is dealt over many.
+WINDOW_ROWS = 1 << 20
+
+
+def by_group(df: DataFrame, group: list[str], order: list[str], core, *, most: int | None = None) -> DataFrame:
+    """``core(rows, running)`` over all groups, whose rows have a ``place`` in the order of ``order``.
+
+    Groups of at most ``most`` rows are ordered by one window each. Of the larger ones, which a count finds and of which
+    there are at most as many as ``most`` goes into all rows, each is dealt by ranges over many tasks and ``running`` carries over.
+    """
+    most = most or WINDOW_ROWS
+    large = durable(df.groupBy(*group).count().where(F.col("count") > most).select(*(F.col(g).alias(f"__h{i}") for i, g in enumerate(group))))
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"__h{i}"))
+    none = large.isEmpty()
+    small = df if none else df.join(F.broadcast(large), same, "left_anti")
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    out = core(small.withColumn("chunk", F.lit(0)).withColumn("place", nth), partial(running, carry=False))
+    return out if none else out.unionByName(core(in_chunks(df.join(F.broadcast(large), same, "left_semi"), *group, *order), running))
+
+
 def _kind(kind: str, backward: bool):
     """How values of a kind are run over, summed up for a chunk, and joined with what other chunks carry."""
     if kind == "sum":
@@ -52,18 +76,20 @@ def _kind(kind: str, backward: bool):
     return lambda c: pick(c, ignorenulls=True), there, lambda carried, own: F.coalesce(own, carried)
 
 
-def running(rows: DataFrame, group: list[str], values: dict[str, tuple[str, Column]], *, own: bool = True, backward: bool = False) -> DataFrame:
+def running(rows: DataFrame, group: list[str], values: dict[str, tuple[str, Column]], *, own: bool = True, backward: bool = False, carry: bool = True) -> DataFrame:
     """``rows`` of ``in_chunks`` with running values over the rows of their group up to each, in that order.
 
     ``values`` maps a name to ``sum``, ``max``, ``min`` or ``near`` (the nearest value that is not null) and a column.
     Without ``own`` a row's own value is left out; ``backward`` runs from the group's end. Null groups are a group, and
-    ``group`` must be what the chunks were ordered by first.
+    ``group`` must be what the chunks were ordered by first. Without ``carry`` each group lies in one chunk.
     """
     ends = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
     without = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
     inner = Window.partitionBy(*group, "chunk").orderBy("place").rowsBetween(*(ends if own else without))
     kinds = {name: _kind(kind, backward) for name, (kind, _) in values.items()}
-    local = rows.select("*", *(kinds[name][0](c).over(inner).alias(name) for name, (_, c) in values.items()))
+    local = rows.select(*rows.columns, *(kinds[name][0](c).over(inner).alias(name) for name, (_, c) in values.items()))
+    if not carry:
+        return local if not any(kind == "sum" for kind, _ in values.values()) else local.withColumns({n: F.coalesce(n, F.lit(0)) for n, (kind, _) in values.items() if kind == "sum"})
     totals = rows.groupBy(*group, "chunk").agg(*(kinds[name][1](c).alias(f"__{name}") for name, (_, c) in values.items()))
     # one row for a chunk and group; of those that take something over there is one a partition at most
     outer = Window.partitionBy(*group).orderBy("chunk")

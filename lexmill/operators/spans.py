@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators.ordered import in_chunks, running
+from lexmill.operators.ordered import by_group
 
 
 def _tie(df: DataFrame) -> Column:
@@ -13,31 +13,36 @@ def _tie(df: DataFrame) -> Column:
     return F.xxhash64(*df.columns).alias("__tie")
 
 
-def islands(rows: DataFrame, *, group: list[str], order: str, same: list[str], consecutive: bool = True, alone: Column | None = None) -> DataFrame:
+def islands(rows: DataFrame, *, group: list[str], order: str, same: list[str], consecutive: bool = True, alone: Column | None = None, most: int | None = None) -> DataFrame:
     """Rows with ``block``: a new one wherever a key changes, the order skips, or ``alone`` holds.
 
     A group may lie in many tasks; rows of one group that share an order follow each other as they hash.
     """
     flag = F.lit(False) if alone is None else F.coalesce(alone, F.lit(False))
     own = rows.withColumn("__alone", flag)
-    chunks = in_chunks(own.withColumn("__tie", _tie(own)), *group, order, "__tie")
-    before = running(chunks, group, {"__last": ("near", F.struct(order, *(c for c in same if c != order), "__alone"))}, own=False)
-    last = lambda c: F.col("__last")[c]
-    new = F.col("__last").isNull() | last(order).isNull() | F.col("__alone") | last("__alone")
-    for c in same:
-        new = new | ~last(c).eqNullSafe(F.col(c))
-    if consecutive:
-        new = new | (last(order) + 1 != F.col(order))
-    return running(before.withColumn("__new", new.cast("int")), group, {"block": ("sum", F.col("__new"))}).select(*rows.columns, "block")
-
-
-def merge_spans(spans: DataFrame, *, group: list[str], start: str = "start", end: str = "end") -> DataFrame:
+
+    def core(chunks: DataFrame, running) -> DataFrame:
+        before = running(chunks, group, {"__last": ("near", F.struct(order, *(c for c in same if c != order), "__alone"))}, own=False)
+        last = lambda c: F.col("__last")[c]
+        new = F.col("__last").isNull() | last(order).isNull() | F.col("__alone") | last("__alone")
+        for c in same:
+            new = new | ~last(c).eqNullSafe(F.col(c))
+        if consecutive:
+            new = new | (last(order) + 1 != F.col(order))
+        return running(before.withColumn("__new", new.cast("int")), group, {"block": ("sum", F.col("__new"))}).select(*rows.columns, "block")
+
+    return by_group(own.withColumn("__tie", _tie(own)), group, [order, "__tie"], core, most=most)
+
+
+def merge_spans(spans: DataFrame, *, group: list[str], start: str = "start", end: str = "end", most: int | None = None) -> DataFrame:
     """Spans that touch or overlap within a group as one: ``group, start, end, parts``. A group may lie in many tasks."""
-    chunks = in_chunks(spans.withColumn("__tie", _tie(spans)), *group, start, end, "__tie")
-    before = running(chunks, group, {"__reach": ("max", F.col(end))}, own=False)
-    marked = before.withColumn("__new", (F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))).cast("int"))
-    return running(marked, group, {"__island": ("sum", F.col("__new"))}).groupBy(*group, "__island").agg(
-        F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("parts")).drop("__island")
+    def core(chunks: DataFrame, running) -> DataFrame:
+        before = running(chunks, group, {"__reach": ("max", F.col(end))}, own=False)
+        marked = before.withColumn("__new", (F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))).cast("int"))
+        return running(marked, group, {"__island": ("sum", F.col("__new"))}).groupBy(*group, "__island").agg(
+            F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("parts")).drop("__island")
+
+    return by_group(spans.withColumn("__tie", _tie(spans)), group, [start, end, "__tie"], core, most=most)
 
 
 def merge_ranked_spans(units: DataFrame, documents: DataFrame) -> DataFrame:
@@ -54,16 +59,18 @@ def merge_ranked_spans(units: DataFrame, documents: DataFrame) -> DataFrame:
     return merged.join(documents.select("document_id", "cleaned_text"), "document_id").withColumn("text", F.col("cleaned_text").substr(F.col("start") + 1, F.col("end") - F.col("start"))).drop("cleaned_text")
 
 
-def neighbours(chunks: DataFrame, *, group: list[str], order: str, start: str, end: str, id_col: str, max_chars: int = 6000) -> DataFrame:
+def neighbours(chunks: DataFrame, *, group: list[str], order: str, start: str, end: str, id_col: str, max_chars: int = 6000, most: int | None = None) -> DataFrame:
     """Expansions of each chunk inside its block: whole_article, both, previous, next, as kind and span.
 
     A span already listed (or the chunk itself) and one over ``max_chars`` is left out. A block may lie in many tasks.
     """
-    dealt = in_chunks(chunks.withColumn("__tie", _tie(chunks)), *group, order, "__tie")
-    back = running(dealt, group, {"__p": ("near", F.struct(start))}, own=False)
-    back = running(back, group, {"__n": ("near", F.struct(end))}, own=False, backward=True)
-    back = running(back, group, {"__lo": ("min", F.col(start)), "__hi": ("max", F.col(end))})
-    whole = running(back, group, {"__lo2": ("min", F.col(start)), "__hi2": ("max", F.col(end))}, backward=True)
+    def core(dealt: DataFrame, running) -> DataFrame:
+        back = running(dealt, group, {"__p": ("near", F.struct(start))}, own=False)
+        back = running(back, group, {"__n": ("near", F.struct(end))}, own=False, backward=True)
+        back = running(back, group, {"__lo": ("min", F.col(start)), "__hi": ("max", F.col(end))})
+        return running(back, group, {"__lo2": ("min", F.col(start)), "__hi2": ("max", F.col(end))}, backward=True)
+
+    whole = by_group(chunks.withColumn("__tie", _tie(chunks)), group, [order, "__tie"], core, most=most)
     s, e, p, n = F.col(start), F.col(end), F.col("__p")[start], F.col("__n")[end]
     with_ = whole.select(
         *chunks.columns, F.array(
@@ -78,7 +85,7 @@ def neighbours(chunks: DataFrame, *, group: list[str], order: str, start: str, e
     return out.withColumn("expansions", first).drop("c")
 
 
-def as_of(left: DataFrame, right: DataFrame, *, group: str, at: str, start: str, keep: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, *, group: str, at: str, start: str, keep: list[str], most: int | None = None) -> DataFrame:
     """Each left row with the last right row of its group that starts at or before it: one shuffle by ranges, no range join.
 
     Of right rows that start together the one of the greatest ``keep`` counts. A group, and even one moment of it, may
@@ -88,8 +95,11 @@ def as_of(left: DataFrame, right: DataFrame, *, group: str, at: str, start: str,
     l = left.select(group, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(F.lit(0), *cols).alias("__row"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in keep])
     r = right.where(F.col(group).isNotNull() & F.col(start).isNotNull()).select(group, F.col(start).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), *keep)
     both = l.unionByName(r).withColumn("__tie", F.xxhash64("__row"))
-    chunks = in_chunks(both, group, "__at", "__side", *keep, "__tie")
-    last = running(chunks, [group], {"__last": ("near", F.when(F.col("__side") == 0, F.struct(*keep)))}).where("__side = 1")
+
+    def core(chunks: DataFrame, running) -> DataFrame:
+        return running(chunks, [group], {"__last": ("near", F.when(F.col("__side") == 0, F.struct(*keep)))}).where("__side = 1")
+
+    last = by_group(both, [group], ["__at", "__side", *keep, "__tie"], core, most=most)
     return last.select(group, F.col("__at").alias(at), *[F.col(f"__row.{c}").alias(c) for c in cols], *[F.col(f"__last.{c}").alias(c) for c in keep])
 
 

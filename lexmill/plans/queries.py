@@ -571,7 +571,7 @@ def bootstrap_delta(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_values(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of the mean click value of each kind, values that hardly repeat, by any number of tasks."""
-    return evaluation.bootstrap_poisson(table(spark, d, "clicks"), column="value", seed="boot-v1", by=["kind"])
+    return evaluation.bootstrap_poisson(table(spark, d, "clicks"), column="value", seed="boot-v1", iterations=2000, by=["kind"])
 
 
 @query("""SELECT doc_id, quality, length(text) AS characters FROM labels JOIN documents USING (doc_id) ORDER BY quality, 3, doc_id LIMIT 40""")

@@ -40,8 +40,12 @@ def test_running(spark, rows, own, backward):
         assert r.near == (values[0 if backward else -1] if values else None)
 
 
-def test_spans_of_one_group(spark, monkeypatch):
-    monkeypatch.setattr(spans, "in_chunks", lambda df, *by: ordered.in_chunks(df, *by, chunks=6))
+@pytest.mark.parametrize("most", [1 << 20, 20])
+def test_spans_of_one_group(spark, monkeypatch, most):
+    """By one window for each group, and with the large groups dealt over six tasks."""
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", most)
+    chunks_of = ordered.in_chunks
+    monkeypatch.setattr(ordered, "in_chunks", lambda df, *by: chunks_of(df, *by, chunks=6))
     rng = random.Random(9)
     own = [(1, s, s + rng.choice([0, 1, 5, 40])) for s in (rng.randrange(4000) for _ in range(400))] + [(2, 1, 5), (2, 5, 6), (2, 8, 9), (None, 1, 2), (None, 2, 3)]
     got = sorted((r.g or 0, r.start, r.end, r.parts) for r in spans.merge_spans(spark.createDataFrame(own, "g int, start int, end int"), group=["g"]).collect())
