@@ -124,11 +124,12 @@ def number_compact(c: Column) -> Column:
 
 
 def number_kept(c: Column) -> Column:
-    """A legal number with its separators, without spaces and trailing ``.`` or ``-``."""
-    return F.regexp_replace(F.regexp_replace(fold_accents(c), r"\s+", ""), r"[.\-]+$", "")
+    """A legal number with its separators, spaces among them as one, without trailing ``.`` or ``-``; null for none."""
+    return F.regexp_replace(fold_accents(F.when(c != "", c)), r"[.\-]+$", "")
 
 
 def article_key(c: Column) -> Column:
+    """An article's or clause's number without trailing ``.`` or ``:``."""
     return F.regexp_replace(fold_accents(c), r"[.:]+$", "")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.ordered import numbered
@@ -90,6 +90,12 @@ def inventory_errors(models: DataFrame, stacks: DataFrame, *, limit: int) -> Dat
     return repeats.unionByName(unknown).unionByName(wrong).unionByName(over)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``, in whatever store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def missing_and_extra(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: ``key, side``."""
     a = left.select(key).join(right.select(key), key, "left_anti").select(key, F.lit("left").alias("side"))

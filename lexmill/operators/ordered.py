@@ -43,7 +43,7 @@ def numbered(df: DataFrame, *by: Column | str, name: str = "row", chunks: int |
 
 
 #: Rows of a group that a window in one task is given; a larger group is dealt over many.
-WINDOW_ROWS = 1 << 20
+WINDOW_ROWS = 100_000
 
 
 def by_group(df: DataFrame, group: list[str], order: list[str], core, *, most: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators import audit
 from lexmill.session import durable
 
 Embed = Callable[[list[str]], np.ndarray]
@@ -81,6 +82,46 @@ def generate(prompts: DataFrame, load: Callable[[], Generate], *, keep: list[str
     return _map(prompts, {"__p": F.col(prompt), "__v": first}, load, apply, keep, "answer string, answer_sha256 string", batch)
 
 
+def finish_reason(tokens: list[int], eos: set[int], most: int) -> str:
+    """``eos`` if an end token came last, ``length`` if there was no room for more, else ``other``."""
+    return "eos" if tokens and tokens[-1] in eos else "length" if len(tokens) >= most else "other"
+
+
+def generate_until_done(
+    prompts: DataFrame, load: Callable[[], Callable[[list[str], dict], list[tuple[str, list[int]]]]], *, keys: list[str], prompt: str, passes: list[dict], eos: set[int], path: str, batch: int = 8
+) -> DataFrame:
+    """``keys, attempt, answer, answer_sha256, finish_reason, tokens``: answers, those cut off by length run again with the next settings.
+
+    The model gives an answer and its new tokens for each prompt; a pass's settings hold ``max_new_tokens``. Each pass is
+    stored under ``path`` as it is made, by ``attempt``; a run that goes on after a failure makes only what is not there,
+    and passes read the stored rows of the one before. The last attempt of a prompt counts, cut off or not. A blank
+    answer is an error; keys must differ.
+    """
+    spark, types = prompts.sparkSession, prompts.select(*keys).dtypes
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in types), "answer string, answer_sha256 string, finish_reason string, tokens int, attempt int"])
+
+    def saved() -> DataFrame:
+        return spark.read.schema(schema).parquet(path) if audit.path_exists(spark, path) else spark.createDataFrame([], schema)
+
+    for n, settings in enumerate(passes):
+        def apply(model, part: pd.DataFrame, settings=settings) -> pd.DataFrame:
+            got = model(part["__p"].fillna("").tolist(), settings)
+            if any(not (a or "").strip() for a, _ in got):
+                raise ValueError("a blank answer")
+            return part[keys].assign(
+                answer=[a for a, _ in got], answer_sha256=[hashlib.sha256(a.encode()).hexdigest() for a, _ in got],
+                finish_reason=[finish_reason(t, eos, settings["max_new_tokens"]) for _, t in got], tokens=[len(t) for _, t in got])
+
+        done = saved()
+        todo = prompts if n == 0 else prompts.join(done.where((F.col("attempt") == n - 1) & (F.col("finish_reason") == "length")).select(*keys), keys, "left_semi")
+        todo = todo.join(done.where(F.col("attempt") == n).select(*keys), keys, "left_anti")
+        made = _map(todo, {"__p": F.col(prompt)}, load, apply, keys, "answer string, answer_sha256 string, finish_reason string, tokens int", batch)
+        made.withColumn("attempt", F.lit(n)).write.mode("append").partitionBy("attempt").parquet(path)
+    rest = ["answer", "answer_sha256", "finish_reason", "tokens"]
+    last = saved().groupBy(*keys).agg(F.max(F.struct("attempt", *rest)).alias("x"))
+    return last.select(*keys, "x.attempt", *(f"x.{c}" for c in rest))
+
+
 def collate(rows: DataFrame, *, key: str, batch: int, pad_id: int, ignore: int = -100) -> DataFrame:
     """Training batches from ``input_ids, labels``: ``batch, ids, input_ids, attention_mask, labels``, padded to the longest of a batch.
 

@@ -893,7 +893,7 @@ _COMPACT = "regexp_replace({x}, '[^a-z0-9]', '', 'g')"
 @query(rf"""WITH c AS (SELECT conv_id, turn, {_NO} AS number, 'Điều  ' || turn || 'Đ.:' AS article FROM conversations),
 f AS (SELECT conv_id, turn, {_FOLD.format(x='number')} AS n, {_FOLD.format(x='article')} AS a, {_FOLD.format(x="'Theo ' || number || ' và 12/2019/TT-BTC, ' || number")} AS t FROM c),
 l AS (SELECT *, list_distinct(list_transform(regexp_extract_all(t, '\b[0-9]{{1,4}}\s*/\s*[0-9]{{4}}\s*/\s*[a-z0-9]+(?:\s*-\s*[a-z0-9]+)*\b'), lambda x: {_COMPACT.format(x='x')})) AS found FROM f)
-SELECT conv_id, turn, {_COMPACT.format(x='n')} AS compact, regexp_replace(regexp_replace(n, '\s+', '', 'g'), '[.\-]+$', '') AS kept, regexp_replace(a, '[.:]+$', '') AS article, array_to_string(list_sort(found), ' ') AS found FROM l""")
+SELECT conv_id, turn, {_COMPACT.format(x='n')} AS compact, regexp_replace(n, '[.\-]+$', '') AS kept, regexp_replace(a, '[.:]+$', '') AS article, array_to_string(list_sort(found), ' ') AS found FROM l""")
 def legal_keys(spark: SparkSession, d: str) -> DataFrame:
     """Both number normalisers, the article key and the numbers that a text names."""
     text = lambda c: F.col(c).cast("string")
@@ -951,6 +951,62 @@ def enriched_contexts(spark: SparkSession, d: str) -> DataFrame:
     return assembly.enrich(chunks, docs).select("chunk_id", F.length("prefix").alias("prefix_characters"), F.sha2("enriched_text", 256).alias("digest"))
 
 
+@query("""
+WITH q AS (SELECT conv_id, min(turn) + 1 AS clause, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1),
+d AS (SELECT CASE WHEN doc_id % 3 = 2 THEN doc_id - 1 ELSE doc_id END AS num, min(doc_id) AS doc_id FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) = 1)
+SELECT conv_id, 1 AS candidate, doc_id::VARCHAR AS document_id, doc_id || ':' || (1 + conv_id % 3) AS block_id, (1 + conv_id % 3) || 'd' AS article_number, clause::VARCHAR AS clause_number,
+  doc_id || ':' || (1 + conv_id % 3) || CASE WHEN clause = 2 THEN ':1' ELSE ':0' END AS seed_chunk_id, n AS triggers
+FROM q JOIN d ON d.num = conv_id % 1000 WHERE NOT (doc_id % 5 = 0 AND conv_id % 3 = 0) AND conv_id % 11 <> 0""")
+def cross_references(spark: SparkSession, d: str) -> DataFrame:
+    """References that questions make, read from their texts, resolved to documents, articles and clauses as written there."""
+    own = table(spark, d, "conversations").where("role = 'user'")
+    text = F.format_string("Căn cứ khoản %d Điều %dĐ Nghị định số %d/2020/NĐ-CP, bên bán.", (F.col("turn") + 1).cast("int"), (1 + F.col("conv_id") % 3).cast("int"), (F.col("conv_id") % 1000).cast("int"))
+    asked = own.select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.alias("text"))
+    found = selection.extract_references(asked, origin="question").select(
+        F.substring_index("id", "-", 1).cast("long").alias("query_id"), F.substring_index("id", "-", -1).cast("int").alias("order"), "article_number", "clause_number", "document_number", "resolution",
+        "source_document_id", "start", "end")
+    docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"))
+    number = F.concat((F.col("doc_id") - (F.col("doc_id") % 3 == 2).cast("int")).cast("string"), F.lit("/2020/NĐ-CP."))
+    articles = docs.select("doc_id", "document_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("a"))
+    key = F.concat_ws(":", "document_id", "a")
+    chunk = lambda i, clauses: F.struct(F.lit(i).alias("chunk_index"), F.concat(key, F.lit(f":{i}")).alias("chunk_id"), F.array(*map(F.lit, clauses)).alias("clause_numbers"))
+    blocks = articles.select("document_id", key.alias("block_id"), F.concat("a", F.lit("Đ.")).alias("article_number"), F.array(chunk(0, ["1.", "3."]), chunk(1, ["2:"])).alias("chunks"))
+    twice = articles.where("doc_id % 5 = 0 and a = 1").select("document_id", F.concat(key, F.lit("'")).alias("block_id"), F.lit("1đ").alias("article_number"), F.array(chunk(0, ["1"])).alias("chunks"))
+    held = own.where("conv_id % 11 = 0").select(F.col("conv_id").alias("query_id"), (F.col("conv_id") % 1000).cast("string").alias("document_id")).withColumn(
+        "block_id", F.concat_ws(":", "document_id", (1 + F.col("query_id") % 3).cast("string")))
+    out = selection.resolve_references(found, docs.select("document_id", number.alias("document_number")), blocks.unionByName(twice), held)
+    return out.select(F.col("query_id").alias("conv_id"), "candidate", "document_id", "block_id", "article_number", "clause_number", "seed_chunk_id", F.size("triggers").alias("triggers"))
+
+
+def _stub_writer():
+    """Repeats the words of its prompt as far as it may, and says that it is done unless their number is a multiple of five."""
+    import re
+
+    def model(prompts: list[str], settings: dict) -> list[tuple[str, list[int]]]:
+        out = []
+        for p in prompts:
+            w = re.findall(r"[^\x20\x09-\x0D]+", p)
+            most = settings["max_new_tokens"]
+            out.append((" ".join(w[:most]), [len(x) for x in w[:most]] + ([0] if len(w) < most and len(w) % 5 else [])))
+        return out
+
+    return model
+
+
+@query(r"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM conversations),
+a AS (SELECT *, len(w) AS n, CASE WHEN len(w) >= 8 THEN 24 ELSE 8 END AS m FROM w WHERE len(w) > 0)
+SELECT conv_id, turn, CASE WHEN m = 24 THEN 1 ELSE 0 END AS attempt, sha256(array_to_string(w[1:m], ' ')) AS answer_sha256,
+  CASE WHEN n < m AND n % 5 <> 0 THEN 'eos' WHEN n >= m THEN 'length' ELSE 'other' END AS finish_reason,
+  (least(n, m) + CASE WHEN n < m AND n % 5 <> 0 THEN 1 ELSE 0 END)::INT AS tokens FROM a""")
+def generation_rerun(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to all turns by a stub model; those cut off at eight tokens are made again with room for 24."""
+    own = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return stages.generate_until_done(
+        own, _stub_writer, keys=["conv_id", "turn"], prompt="text", passes=[{"max_new_tokens": 8}, {"max_new_tokens": 24}], eos={0}, path=fresh_folder(spark, "answers")
+    ).drop("answer")
+
+
 @query(f"""WITH {_QA}
 SELECT question_id, sha256('Câu hỏi:' || chr(10) || trim(question) || chr(10) || chr(10) || 'Tài liệu:' || chr(10) || '[Tài liệu 1, điều ' || turn || ']' || chr(10) || trim(answer) || chr(10) || chr(10) || '[Tài liệu 2]' || chr(10) || trim(question)
   || chr(10) || chr(10) || 'Yêu cầu:' || chr(10) || 'Trả lời.') AS digest, 2 AS messages FROM qa""")

@@ -540,3 +540,34 @@ def test_relevance_of_references(spark):
         [("Điều 5 khoản 2 theo 12/2019/TT-BTC mức thuế đất", "Mức thuế đất theo 12/2019/tt-btc: khoản 2.", "5", 1), ("mức thuế", None, None, 2), (None, "x", "5", 3)], "q string, c string, a string, rank int")
     got = [(r.score, r.has_reference) for r in selection.relevance(own, question="q", context="c", article="a", rank="rank").collect()]
     assert got == [(1000 + 500 + 100 + 6 + 2 * 4 + 1.5 * 11, True), (None, False), (None, None)]  # six words and two pairs of them are held
+
+
+def test_references_are_folded_on_both_sides(spark):
+    found = selection.extract_references(spark.createDataFrame([("q", "Điều 5đ Nghị định 12/2020/NĐ-CP")], "id string, text string"), origin="question").select(
+        F.lit(1).alias("query_id"), F.lit(0).alias("order"), "article_number", "clause_number", "document_number", "resolution", "source_document_id", "start", "end")
+    docs = spark.createDataFrame([("d", "12/2020/NĐ-CP."), ("e", None), ("f", "")], "document_id string, document_number string")
+    blocks = spark.createDataFrame([("d", "b", "5đ", [(0, "c", ["1."])])], "document_id string, block_id string, article_number string, chunks array<struct<chunk_index: int, chunk_id: string, clause_numbers: array<string>>>")
+    held = spark.createDataFrame([], "query_id int, document_id string, block_id string")
+    assert [(r.document_id, r.block_id, r.seed_chunk_id) for r in selection.resolve_references(found, docs, blocks, held).collect()] == [("d", "b", "c")]
+    got = spark.createDataFrame([(" 15 /  2020 / NĐ-CP. ",), ("",), (None,)], "n string").select(T.number_kept(F.col("n")).alias("k")).collect()
+    assert [r.k for r in got] == ["15 / 2020 / nd-cp", None, None]
+
+
+def test_cut_answers_are_made_again(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(prompts, settings):
+            calls.add(len(prompts))
+            return [(p[: settings["max_new_tokens"]], [1] * min(len(p), settings["max_new_tokens"]) + ([9] if len(p) < settings["max_new_tokens"] and p.startswith("a") else [])) for p in prompts]
+        return model
+
+    rows = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "aaaaaa"), (4, "b" * 20)], "k int, p string")
+    how = {"keys": ["k"], "prompt": "p", "passes": [{"max_new_tokens": 4}, {"max_new_tokens": 8}], "eos": {9}, "path": f"{tmp_path}/a"}
+    want = {1: (0, "eos", "aa", 3), 2: (0, "other", "bb", 2), 3: (1, "eos", "aaaaaa", 7), 4: (1, "length", "b" * 8, 8)}
+    for more in (6, 0):  # the second run finds all of it stored
+        before = calls.value
+        got = stages.generate_until_done(rows, load, **how)
+        assert {r.k: (r.attempt, r.finish_reason, r.answer, r.tokens) for r in got.collect()} == want and calls.value - before == more
+    with pytest.raises(Exception, match="blank answer"):
+        stages.generate_until_done(rows.select("k", F.lit("").alias("p")), load, **how | {"path": f"{tmp_path}/b"})
