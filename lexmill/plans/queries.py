@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, index, retrieval, selection, spans, splits, stages
+from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, index, retrieval, selection, spans, splits, stages, upkeep
 from lexmill.session import fresh_folder, spread, table
-from lexmill.sources import shards
+from lexmill.sources import shards, sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -99,6 +99,29 @@ def indexed_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _saved_search(spark, d, pairs=False)
 
 
+@query(SQL["bm25_topk"])
+def maintained_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over an index of two batches, of which the second replaces a third of the documents and deletes one that never was."""
+    path, docs = fresh_folder(spark, "upkeep"), table(spark, d, "documents").select("doc_id", "text")
+    spaces = {"word": T.word_list(F.col("text")), "folded": F.regexp_extract_all(T.fold_accents(F.col("text")), F.lit(T.WORDS), F.lit(0))}
+    third = F.col("doc_id") % 3 == 0
+    stray = docs.limit(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("stray words that go again").alias("text"))
+    upkeep.apply_batch(docs.withColumn("text", F.when(third, F.substring("text", 1, 50)).otherwise(F.col("text"))).unionByName(stray), spaces, path, 0)
+    upkeep.apply_batch(docs.where(third).unionByName(stray), spaces, path, 1, deleted=F.col("doc_id") == -1)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.query_tokens(F.col("text")).alias("terms"))
+    return upkeep.search(spark, path, "word", asked, k=10)
+
+
+@query("""SELECT count(*) AS rows, count(text) AS texts, sum(length(text))::BIGINT AS characters, max(length(text))::BIGINT AS longest, count_if(contains(text, '<'))::BIGINT AS with_tags,
+  (SELECT count(*) FROM documents) AS read_back FROM documents""")
+def counted_write(spark: SparkSession, d: str) -> DataFrame:
+    """Counters taken while documents are written, beside what is read back."""
+    path, n = fresh_folder(spark, "counted"), F.length("text").cast("long")
+    got = sinks.write_counted(table(spark, d, "documents"), path, {
+        "rows": F.count("*"), "texts": F.count("text"), "characters": F.sum(n), "longest": F.max(n), "with_tags": F.count_if(F.col("text").contains("<"))}, bounds={"rows": (1, None)})
+    return spark.read.parquet(path).agg(*(F.lit(v).cast("long").alias(k) for k, v in got.items()), F.count("*").alias("read_back"))
+
+
 @query(SQL["bm25_two_terms"])
 def indexed_two_terms(spark: SparkSession, d: str) -> DataFrame:
     return _saved_search(spark, d, pairs=True)

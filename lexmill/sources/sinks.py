@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import audit, retrieval
@@ -87,6 +87,23 @@ def read_index_topk(spark: SparkSession, path: str, queries: DataFrame, query_to
     return retrieval.top_k(hits, k).select("query_id", "id", "rank", "score")
 
 
+def write_counted(df: DataFrame, path: str, counters: dict[str, Column], *, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> dict:
+    """Write ``df`` as Parquet and return its counters, taken from the rows as they pass to the writer: no second scan.
+
+    ``bounds`` gives a counter's least and greatest allowed value; if one is out of bounds, or null, what was written is taken
+    away and it is an error. An existing path is an error. Tasks that run twice are counted once.
+    """
+    seen = Observation(f"write-{uuid.uuid4().hex}")
+    df.observe(seen, *(c.alias(n) for n, c in counters.items())).write.mode("error").parquet(path)
+    got = seen.get
+    bad = {n: got[n] for n, (lo, hi) in (bounds or {}).items() if got[n] is None or lo is not None and got[n] < lo or hi is not None and got[n] > hi}
+    if bad:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        raise ValueError(f"out of bounds: {bad}")
+    return got
+
+
 def save_once(df: DataFrame, path: str) -> None:
     """Write, or require that what is there is the same rows."""
     try:

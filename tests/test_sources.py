@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import index, retrieval
-from lexmill.sources import archives, contexts, shards
+from lexmill.operators import index, retrieval, upkeep
+from lexmill.sources import archives, contexts, shards, sinks
 
 GOOD = '{"id": %d, "link": "https://x.y/z", "passage": "p %s"}'
 
@@ -153,3 +153,46 @@ def test_saved_index_skips_blocks_and_loses_nothing(spark, tmp_path, monkeypatch
     assert all(read <= all_ for all_, read in took.values()) and took[0][1] < 0.8 * took[0][0]
     plan = found.read("blocks")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_counters_of_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "x" * i) for i in range(20)], "i int, t string").repartition(3)
+    how = {"rows": F.count("*"), "texts": F.count("t"), "longest": F.max(F.length("t"))}
+    assert sinks.write_counted(df, f"{tmp_path}/a", how, bounds={"rows": (20, 20), "longest": (None, 19)}) == {"rows": 20, "texts": 15, "longest": 19}
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 20
+    with pytest.raises(ValueError, match="out of bounds.*texts"):
+        sinks.write_counted(df, f"{tmp_path}/b", how, bounds={"texts": (16, None)})
+    assert not os.path.exists(f"{tmp_path}/b")
+    with pytest.raises(ValueError, match="longest"):
+        sinks.write_counted(df.limit(0), f"{tmp_path}/c", how, bounds={"longest": (None, 5)})
+
+
+def test_batches_equal_one_build(spark, tmp_path):
+    spaces = {"word": T.word_list(F.col("text")), "folded": F.regexp_extract_all(T.fold_accents(F.col("text")), F.lit(T.WORDS), F.lit(0))}
+    kind = "doc_id long, text string, gone boolean"
+    batches = [
+        [(1, "Điều một hai", None), (2, "ba ba bốn", None), (3, None, None), (4, "cũ cũ cũ", None), (5, "một", None)],
+        [(4, "mới một một", False), (2, None, True), (9, None, True), (6, "dieu ba", None)],
+        [(2, "ba lại", None), (5, "", None), (6, "dieu ba bon", None)]]
+    path = f"{tmp_path}/i"
+    for n, b in enumerate(batches):
+        upkeep.apply_batch(spark.createDataFrame(b, kind), spaces, path, n, deleted=F.col("gone"))
+    upkeep.apply_batch(spark.createDataFrame(batches[2], kind), spaces, path, 2, deleted=F.col("gone"))  # redone
+    now = spark.createDataFrame([(1, "Điều một hai"), (2, "ba lại"), (3, ""), (4, "mới một một"), (5, ""), (6, "dieu ba bon")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "một ba"), (2, "điều"), (3, "dieu cũ"), (4, "bốn")], "item_id long, text string")
+    for space, query in (("word", T.query_tokens(F.col("text"))), ("folded", T.folded_tokens(F.col("text")))):
+        got = upkeep.search(spark, path, space, asked.select(F.col("item_id").alias("query_id"), query.alias("terms")), k=5)
+        want = retrieval.bm25(now, asked, doc_tokens=spaces[space], query_tokens=query, k=5)
+        assert sorted((r.query_id, r.id, r.rank, r.score) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    with pytest.raises(ValueError, match="each id once"):
+        upkeep.apply_batch(spark.createDataFrame([(1, "a", None), (1, "b", None)], kind), spaces, path, 3)
+
+
+def test_a_stream_keeps_the_index(spark, tmp_path):
+    for n, rows in enumerate([[(1, 1, "a b"), (2, 1, "b")], [(1, 2, "c"), (1, 3, "b b")]]):
+        spark.createDataFrame(rows, "doc_id long, seq int, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("doc_id long, seq int, text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    upkeep.maintain(stream, {"word": T.word_list(F.col("text"))}, f"{tmp_path}/i", f"{tmp_path}/c", order="seq").awaitTermination()
+    asked = spark.createDataFrame([(1, ["b"]), (2, ["a"])], "query_id long, terms array<string>")
+    got = {(r.query_id, r.id) for r in upkeep.search(spark, f"{tmp_path}/i", "word", asked, k=5).collect()}
+    assert got == {(1, 1), (1, 2)}
