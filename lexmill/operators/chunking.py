@@ -229,6 +229,48 @@ def document_sections(docs: DataFrame, *, id_col: str = "document_id", text_col:
     return own.mapInPandas(run, "document_id string, position int, kind string, start int, end int, heading string, article_number string")
 
 
+#: Code-point spans of a text's model tokens, in order; and how many tokens a text has with what a model adds to it.
+Offsets = Callable[[str], list[tuple[int, int]]]
+
+
+def offset_windows(text: str, offsets: Offsets, count: Callable[[str], int], *, most: int, overlap: int, added: int = 0) -> list[tuple[int, int, int]]:
+    """Windows ``start, end, tokens`` that a model holds whole: spans of text from a token's begin to a token's end.
+
+    A window takes ``most`` less ``added`` tokens if the text between them, trimmed and counted anew, has no more than
+    ``most``, else as many as do; the next goes back ``overlap`` tokens, but moves on by one at least. Tokens without
+    characters are none. A single token that does not fit is an error.
+    """
+    spans = [s for s in offsets(text) if s[1] > s[0]]
+    out, first = [], 0
+    while first < len(spans):
+        for last in range(min(len(spans), first + most - added), first, -1):
+            a, b = spans[first][0], spans[last - 1][1]
+            inner = text[a:b]
+            a, b = a + len(inner) - len(inner.lstrip()), a + len(inner.rstrip())
+            if a < b and (n := count(text[a:b])) <= most:
+                break
+        else:
+            raise ValueError(f"no window fits at {spans[first][0]}")
+        out.append((a, b, n))
+        if last == len(spans):
+            break
+        first = max(first + 1, last - overlap)
+    return out
+
+
+def model_windows(docs: DataFrame, load: Callable[[], tuple[Offsets, Callable[[str], int]]], *, most: int, overlap: int, added: int = 0, id_col: str = "document_id", text_col: str = "cleaned_text") -> DataFrame:
+    """``document_id, window, start, end, tokens`` of each text by a tokenizer with offsets, loaded once a task. Null texts have none. Map-only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offsets, count = load()
+        for pdf in batches:
+            rows = [(i, k, *w) for i, t in zip(pdf["id"], pdf["text"]) if t and t.strip() for k, w in enumerate(offset_windows(t, offsets, count, most=most, overlap=overlap, added=added))]
+            yield pd.DataFrame(rows, columns=["document_id", "window", "start", "end", "tokens"])
+
+    own = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return own.mapInPandas(run, "document_id string, window int, start int, end int, tokens int")
+
+
 def exact_segments(docs: DataFrame, *, id_col: str = "document_id", text_col: str = "cleaned_text", least: int = 200, most: int = 1200) -> DataFrame:
     """``document_id, position, start, end`` of ``split_exact``; null and blank texts have none. Map-only."""
 

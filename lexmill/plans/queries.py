@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import assembly, audit, checks, chunking, cleaning, cleanup, evaluation, fusion, index, retrieval, selection, spans, splits, stages, upkeep
-from lexmill.session import fresh_folder, spread, table
+from lexmill.session import durable, fresh_folder, spread, table
 from lexmill.sources import shards, sinks
 
 QUERIES: dict = {}
@@ -674,13 +674,51 @@ x AS (SELECT query_id, sum(c) AS rejected FROM (SELECT query_id, (NOT fresh AND
 SELECT query_id, id, n::INT AS selected_rank, 'locked-rrf' AS phase, -1 AS tier, rejected::INT AS rejected FROM l JOIN x USING (query_id) WHERE locked
 UNION ALL SELECT query_id, id, 6 + m::INT, 'legal-priority', tier, rejected::INT FROM z JOIN x USING (query_id) WHERE takes AND m <= 6""")
 def select_top12(spark: SparkSession, d: str) -> DataFrame:
+    return selection.select_top(_pool(spark, d)).fillna({"tier": -1})
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty candidates of each benchmark passage."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     none = F.lit(None).cast("string")
-    pool = _fused(spark, d, 20).join(docs, "id").join(asked, "query_id").select(
+    return _fused(spark, d, 20).join(docs, "id").join(asked, "query_id").select(
         "query_id", "id", "rank", F.col("id").cast("string").alias("document_id"), F.col("source").alias("article_number"), F.col("text").alias("body"),
         F.lit(0).alias("start"), F.length("text").alias("end"), selection.tier(F.col("question"), F.col("text"), none, none, F.col("source")).alias("tier"))
-    return selection.select_top(pool).fillna({"tier": -1})
+
+
+@query(f"""
+SELECT count_if(changed)::BIGINT AS changed_from_ranks, count_if(NOT changed)::BIGINT AS unchanged, avg(rejected) AS mean_rejected, count_if(relaxed > 0)::BIGINT AS queries_relaxed, sum(priority)::BIGINT AS priority_rows
+FROM (SELECT query_id, max(abs(rank - selected_rank)) > 0 AS changed, any_value(rejected) AS rejected, count_if(phase = 'diversity-relaxed-fill') AS relaxed, count_if(phase = 'legal-priority') AS priority
+  FROM ({SQL['select_top12']}) JOIN ({_FUSED} SELECT query_id, id, rank FROM h) USING (query_id, id) GROUP BY 1)""")
+def selector_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the selector did to the plain ranking, over all queries."""
+    pool = durable(_pool(spark, d))
+    return selection.selector_diagnostics(selection.select_top(pool).join(pool.select("query_id", "id", "rank"), ["query_id", "id"]))
+
+
+_TERMS = "list_distinct(list_filter(regexp_extract_all(" + _FOLD + ", '[a-z0-9]+'), lambda w: w NOT IN (" + _IN(T.SECTION_STOPWORDS) + ")))"
+
+
+@query(_FUSED + f""",
+t AS (SELECT doc_id, source, upper(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:6], ' ')) AS a, upper(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[7:12], ' ')) AS b FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, source, 0 AS position, 'KỸ THUẬT ' || a AS heading, length(a) + 23 AS n FROM t UNION ALL SELECT doc_id, source, 1, 'QUY TRÌNH ' || b, length(b) + 23 FROM t),
+c AS (SELECT query_id, id || ':' || position AS section_id, n, {_TERMS.format(x='q.text')} AS q, {_TERMS.format(x='s.heading')} AS h, {_TERMS.format(x="coalesce(s.source, '')")} AS s
+  FROM h JOIN s ON s.doc_id = id JOIN benchmark q ON q.item_id = query_id WHERE rank <= 20),
+m AS (SELECT *, len(list_intersect(q, h)) AS k FROM c),
+r AS (SELECT *, round(2.0 * coalesce(k / nullif(len(h), 0), 0) + 1.5 * coalesce(k / nullif(len(q), 0), 0) + 0.5 * coalesce(len(list_intersect(q, s)) / nullif(len(q), 0), 0) + 0.4 * k, 10) AS score FROM m),
+o AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS i FROM r WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, section_id))
+SELECT query_id, section_id, score FROM o WHERE i = 1 AND k >= 2 AND score >= 2 AND score - coalesce(next, 0) >= 0.25 AND n <= 6000""")
+def section_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The section that answers a passage best, among those found by their headings in the twenty documents that are near it."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    part = lambda first: F.upper(F.array_join(F.slice(words, first, 6), " "))
+    own = table(spark, d, "documents").where("text is not null")
+    made = own.select("doc_id", F.concat(F.lit("KỸ THUẬT "), part(1), F.lit("\nnội dung một\nQUY TRÌNH "), part(7), F.lit("\nnội dung hai!")).alias("text"))
+    found = chunking.document_sections(made, id_col="doc_id", text_col="text").select(F.col("document_id").cast("long").alias("id"), "position", "heading", (F.col("end") - F.col("start")).alias("n_chars"))
+    near = _fused(spark, d, 20).select("query_id", "id").join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    sources = own.select(F.col("doc_id").alias("id"), F.col("source").alias("source_title"))
+    return selection.resolve_section(near.join(found, "id").join(sources, "id").withColumn("section_id", F.concat_ws(":", "id", "position")))
 
 
 @query(_FUSED + rf""",

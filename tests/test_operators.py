@@ -571,3 +571,24 @@ def test_cut_answers_are_made_again(spark, tmp_path):
         assert {r.k: (r.attempt, r.finish_reason, r.answer, r.tokens) for r in got.collect()} == want and calls.value - before == more
     with pytest.raises(Exception, match="blank answer"):
         stages.generate_until_done(rows.select("k", F.lit("").alias("p")), load, **how | {"path": f"{tmp_path}/b"})
+
+
+def test_model_windows(spark):
+    import re as _re
+
+    def load():
+        pieces = lambda t: [m.span() for m in _re.finditer(r"\s?[^\s]{1,3}", t)]  # noqa: E731  # tokens with a space before, as byte-pair models have
+        return pieces, lambda t: len(pieces(t)) + 2
+
+    text = "  một hai bacdefgh  bốn\nnăm " * 9 + "."
+    offsets, count = load()
+    got = chunking.offset_windows(text, offsets, count, most=12, overlap=3, added=2)
+    spans = offsets(text)
+    assert got[0][0] == 2 and got[-1][1] == len(text) and all(n == count(text[a:b]) <= 12 and text[a:b] == text[a:b].strip() for a, b, n in got)
+    assert all(b1 > a2 for (_, b1, _), (a2, _, _) in zip(got, got[1:])) and len(got) >= len(spans) / 10
+    rows = chunking.model_windows(spark.createDataFrame([(1, text), (2, None), (3, " ")], "document_id int, cleaned_text string"), load, most=12, overlap=3, added=2).collect()
+    assert [(r.start, r.end, r.tokens) for r in sorted(rows, key=lambda r: r.window)] == got
+    with pytest.raises(ValueError, match="no window fits"):
+        chunking.offset_windows("abc", offsets, count, most=2, overlap=0, added=0)
+    whole = chunking.offset_windows("abc def", offsets, count, most=12, overlap=50, added=2)
+    assert whole == [(0, 7, 4)] and chunking.offset_windows("", offsets, count, most=12, overlap=1) == []
