@@ -132,9 +132,7 @@ def test_shards_refuse_bad_rows(spark, tmp_path):
 
 @pytest.mark.parametrize("pairs", [False, True])
 def test_saved_index_skips_blocks_and_loses_nothing(spark, tmp_path, monkeypatch, pairs):
-    monkeypatch.setattr(index, "RANGE_BITS", 4)
-    monkeypatch.setattr(index, "COARSE_BITS", 3)
-    monkeypatch.setattr(index, "SEED_FINE", 2)
+    monkeypatch.setattr(index, "SEED_RANGES", 2)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(300)], k=rng.choice([3, 40]))) for _ in range(1500)]
@@ -144,7 +142,7 @@ def test_saved_index_skips_blocks_and_loses_nothing(spark, tmp_path, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     asked = spark.createDataFrame([(0, "w250 w251 w0"), (1, "w0"), (2, "w299 w1 w298 w1"), (3, "none"), (4, ""), (5, "w251 w252")], "item_id long, text string")
     tokens, query = T.word_list(F.col("text")), T.query_tokens(F.col("text"))
-    index.write_blocks(docs, tokens, f"{tmp_path}/i", buckets=8)
+    index.write_blocks(docs, tokens, f"{tmp_path}/i", buckets=8, slab_bits=7, range_bits=4)
     found = index.Index(spark, f"{tmp_path}/i", asked.select(F.col("item_id").alias("query_id"), query.alias("terms")), pairs=pairs)
     best, took = found.search(5)
     want = retrieval.bm25(docs.where("doc_id is not null or text = ''"), asked, doc_tokens=tokens, query_tokens=query, k=5, pairs=pairs)
