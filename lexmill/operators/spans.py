@@ -49,14 +49,16 @@ def merge_ranked_spans(units: DataFrame, documents: DataFrame) -> DataFrame:
     """Merged spans of (query, document, block) with least rank, united chunk ids and text cut anew.
 
     ``units``: ``query_id, document_id, block_id, rank, start, end, chunk_ids``; offsets are 0-based
-    half-open code points of ``documents.cleaned_text``.
+    half-open code points of ``documents.cleaned_text``. A span that is empty or reaches out of its text is an error.
     """
     w = Window.partitionBy("query_id", "document_id", "block_id").orderBy("start", "end", "rank")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = units.withColumn("__new", (before.isNull() | (F.col("start") > before)).cast("int"))
     merged = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("query_id", "document_id", "block_id", "__i").agg(
         F.min("rank").alias("rank"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids")).drop("__i")
-    return merged.join(documents.select("document_id", "cleaned_text"), "document_id").withColumn("text", F.col("cleaned_text").substr(F.col("start") + 1, F.col("end") - F.col("start"))).drop("cleaned_text")
+    return merged.join(documents.select("document_id", "cleaned_text"), "document_id").withColumn(
+        "text", F.when((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("cleaned_text")), F.col("cleaned_text").substr(F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(
+            F.raise_error(F.concat_ws(" ", F.lit("a span out of its text:"), "document_id", "start", "end")).cast("string"))).drop("cleaned_text")
 
 
 def neighbours(chunks: DataFrame, *, group: list[str], order: str, start: str, end: str, id_col: str, max_chars: int = 6000, most: int | None = None) -> DataFrame:

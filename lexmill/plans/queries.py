@@ -654,6 +654,30 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
         "chunk_id", "document_id", "section_kind", "split_method", "chunk_index", "start_char", "end_char", "whitespace_token_count")
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, 'Luat ' || doc_id AS p, 'Điều 1. Tên ' || array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:3], ' ') AS t,
+  list_transform([1, 2, 3], lambda c: array_to_string(list_transform(range(1, 16), lambda i: 'w' || (doc_id * 7 + c * 15 + i)), ' ')) AS b FROM documents),
+x AS (SELECT *, trim(t) AS h, trim(t) || chr(10) || '1. ' || b[1] || chr(10) || '2. cuối' AS one, 'Điều 2đ. Khoản' || chr(10) || '1) ' || b[1] || chr(10) || '2) ' || b[2] AS two, '3) ' || b[3] AS three FROM w),
+r AS (
+  SELECT doc_id, 0 AS k, NULL AS number, NULL AS title, '' AS clauses, 'preamble' AS kind, 'token_fallback' AS method, 0 AS a, p AS body, '' AS heading, p FROM x
+  UNION ALL SELECT doc_id, 1, '1', substr(h, 9), '1,2', 'article', 'article', length(p) + 1, one, h, p FROM x
+  UNION ALL SELECT doc_id, 2, '2đ', 'Khoản', '1,2', 'clause_group', 'clause_group', length(p) + length(one) + 2, two, 'Điều 2đ. Khoản', p FROM x
+  UNION ALL SELECT doc_id, 3, '2đ', 'Khoản', '3', 'clause_group', 'clause_group', length(p) + length(one) + length(two) + 3, three, 'Điều 2đ. Khoản', p FROM x)
+SELECT doc_id::VARCHAR AS document_id, k AS chunk_index, number AS article_number, title AS article_title, clauses, kind AS section_kind, method AS split_method, a::INT AS start_char, (a + length(body))::INT AS end_char,
+  len(regexp_extract_all(body, '\S+'))::INT AS words, sha256(CASE WHEN k = 0 THEN p ELSE p || chr(10) || heading || chr(10) || body END) AS search_sha256 FROM r""")
+def chunk_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of texts with a preamble, an article that fits and one that is split by its clauses."""
+    own = table(spark, d, "documents").select("doc_id", F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 3).alias("w"))
+    clause = lambda c: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("w"), (F.col("doc_id") * 7 + c * 15 + i).cast("string"))), " ")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Luat "), F.col("doc_id").cast("string")), F.trim(F.concat(F.lit("Điều 1. Tên "), F.array_join("w", " "))), F.concat(F.lit("1. "), clause(1)), F.lit("2. cuối"),
+        F.lit("Điều 2đ. Khoản"), F.concat(F.lit("1) "), clause(1)), F.concat(F.lit("2) "), clause(2)), F.concat(F.lit("3) "), clause(3)))
+    out = chunking.chunk_documents(own.select("doc_id", text.alias("text")), chunking.ChunkParams(max_tokens=40, overlap=5), id_col="doc_id", text_col="text", title_col=None)
+    return out.select(
+        "document_id", "chunk_index", "article_number", "article_title", F.array_join("clause_numbers", ",").alias("clauses"), "section_kind", "split_method", "start_char", "end_char",
+        F.col("whitespace_token_count").alias("words"), F.sha2("search_text", 256).alias("search_sha256"))
+
+
 _FOLD = "trim(regexp_replace(strip_accents(replace(replace(lower({x}), 'ß', 'ss'), 'đ', 'd')), '\\s+', ' ', 'g'))"
 _SQUEEZED = "trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 _IN = lambda words: ", ".join(f"'{w}'" for w in words)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
 from lexmill.sources import archives
 from lexmill.sources.archives import MEMBER
 from lexmill.sources.stores import open_seekable
@@ -103,6 +104,12 @@ def read_questions(spark: SparkSession, path: str, *, require_answer: bool) -> D
     return rows.withColumn("question", F.when(bad, F.raise_error(F.concat(F.lit("bad record: "), F.col("question_id"))).cast("string")).otherwise(F.col("question")))
 
 
+def repeated_questions(questions: DataFrame) -> DataFrame:
+    """``normalized, questions, first_id`` of questions that are alike once normalised: what a reader of questions has to count."""
+    key = T.normalize_question(F.col("question")).alias("normalized")
+    return questions.groupBy(key).agg(F.count("*").alias("questions"), F.min("question_id").alias("first_id")).where("questions > 1")
+
+
 def read_model_links(spark: SparkSession, path: str) -> DataFrame:
     """Distinct links of a CSV whose header has ``Link`` in any case, without a closing slash."""
     csv = spark.read.csv(path, header=True, encoding="UTF-8")

@@ -592,3 +592,15 @@ def test_model_windows(spark):
         chunking.offset_windows("abc", offsets, count, most=2, overlap=0, added=0)
     whole = chunking.offset_windows("abc def", offsets, count, most=12, overlap=50, added=2)
     assert whole == [(0, 7, 4)] and chunking.offset_windows("", offsets, count, most=12, overlap=1) == []
+
+
+def test_spans_out_of_their_text_and_repeated_questions(spark):
+    docs = spark.createDataFrame([("d", "abcdef")], "document_id string, cleaned_text string")
+    kind = "query_id int, document_id string, block_id string, rank int, start int, end int, chunk_ids array<string>"
+    units = lambda *ends: spark.createDataFrame([(1, "d", f"b{i}", 1, a, b, ["c"]) for i, (a, b) in enumerate(ends)], kind)
+    assert sorted(r.text for r in spans.merge_ranked_spans(units((0, 2), (3, 6)), docs).collect()) == ["ab", "def"]
+    for bad in ((3, 7), (-1, 2), (2, 2)):
+        with pytest.raises(Exception, match="out of its text"):
+            spans.merge_ranked_spans(units(bad), docs).collect()
+    q = spark.createDataFrame([("1", "A  b?"), ("2", "a b?"), ("3", "c")], "question_id string, question string")
+    assert [tuple(r) for r in contexts.repeated_questions(q).collect()] == [("a b?", 2, "1")]
