@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators.audit import path_exists
 from lexmill.operators.retrieval import B, K1, top_k
-from lexmill.session import durable
 
 _TABLES = {
     "docs": "id {id}, generation int, deleted boolean", "postings": "id {id}, generation int, space string, term string, tf int, dl int",
@@ -41,7 +40,7 @@ def apply_batch(batch: DataFrame, spaces: dict[str, Column], path: str, generati
     """
     spark, id_type = batch.sparkSession, batch.schema[id_col].dataType.simpleString()
     gone = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
-    own = durable(batch.select(F.col(id_col).alias("id"), gone.alias("deleted"), *(F.coalesce(c, F.array().cast("array<string>")).alias(s) for s, c in spaces.items())))
+    own = batch.select(F.col(id_col).alias("id"), gone.alias("deleted"), *(F.coalesce(c, F.array().cast("array<string>")).alias(s) for s, c in spaces.items()))
     if own.groupBy("id").count().where("id is null or count > 1").limit(1).count():
         raise ValueError("a batch must hold each id once")
     put = lambda df, kind: df.write.mode("overwrite").parquet(f"{path}/{kind}/generation={generation}")
