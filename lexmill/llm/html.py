@@ -41,10 +41,10 @@ _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
     "header masthead footer sidebar side aside widget widgets comment comments respond disqus reply replies notice notices cookie cookies consent "
     "gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar skip".split())
-#: Of these, names that an article's own parts have as well.
-_OWN_NAMES = frozenset("related recommended share sharing social".split())
 _CONTENT = frozenset("article main".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: What marks a part of an article, and a paragraph or heading in it: without names that such parts have themselves.
+_OWN_NAMES, _OWN_TEXTS = _NAMES - frozenset("related recommended".split()), _NAMES - frozenset("related recommended share sharing social".split())
 _LEAF = _TEXT - {"blockquote"} | frozenset("li tr dt dd hr".split())
 _STATES = frozenset("has with no without".split())
 
@@ -65,9 +65,10 @@ def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is not shown, and whether its tag, role or names mark it as boilerplate.
 
     Within an article or main only whole names count, not their parts, and not those that an article's own parts
-    have (related, share); ``has-sidebar`` and the like say what a page has and mark nothing.
+    have (related; of a paragraph or heading, share too); ``has-sidebar`` and the like say what a page has and mark nothing.
     """
     hidden, marked = False, tag in _BOILER
+    names = _NAMES if not inside else _OWN_TEXTS if tag in _TEXT else _OWN_NAMES
     if attrs and tag not in ("html", "body", "article", "main"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
@@ -78,7 +79,7 @@ def _judge(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
             elif name in ("class", "id"):
                 for part in value.split():
                     words = [part.lower()] if inside else [w.lower() for w in _SPLIT.split(part)]
-                    marked |= words[0] not in _STATES and not (_NAMES - _OWN_NAMES if inside else _NAMES).isdisjoint(words)
+                    marked |= words[0] not in _STATES and not names.isdisjoint(words)
     return hidden, marked
 
 
