@@ -23,7 +23,7 @@ def test_text_functions(spark):
     assert one(spark, "Nghị  Định Số 15/2020/NĐ-CP", T.fold_accents) == "nghi dinh so 15/2020/nd-cp"
     assert one(spark, "Nghị  Định Số", T.fold_any) == "nghi dinh so"
     assert one(spark, "15/2020/NĐ-CP", T.number_compact) == "152020ndcp"
-    assert one(spark, "15 / 2020/NĐ-CP.-", T.number_kept) == "15/2020/nd-cp"
+    assert one(spark, "15 / 2020/NĐ-CP.-", T.number_kept) == "15 / 2020/nd-cp"
     assert one(spark, "Điều 5.:", T.article_key) == "dieu 5"
     assert one(spark, "theo 15/2020/NĐ-CP và 15/2020/nđ-cp", T.legal_numbers) == ["152020ndcp"]
     assert one(spark, "Số: 1/2020/NĐ-CP\nĐiều 1. a\nSố: 2/2", T.source_number) == "1/2020/NĐ-CP"
