@@ -1088,7 +1088,7 @@ def generation_rerun(spark: SparkSession, d: str) -> DataFrame:
     """Answers to all turns by a stub model; those cut off at eight tokens are made again with room for 24."""
     own = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return stages.generate_until_done(
-        own, _stub_writer, keys=["conv_id", "turn"], prompt="text", passes=[{"max_new_tokens": 8}, {"max_new_tokens": 24}], eos={0}, path=fresh_folder(spark, "answers")
+        own, _stub_writer, keys=["conv_id", "turn"], prompt="text", passes=[{"max_new_tokens": 8}, {"max_new_tokens": 24}], eos={0}, path=fresh_folder(spark, "answers"), batch=256
     ).drop("answer")
 
 
