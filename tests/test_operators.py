@@ -5,6 +5,7 @@ import math
 import sqlite3
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -604,3 +605,13 @@ def test_spans_out_of_their_text_and_repeated_questions(spark):
             spans.merge_ranked_spans(units(bad), docs).collect()
     q = spark.createDataFrame([("1", "A  b?"), ("2", "a b?"), ("3", "c")], "question_id string, question string")
     assert [tuple(r) for r in contexts.repeated_questions(q).collect()] == [("a b?", 2, "1")]
+
+
+def test_texts_of_a_batch_are_strings_a_slice_at_a_time(spark):
+    texts = ["é" if i % 3 else None for i in range(T.SLICE * 2 + 5)]
+    for f, one in ((T.nfc, "é"), (T.nfkc_casefold, "é"), (T.fold_any, "e")):
+        parts = list(f.func(iter([pa.array(texts), pa.array([], pa.string())])))
+        assert [len(p) for p in parts] == [T.SLICE, T.SLICE, 5]
+        assert [x for p in parts for x in p.to_pylist()] == [None if x is None else one for x in texts]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").repartition(1).select("i", T.nfc(F.col("x")).alias("y"), cleaning.clean(F.col("x")).alias("z"))
+    assert all(r.y == r.z == (None if texts[r.i] is None else "é") for r in rows.collect())
