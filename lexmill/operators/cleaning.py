@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import html
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+
+from lexmill.functions import text as T
 
 # The tags that open the HTML rules, those that break a line and those that vanish, the site's
 # notice, and the characters that are dropped.
@@ -27,14 +25,7 @@ IMG = r"(?i)<\s*img\b(?:[^>]*?\balt\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s>]+))
 _EDGES = r"(?md)^[\p{IsWhite_Space}&&[^\n]]+|[\p{IsWhite_Space}&&[^\n]]+$"
 
 
-@pandas_udf(StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
-@pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else html.unescape(x))
+_unescape = T.each_text(html.unescape)
 
 
 def prepare(raw: Column) -> Column:
@@ -63,13 +54,13 @@ def clean_native(raw: Column) -> Column:
 
 def clean(raw: Column) -> Column:
     """The whole cleaner: composed first, entities last (so what they stand for is left as it is)."""
-    return _unescape(clean_native(_compose(raw)))
+    return _unescape(clean_native(T.nfc(raw)))
 
 
 def counters(raw: Column, *, compose: bool = True) -> list[Column]:
     """How often rules fire on the composed text, each on what the ones before left: HTML rules, notices; and
     whether the text was not composed or has CR line ends."""
-    whole = _compose(raw) if compose else raw
+    whole = T.nfc(raw) if compose else raw
     c = prepare(whole)
     n = lambda x, p: F.regexp_count(x, F.lit(p))
     bare = F.regexp_replace(c, SCRIPT_STYLE, "")
