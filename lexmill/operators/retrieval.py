@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,17 +43,22 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "id",
 #: Queries of one block; each is scored in one pass over the documents' own counts of its terms.
 QUERY_BLOCK = 2048
 
-#: ``(terms of the block) -> (document's column value) -> ({term number: frequency}, length)``
-Counter_ = Callable[[dict[str, int]], Callable[[object], tuple[dict[int, int], int]]]
+#: Documents whose tokens or texts are counted at one time, and (term, query) pairs that are scored at one time.
+COUNT_ROWS, SCORE_PAIRS = 1024, 1 << 20
+
+#: ``(terms of the block) -> (documents' column values) -> (row << 32 | term number of each hit, hits it stands for, lengths)``
+Counter_ = Callable[[dict[str, int]], Callable[[pa.Array], tuple[np.ndarray, np.ndarray, pa.Array]]]
 
 
 def _count_tokens(vocabulary: dict[str, int]):
-    def count(tokens) -> tuple[dict[int, int], int]:
-        tf: dict[int, int] = {}
-        for t in tokens:
-            if (j := vocabulary.get(t)) is not None:
-                tf[j] = tf.get(j, 0) + 1
-        return tf, len(tokens)
+    known = pa.array(list(vocabulary), pa.string())
+
+    def count(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        lengths = pc.list_value_length(tokens)
+        rows = np.repeat(np.arange(len(tokens)), pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False))
+        term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        key = (rows[term >= 0] << 32) | term[term >= 0]
+        return key, np.ones(len(key), np.int64), lengths
 
     return count
 
@@ -64,19 +72,23 @@ def _count_substrings(shortest: int):
         known: dict[str, tuple[tuple[int, int], ...]] = {}
 
         def look(w: str) -> tuple[tuple[int, int], ...]:
-            if len(known) > 400_000:
+            if len(known) > 100_000:
                 known.clear()
             found = {w[i : i + n] for n in lengths for i in range(len(w) - n + 1)} & vocabulary.keys()
             out = known[w] = tuple((vocabulary[t], w.count(t)) for t in sorted(found))
             return out
 
-        def count(text: str) -> tuple[dict[int, int], int]:
-            tf: dict[int, int] = {}
-            for w in word.findall(text):
-                if len(w) >= shortest:
-                    for j, n in known.get(w) or look(w):
-                        tf[j] = tf.get(j, 0) + n
-            return tf, max(len(text) - 2, 0)
+        def count(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            key, tf, sizes = array("q"), array("q"), []
+            for row, value in enumerate(texts):
+                text = value.as_py()
+                sizes.append(None if text is None else max(len(text) - 2, 0))
+                for w in word.findall(text or ""):
+                    if len(w) >= shortest:
+                        for j, n in known.get(w) or look(w):
+                            key.append(row << 32 | j)
+                            tf.append(n)
+            return np.array(key, np.int64), np.array(tf, np.int64), pa.array(sizes, pa.int64())
 
         return count
 
@@ -92,6 +104,16 @@ def _best_by_query(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, k:
     return scores[keep], ids[keep], queries[keep]
 
 
+def _parts(rows: pd.DataFrame, cost: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Runs of at most 500 rows that cost ``SCORE_PAIRS`` together, or one row that costs more."""
+    lo, total = 0, np.cumsum(cost)
+    while lo < len(rows):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SCORE_PAIRS, "right"))
+        hi = min(max(hi, lo + 1), lo + 500)
+        yield rows.iloc[lo:hi]
+        lo = hi
+
+
 def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter: Counter_, k: int, pairs: bool, query_type: str) -> DataFrame:
     """``query_id, id, score`` of one block of queries: the best k of each partition of ``docs`` (``id, x``)."""
     spark, id_type = docs.sparkSession, docs.schema["id"].dataType.simpleString()
@@ -99,16 +121,20 @@ def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter:
     asked = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in terms], int) for _, terms in block]
     shared = spark.sparkContext.broadcast(vocabulary)  # the terms of at most QUERY_BLOCK queries
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(shared.value)
-        for pdf in batches:
-            got = [(None, None) if x is None else of(x) for x in pdf["x"]]
-            yield pd.DataFrame({
-                "id": pdf["id"], "dl": pd.array([n for _, n in got], "Int64"),
-                "terms": [np.fromiter(tf, np.int32, len(tf)) if tf else None for tf, _ in got], "tf": [np.fromiter(tf.values(), np.int32, len(tf)) if tf else None for tf, _ in got]})
+        for batch in batches:
+            for lo in range(0, batch.num_rows, COUNT_ROWS):
+                part = batch.slice(lo, COUNT_ROWS)
+                key, n, lengths = of(part.column("x"))
+                key, place = np.unique(key, return_inverse=True)
+                tf = np.bincount(place, n, len(key)).astype(np.int32)
+                starts = pa.array(np.searchsorted(key >> 32, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, pa.array(v)) for v in ((key & 0xFFFFFFFF).astype(np.int32), tf)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), lengths.cast(pa.int64()), *lists], names=["id", "dl", "terms", "tf"])
 
     # the only pass over texts: from here on a document is its length and the counts of terms that someone asks for
-    counted = durable(docs.mapInPandas(count, f"id {id_type}, dl long, terms array<int>, tf array<int>"))
+    counted = durable(docs.mapInArrow(count, f"id {id_type}, dl long, terms array<int>, tf array<int>"))
     n, mean = counted.agg(F.count("*"), F.avg("dl")).first()
     df = np.zeros(len(vocabulary))
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # one number a term of the block
@@ -123,11 +149,10 @@ def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_term, start, idf, n_terms, names = table.value
         n_terms, width = np.array(n_terms), len(n_terms)
-        best = None
+        best, least = None, np.full(width, -np.inf)  # and of queries with k documents the score of the k-th
         for pdf in batches:
-            pdf = pdf[pdf["terms"].notna()]
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
+            asked = np.array([(start[t + 1] - start[t]).sum() for t in pdf["terms"]])
+            for part in _parts(pdf[asked > 0], asked[asked > 0]):
                 m = np.array([len(t) for t in part["terms"]])
                 doc, t, tf = np.repeat(np.arange(len(part)), m), np.concatenate(part["terms"].to_numpy()), np.concatenate(part["tf"].to_numpy()).astype(float)
                 dl = part["dl"].to_numpy(float)[doc]
@@ -144,8 +169,12 @@ def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter:
                     own = np.where(one, own, own * (hits[found] - 1))
                     keep = one | (hits[found] >= 2)
                     found, q, own = found[keep], q[keep], own[keep]
-                rows = (np.round(own, 10), part["id"].to_numpy()[found // width], q)
+                own = np.round(own, 10)
+                keep = own >= least[q]
+                rows = (own[keep], part["id"].to_numpy()[found[keep] // width], q[keep])
                 best = _best_by_query(*(rows if best is None else [np.concatenate(x) for x in zip(best, rows)]), k)
+                full = np.flatnonzero(np.bincount(best[2], minlength=width) == k)
+                least[full] = best[0][np.searchsorted(best[2], full, "right") - 1]
         if best is not None and len(best[0]):
             yield pd.DataFrame({"query_id": [names[i] for i in best[2]], "id": best[1], "score": best[0]})
 

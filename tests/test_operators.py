@@ -5,6 +5,7 @@ import math
 import sqlite3
 import zipfile
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -615,3 +616,17 @@ def test_texts_of_a_batch_are_strings_a_slice_at_a_time(spark):
         assert [x for p in parts for x in p.to_pylist()] == [None if x is None else one for x in texts]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").repartition(1).select("i", T.nfc(F.col("x")).alias("y"), cleaning.clean(F.col("x")).alias("z"))
     assert all(r.y == r.z == (None if texts[r.i] is None else "é") for r in rows.collect())
+
+
+def test_terms_are_counted_by_arrays_and_scored_in_bounded_parts():
+    import pandas as pd
+
+    vocabulary = {"b": 0, "a": 1, "long": 2}
+    tokens = pa.array([["x"], ["a", "b", "a"], None, [], ["b"]]).slice(1)
+    key, n, lengths = retrieval._count_tokens(vocabulary)(tokens)
+    assert sorted(zip(key.tolist(), n.tolist())) == [(0, 1), (1, 1), (1, 1), (3 << 32, 1)] and lengths.to_pylist() == [3, None, 0, 1]
+    key, n, lengths = retrieval._count_substrings(3)({"long": 0, "ong": 1})(pa.array(["a longong b", None, ""]))
+    assert sorted(zip(key.tolist(), n.tolist())) == [(0, 1), (1, 2)] and lengths.to_pylist() == [9, None, 0]
+    rows = pd.DataFrame({"id": range(1202)})
+    parts = list(retrieval._parts(rows, np.array([retrieval.SCORE_PAIRS * 2, retrieval.SCORE_PAIRS, *[1] * 1200])))
+    assert [len(p) for p in parts] == [1, 1, 500, 500, 200] and pd.concat(parts)["id"].tolist() == list(range(1202))
