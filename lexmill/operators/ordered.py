@@ -44,6 +44,17 @@ def numbered(df: DataFrame, *by: Column | str, name: str = "row", chunks: int |
 
 #: Rows of a group that a window in one task is given; a larger group is dealt over many.
 WINDOW_ROWS = 100_000
+#: Rows of small groups that are dealt to one task, about; each of its sorts holds them all.
+TASK_ROWS = 500_000
+
+
+def _dealt(df: DataFrame, rows: int, group: list[str]) -> DataFrame:
+    """``df`` of ``rows`` rows by its groups, over as many partitions as ``TASK_ROWS`` asks for; few rows are dealt by the session.
+
+    Left alone, Spark puts partitions together by their compressed bytes, so a task's rows grow with the input.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *group) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def by_group(df: DataFrame, group: list[str], order: list[str], core, *, most: int | None = None) -> DataFrame:
@@ -60,7 +71,7 @@ def by_group(df: DataFrame, group: list[str], order: list[str], core, *, most: i
     none = large.isEmpty()
     small = df if none else df.join(F.broadcast(large), same, "left_anti")
     nth = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    out = core(small.withColumn("chunk", F.lit(0)).withColumn("place", nth), partial(running, carry=False))
+    out = core(_dealt(small, df.count(), group).withColumn("chunk", F.lit(0)).withColumn("place", nth), partial(running, carry=False))
     return out if none else out.unionByName(core(in_chunks(df.join(F.broadcast(large), same, "left_semi"), *group, *order), running))
 
 

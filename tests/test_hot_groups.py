@@ -155,3 +155,11 @@ def test_poisson_bootstrap(spark):
     by = {r.k: (r.low, r.high) for r in evaluation.bootstrap_poisson(df, column="v", seed="s", iterations=500, by=["k"]).collect()}
     assert set(by) == {"a", None} and all(lo < x < hi for (lo, hi), x in zip((by["a"], by[None]), (v[1::2].mean(), v[::2].mean())))
     assert evaluation.bootstrap_poisson(df.limit(0), column="v", seed="s").count() == 0
+
+
+def test_rows_of_small_groups_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id % 500 as g", "id * 3 % 97 as start", "id * 3 % 97 + 2 as end")
+    want = sorted(map(tuple, spans.merge_spans(rows, group=["g"]).collect()))
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    assert ordered._dealt(rows, 4000, ["g"]).rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, spans.merge_spans(rows, group=["g"]).collect())) == want and len(want) > 500
