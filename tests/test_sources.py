@@ -211,6 +211,20 @@ def test_batches_equal_one_build(spark, tmp_path):
         upkeep.apply_batch(spark.createDataFrame([(1, "a", None), (1, "b", None)], kind), spaces, path, 3)
 
 
+def test_batches_shuffle_counts_and_asked_rows(spark, tmp_path):
+    docs, asked = words_of_documents(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, path, before = spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/i", shuffled(spark)
+    spaces = {"word": T.word_list(F.col("text")), "upper": T.word_list(F.upper("text"))}
+    third = F.col("doc_id") % 3 == 0
+    upkeep.apply_batch(docs.withColumn("text", F.when(third, F.lit("word1 word2 none")).otherwise(F.col("text"))), spaces, path, 0)
+    upkeep.apply_batch(docs.where(third), spaces, path, 1, deleted=F.col("doc_id") == 999)
+    got = upkeep.search(spark, path, "word", asked, k=5).collect()
+    assert shuffled(spark) - before < 2_500_000  # before, a row a posting, shuffled by document and then by term
+    want = retrieval.bm25(docs.where("doc_id <> 999"), asked.withColumnRenamed("query_id", "item_id"), doc_tokens=spaces["word"], query_tokens=F.col("terms"), k=5)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
 def test_a_stream_keeps_the_index(spark, tmp_path):
     for n, rows in enumerate([[(1, 1, "a b"), (2, 1, "b")], [(1, 2, "c"), (1, 3, "b b")]]):
         spark.createDataFrame(rows, "doc_id long, seq int, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
