@@ -22,7 +22,7 @@ from lexmill.session import durable, spread
 
 _TABLES = {
     "docs": "id {id}, generation int, deleted boolean, slab long, place int, lengths map<string, int>",
-    "postings": "generation int, space string, term string, slab long, places array<smallint>, tfs array<int>, ids array<{id}>, dls array<array<int>>",
+    "postings": "generation int, space string, term string, slab long, df int, places array<smallint>, tfs array<int>, ids array<{id}>, dls array<array<int>>",
     "terms": "generation int, space string, term string, df long", "sizes": "generation int, space string, n long, length long"}
 #: Slabs of which the replaced places, a bit a document, are broadcast.
 SENT_SLABS = 1 << 16
@@ -66,7 +66,7 @@ def apply_batch(batch: DataFrame, spaces: dict[str, Column], path: str, generati
     put = lambda df, kind, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{kind}/generation={generation}")
     live = spread(batch).where(~gone).select(F.col(id_col).alias("id"), *(F.coalesce(c, F.array().cast("array<string>")).alias(s) for s, c in spaces.items()))
     rows = index.slab_rows(live, list(spaces), [1.0] * len(spaces), slab_bits=index.SLAB_BITS, range_bits=index.RANGE_BITS)  # bounds are not kept, as the mean length changes
-    put(rows.select("space", "term", "slab", "places", "tfs", "ids", "dls").sortWithinPartitions("space", "term", "slab"), "postings", "space")
+    put(rows.select("space", "term", "slab", "df", "places", "tfs", "ids", "dls"), "postings", "space")
     new = _read(spark, path, "postings", id_type).where(F.col("generation") == generation)
     names = F.array(*map(F.lit, spaces))
     docs = new.where("space is null").select("slab", F.posexplode("ids").alias("place", "id"), "dls").select(
@@ -74,7 +74,7 @@ def apply_batch(batch: DataFrame, spaces: dict[str, Column], path: str, generati
     # what the batch's documents were before: where they lie in their last generation
     was = durable(_last(_read(spark, path, "docs", id_type, generation)).join(own.select("id"), "id", "left_semi"))
     old = _replaced(was, _read(spark, path, "postings", id_type, generation))
-    changes = new.where("term is not null").select("space", "term", F.size("places").alias("d")).unionByName(old)
+    changes = new.where("term is not null").select("space", "term", F.col("df").alias("d")).unionByName(old)
     put(changes.groupBy("space", "term").agg(F.sum("d").alias("df")).where("df <> 0"), "terms")
     # lengths: of new documents from their tokens, of old ones from what is stored with them
     size = lambda df, sign: df.select(F.explode(names).alias("space"), "lengths").select("space", F.lit(sign).alias("n"), (sign * F.coalesce(F.col("lengths")[F.col("space")], F.lit(0))).alias("length"))
