@@ -95,6 +95,19 @@ def _count_substrings(shortest: int):
     return over
 
 
+def ten_decimals(x: np.ndarray) -> np.ndarray:
+    """Rounded to ten decimals, halves away from zero as SQL's ``round`` has them; NumPy's go to the even digit."""
+    y = x * 1e10
+    whole = np.trunc(y)
+    return (whole + (y - whole >= 0.5) - (y - whole <= -0.5)) / 1e10
+
+
+def exact_sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values`` by cell, rounded once and so alike in any order: of each value what lies above 2**-20 adds up without rounding, the rest on its own."""
+    high = np.rint(values * 2.0**20) * 2.0**-20
+    return np.bincount(cells, high, n) + np.bincount(cells, values - high, n)
+
+
 def _best_by_query(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows (score, id, query number) the best k of each query, by falling score and then id."""
     order = np.lexsort((ids, -scores, queries))
@@ -160,7 +173,7 @@ def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter:
                 many = start[t + 1] - start[t]
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[t], many)
                 cell = np.repeat(doc * width, many) + by_term[at]
-                s = np.bincount(cell, np.repeat(gain, many), len(part) * width)
+                s = exact_sums(cell, np.repeat(gain, many), len(part) * width)
                 hits = np.bincount(cell, minlength=len(part) * width)
                 found = np.flatnonzero(hits)
                 q, own = found % width, s[found]
@@ -169,7 +182,7 @@ def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter:
                     own = np.where(one, own, own * (hits[found] - 1))
                     keep = one | (hits[found] >= 2)
                     found, q, own = found[keep], q[keep], own[keep]
-                own = np.round(own, 10)
+                own = ten_decimals(own)
                 keep = own >= least[q]
                 rows = (own[keep], part["id"].to_numpy()[found[keep] // width], q[keep])
                 best = _best_by_query(*(rows if best is None else [np.concatenate(x) for x in zip(best, rows)]), k)
@@ -267,7 +280,7 @@ def _product(k: int, step: int = 256):
         ids, x, out = own["id"].to_numpy(), np.stack(own["v"].to_numpy()), []
         for lo in range(0, len(asked), step):
             part = asked.iloc[lo : lo + step]
-            s = np.round(np.stack(part["v"].to_numpy()) @ x.T, 10)
+            s = ten_decimals(np.stack(part["v"].to_numpy()) @ x.T)
             least = np.partition(s, -k, axis=1)[:, -k][:, None] if k < s.shape[1] else -np.inf
             q, c = np.nonzero(s >= least)
             score, found, owner = _best_by_query(s[q, c], ids[c], q, k)

@@ -2,10 +2,13 @@
 
 import io
 import json
+import math
 import os
 import random
 import zipfile
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -153,6 +156,39 @@ def test_saved_index_skips_blocks_and_loses_nothing(spark, tmp_path, monkeypatch
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def long_queries(spark):
+    """Documents and queries of many common words, and all rows of the two-term search: exact sums, halves away from zero."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [rng.choices(words, k=rng.choice([80, 120, 200])) for _ in range(300)]
+    texts[7], asked = texts[250], {q: rng.sample(words, 1000) for q in range(8)}
+    mean, held = sum(map(len, texts)) / 300, [Counter(t) for t in texts]
+    df = Counter(w for t in held for w in t)
+    idf = {w: max(math.log((300 - n + 0.5) / (n + 0.5)), 1e-6) for w, n in df.items()}
+    want = []
+    for q, terms in asked.items():
+        found = []
+        for i, t in enumerate(held):
+            parts = [idf[w] * t[w] * 2.2 / (t[w] + 1.2 * (0.25 + 0.75 * len(texts[i]) / mean)) for w in terms if w in t]
+            y = math.fsum(parts) * (len(parts) - 1) * 1e10
+            found.append((-(math.floor(y) + (y - math.floor(y) >= 0.5)) / 1e10, i))
+        want += [(q, i, n, -s) for n, (s, i) in enumerate(sorted(found), 1)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    return docs, spark.createDataFrame([(q, " ".join(t)) for q, t in asked.items()], "item_id long, text string"), want
+
+
+def test_scores_of_long_queries(spark):
+    docs, asked, want = long_queries(spark)
+    got = retrieval.bm25(docs, asked, doc_tokens=T.word_list(F.col("text")), query_tokens=T.query_tokens(F.col("text")), k=300, pairs=True)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 2400
+
+
+def test_ten_decimals_are_those_of_sql():
+    x = np.random.default_rng(2).uniform(-16384, 16384, 20_000)
+    sql = [r[0] for r in duckdb.connect().execute("select round(unnest(?::double[]), 10)", [x.tolist()]).fetchall()]
+    assert retrieval.ten_decimals(x).tolist() == sql
+
+
 def shuffled(spark):
     """Bytes that all stages so far wrote for shuffles."""
     sc = spark.sparkContext
