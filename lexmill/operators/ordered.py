@@ -57,7 +57,7 @@ def _dealt(df: DataFrame, rows: int, group: list[str]) -> DataFrame:
     return df.repartition(tasks, *group) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
 
 
-def by_group(df: DataFrame, group: list[str], order: list[str], core, *, most: int | None = None) -> DataFrame:
+def by_group(df: DataFrame, group: list[str], order: list[Column | str], core, *, most: int | None = None) -> DataFrame:
     """``core(rows, running)`` over all groups, whose rows have a ``place`` in the order of ``order``.
 
     Groups of at most ``most`` rows are ordered by one window each. Of the larger ones, which a count finds and of which

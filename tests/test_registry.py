@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from lexmill.operators import ordered
 from lexmill.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,19 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 20])
+def test_odd_lines_merge_as_in_sql(spark, tmp_path, monkeypatch, most):
+    """Null dates and quantities, parts of a piece, of a second and days before 1970; by windows, and with large orders dealt over tasks."""
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", most)
+    con = duckdb.connect()
+    con.execute("set threads = 1")  # with more the SQL's two windows may order twins differently
+    con.execute(f"""copy (select l_orderkey // 50 as l_orderkey, case when n % 11 = 0 then null else l_shipdate - interval 9700 days + to_microseconds((l_quantity * 3600000000 - n % 2)::bigint) end as l_shipdate,
+      case when n % 13 = 0 then null else l_quantity + n % 4 / 4 end as l_quantity from (select *, l_orderkey * 7 + l_linenumber as n from '{SF}/lineitem.parquet')) to '{tmp_path}/lineitem.parquet' (format parquet)""")
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet')")
+    got, want = QUERIES["merge_spans"](spark, str(tmp_path)).toPandas(), con.execute(SQL["merge_spans"]).df()
+    assert rows(got) == rows(want) and len(want) > 200
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
