@@ -102,10 +102,10 @@ def ten_decimals(x: np.ndarray) -> np.ndarray:
     return (whole + (y - whole >= 0.5) - (y - whole <= -0.5)) / 1e10
 
 
-def exact_sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``values`` by cell, rounded once and so alike in any order: of each value what lies above 2**-20 adds up without rounding, the rest on its own."""
+def exact_parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` as two parts whose sums, added, are rounded once and so alike in any order: what lies above 2**-20 adds up without rounding."""
     high = np.rint(values * 2.0**20) * 2.0**-20
-    return np.bincount(cells, high, n) + np.bincount(cells, values - high, n)
+    return high, values - high
 
 
 def _best_by_query(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +173,7 @@ def _rank_block(docs: DataFrame, block: list[tuple[object, list[str]]], counter:
                 many = start[t + 1] - start[t]
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[t], many)
                 cell = np.repeat(doc * width, many) + by_term[at]
-                s = exact_sums(cell, np.repeat(gain, many), len(part) * width)
+                s = sum(np.bincount(cell, np.repeat(x, many), len(part) * width) for x in exact_parts(gain))
                 hits = np.bincount(cell, minlength=len(part) * width)
                 found = np.flatnonzero(hits)
                 q, own = found % width, s[found]
